@@ -4,21 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltrace.llm import mixing, sharding
+from voltrace.llm import mixing, packing, sharding, simhash, tokencount
 from voltrace.runtime import table
 
 #: Limit of a shard, in bytes of text: small objects, as for range reads over HTTP.
 SHARD_BYTES = 1 << 20
 
 
+#: File of the tokenizer that token counts and packing use.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
     return shards.select("doc_id", "n_bytes", "depth", sharding.shard_name().alias("shard"), "shard_bytes")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_sharding": op4_sharding, "op7_mixing": op7_mixing}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_digest(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {f.__name__: f for f in (op3_token_counts, op4_sharding, op6_simhash, op7_mixing, op8_packing)}
 ORACLES = {"op4_sharding": sharding.oracle_sql(SHARD_BYTES), "op7_mixing": mixing.ORACLE_SQL}

@@ -58,6 +58,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _let_workers_import(spark: SparkSession) -> None:
+    """Python workers find this package even if the driver found it by sys.path alone."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A supplied table; the path may be in any store that Spark reads."""
+    _let_workers_import(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltrace.llm import mixing, packing, sharding, simhash, tokencount
+from voltrace.llm import chat, itq, ivfpq, licenses, mixing, packing, sharding, simhash, tokencount, toxicity
 from voltrace.runtime import table
 
 #: Limit of a shard, in bytes of text: small objects, as for range reads over HTTP.
@@ -21,6 +21,17 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    turns = chat.canonical_turns(table(spark, sf_dir, "conversations")).unionByName(chat.canonical_turns(extra))
+    return chat.conversation_digest(chat.format_turns(turns))
+
+
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivfpq.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -30,6 +41,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "n_bytes", "depth", sharding.shard_name().alias("shard"), "shard_bytes")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -42,5 +57,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_sharding, op6_simhash, op7_mixing, op8_packing)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_chat_formatting, op2_nearest_neighbours, op3_token_counts, op4_sharding, op5_license_scan,
+    op6_simhash, op7_mixing, op8_packing, op9_toxicity, op10_embedding_dedup)}
 ORACLES = {"op4_sharding": sharding.oracle_sql(SHARD_BYTES), "op7_mixing": mixing.ORACLE_SQL}

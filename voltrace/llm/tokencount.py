@@ -19,7 +19,7 @@ from __future__ import annotations
 import os
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import islice
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -100,8 +100,12 @@ def token_counts(docs: DataFrame, path: str, *, limit: int = 1024, id_col: str =
     """(doc_id, n_bytes, n_tokens, over_limit) of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     vocab = materialize(vocabulary(rows, path), "tokens-vocabulary")
-    top = vocab.orderBy(F.desc("freq"), "unit").select("unit", "pieces").limit(head_rows).collect()
-    head = docs.sparkSession.sparkContext.broadcast({r.unit: r.pieces for r in top})
+    # The head: all pre-tokens above the lowest frequency step that leaves at most head_rows.
+    step = F.floor(F.log2("freq") * 16)
+    steps = vocab.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect()  # at most 16 * 64 rows
+    least = min((s.step for s, n in zip(steps, accumulate(s.n for s in steps), strict=True) if n <= head_rows), default=1 << 20)
+    top = vocab.filter(step >= least).select("unit", "pieces").toArrow()
+    head = docs.sparkSession.sparkContext.broadcast(dict(zip(top["unit"].to_pylist(), top["pieces"].to_pylist(), strict=True)))
     del top
     split = splitter(path)
 

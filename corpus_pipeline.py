@@ -19,7 +19,7 @@ TOXIC_SCORE = 0.7
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold."""
-    model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.with_scores(docs, model, name="__toxic_score")
     return scored.filter(F.col("__toxic_score") < TOXIC_SCORE).drop("__toxic_score")
 

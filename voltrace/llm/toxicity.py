@@ -38,9 +38,12 @@ from voltrace.runtime import materialize
 
 #: Most labelled rows that the model is fitted on, of each label, by a hash of their ids; and most entries.
 FIT_ROWS, MAX_ENTRIES = 10_000, 5_000
+#: Distinct entries that a task counts before it passes them on.
+FLUSH_ROWS = 50_000
 #: An entry is kept if its log-likelihood gain over chance reaches LEAST_GAIN (telling, dense) and its log-odds LEAST_ODDS;
-#: it is dense in a text with two occurrences or more and this share of the words. Shares count up to MOST_SHARE.
-LEAST_GAIN, LEAST_ODDS, LEAST_SHARE, MOST_SHARE = (11.0, 6.5), (3.5, 2.5), 0.004, 0.008
+#: it is dense in a text with two occurrences or more and this share of the words. The share of telling entries counts up to MOST_SHARE,
+#: that of dense ones, times their weights, up to MOST_DENSE.
+LEAST_GAIN, LEAST_ODDS, LEAST_SHARE, MOST_SHARE, MOST_DENSE = (11.0, 6.5), (3.5, 2.5), 0.004, 0.008, 0.05
 #: Lengths of word beginnings that may become entries.
 PREFIXES = range(4, 10)
 
@@ -106,7 +109,7 @@ class Model:
         self.__dict__.update(state)
 
     def evidence(self, folded: str) -> tuple[float, float, float, float]:
-        """Log of the telling entries' weight, their share of the words, that of the dense ones, log of the words."""
+        """Log of the telling entries' weight, their share of the words, the dense ones' weight by word, log of the words."""
         made, words = self.automaton(), max(1, folded.count(" ") - 1)
         found: dict[int, tuple[int, float, bool]] = {}
         spans = []
@@ -120,8 +123,8 @@ class Model:
         if spans:
             found = {s: v for s, v in found.items() if not any(a <= s and s + v[0] - 1 <= b for a, b in spans)}
         telling = [w for _, w, t in found.values() if t]
-        dense = len(found) - len(telling)
-        return (math.log1p(sum(telling)), min(MOST_SHARE, len(telling) / words), min(MOST_SHARE, dense / words) if dense > 1 else 0.0, math.log(words))
+        dense = [w for _, w, t in found.values() if not t]
+        return (math.log1p(sum(telling)), min(MOST_SHARE, len(telling) / words), min(MOST_DENSE, sum(dense) / words) if len(dense) > 1 else 0.0, math.log(words))
 
     def score(self, text: str | None) -> float:
         x = (np.array(self.evidence(fold(text or ""))) - self.mean) / self.scale
@@ -151,12 +154,12 @@ def _tally(labelled: DataFrame) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             rows = iter(seen.items())
-            while part := list(islice(rows, 20_000)):
+            while part := list(islice(rows, 10_000)):
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.string()), *(pa.array(x, pa.int64()) for x in zip(*(v for _, v in part), strict=True))], names=["entry", *names])
             seen.clear()
 
-        for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for part in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
+            for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 found, words = _candidates(text or "")
                 for entry, n in found.items():
                     row = seen.get(entry)
@@ -165,7 +168,7 @@ def _tally(labelled: DataFrame) -> DataFrame:
                     row[1 - label] += 1
                     if n > 1 and n >= LEAST_SHARE * words:
                         row[3 - label] += 1
-                if len(seen) > 300_000:
+                if len(seen) > FLUSH_ROWS:
                     yield from out()
         yield from out()
 
@@ -214,15 +217,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
     return w, mean, scale
 
 
-def fit(labelled: DataFrame, *, exceptions: tuple[str, ...] = (), fit_rows: int = FIT_ROWS) -> Model:
-    """A model from rows (doc_id, text, toxic). At most fit_rows of each label are read, those with the smallest hashes."""
-    rows = labelled.filter(F.col("toxic").isin(0, 1)).select("doc_id", "text", "toxic")
-    counts = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+def fit(docs: DataFrame, labels: DataFrame, *, exceptions: tuple[str, ...] = (), fit_rows: int = FIT_ROWS) -> Model:
+    """A model from documents (doc_id, text) and labels (doc_id, toxic), without the rows that are held out.
+
+    At most about fit_rows labels of each kind are used, those with the smallest hashes of their ids; so the
+    rows that choose the documents are a bounded table, and only chosen texts move.
+    """
+    known = training_labels(labels)
+    counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     draw = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1 << 20))
     part = F.lit(False)
     for label, n in counts.items():
         part |= (F.col("toxic") == label) & (draw < F.lit(int((1 << 20) * min(1.0, fit_rows / n))))
-    rows = materialize(rows.filter(part), "toxic-fit")
+    rows = materialize(docs.select("doc_id", "text").join(F.broadcast(known.filter(part)), "doc_id"), "toxic-fit")
     toxic, clean = (rows.filter(F.col("toxic") == k).count() for k in (1, 0))
     if not toxic or not clean:
         odds = math.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 9))
@@ -240,9 +247,9 @@ def fit(labelled: DataFrame, *, exceptions: tuple[str, ...] = (), fit_rows: int
     model = Model(entries, exceptions)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([model.evidence(fold(t or "")) for t in batch.column(0).to_pylist()], dtype=float).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, x.T), batch.column(1), batch.column(2)], names=["a", "b", "c", "d", "toxic", "doc_id"])
+        for part in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
+            x = np.array([model.evidence(fold(t or "")) for t in part.column(0).to_pylist()], dtype=float).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, x.T), part.column(1), part.column(2)], names=["a", "b", "c", "d", "toxic", "doc_id"])
 
     data = rows.select("text", F.col("toxic").cast("double").alias("toxic"), F.col("doc_id").cast("string").alias("doc_id"))
     x = data.mapInArrow(evidence, "a double, b double, c double, d double, toxic double, doc_id string").toPandas().sort_values(["doc_id", "a", "b", "d"])
@@ -269,14 +276,14 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 == 1
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of labelled documents that are not held out. Contradictory or repeated labels: the largest."""
-    known = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"))).join(known, "doc_id")
+def training_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of labels 0 and 1 that are not held out. Contradictory or repeated labels: the largest."""
+    fit_for_use = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).filter(~held_out(F.col("doc_id")))
+    return fit_for_use.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, exceptions: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs."""
-    model = fit(training_rows(docs, labels), exceptions=exceptions)
+    model = fit(docs, labels, exceptions=exceptions)
     scored = with_scores(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

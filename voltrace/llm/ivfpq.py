@@ -34,7 +34,7 @@ from voltrace.llm.vectors import main_width, matrix, sample, unit, usable
 from voltrace.runtime import materialize
 
 SAMPLE_ROWS, MAX_LISTS, SUBVECTORS, CODEWORDS, ITERATIONS = 20_000, 1024, 16, 64, 8
-BLOCK_ROWS, RERANK, TARGET_RECALL = 4096, 200, 0.97
+BLOCK_ROWS, RERANK, TARGET_RECALL = 4096, 300, 0.99
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, iterations: int = ITERATIONS) -> np.ndarray:

@@ -81,6 +81,46 @@ def iter_cells(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str
         yield joined(kept)
 
 
+def iter_blocks(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """As iter_cells, many cells at a time: columns of whole cells of two rows or more, and the cells' starts with the end appended."""
+    kept: dict[str, np.ndarray] | None = None
+
+    def whole(cols: dict[str, np.ndarray], starts: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray] | None:
+        sizes = np.diff(starts)
+        rows = np.repeat(sizes > 1, sizes)
+        return ({name: v[rows] for name, v in cols.items()}, np.concatenate(([0], np.cumsum(sizes[sizes > 1])))) if rows.any() else None
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = {name: _numpy(batch.column(i)) for i, name in enumerate(batch.schema.names)}
+        if kept is not None:
+            cols = {name: np.concatenate([kept[name], v]) for name, v in cols.items()}
+        change = np.zeros(len(cols[key]), dtype=bool)
+        for name in (key, "cell_i", "cell_j"):
+            change[1:] |= cols[name][1:] != cols[name][:-1]
+        starts = np.concatenate(([0], np.flatnonzero(change)))
+        kept = {name: v[starts[-1]:] for name, v in cols.items()}
+        if len(starts) > 1 and (out := whole({name: v[:starts[-1]] for name, v in cols.items()}, starts)) is not None:
+            yield out
+    if kept is not None and (out := whole(kept, np.array([0, len(kept[key])]))) is not None:
+        yield out
+
+
+def small_pairs(starts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within all cells of at most ``most`` rows, a distance of one row after another."""
+    sizes = np.diff(starts)
+    end = np.repeat(np.where(sizes <= most, starts[1:], 0), sizes)
+    at, left, right = np.flatnonzero(end), [], []
+    for k in range(1, most):
+        at = at[at + k < end[at]]
+        if not len(at):
+            break
+        left.append(at)
+        right.append(at + k)
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, dtype=np.int64),) * 2
+
+
 def meeting(own: np.ndarray, i: np.ndarray, j: np.ndarray, cell_i: int, cell_j: int) -> np.ndarray:
     """Which of the pairs (i, j) of a cell are its own: in a cell of two chunks, only pairs across them."""
     if cell_i == cell_j:

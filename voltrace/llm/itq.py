@@ -4,7 +4,8 @@
    makes their signs balanced binary codes (iterative quantisation).
 2. Each distinct vector's code goes into several tables, keyed by substrings of
    the code under different fixed orders of its bits. Rows of a bucket within
-   ``max_bits`` of another become candidates; the others drop out, so original
+   ``max_bits`` of another (far more than links have, given the equal substring)
+   become candidates; the others drop out, so original
    vectors move only for candidates.
 3. Candidates meet again with their original vectors, in the same buckets;
    pairs with a cosine of the threshold or more, in double precision, are
@@ -31,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltrace.llm.cells import connected_components, forest, into_cells, iter_cells, meeting
+from voltrace.llm.cells import connected_components, forest, into_cells, iter_blocks, small_pairs
 from voltrace.llm.vectors import main_width, matrix, sample, unit, usable
 from voltrace.runtime import materialize
 
-SAMPLE_ROWS, ROUNDS, MAX_BITS = 16_384, 40, 22
+SAMPLE_ROWS, ROUNDS, MAX_BITS = 16_384, 40, 16
+#: Cells up to this size are compared together, larger ones each on its own.
+SMALL_CELL = 48
 #: Bits of a substring, and orders of the bits; with 64 bits there are four tables for each order.
 SUBSTRING, ORDERS = 16, 5
 
@@ -105,18 +108,23 @@ def _candidates(distinct: DataFrame, codes: Codes, max_bits: int, cell_rows: int
                     [pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.repeat(made.view(np.int64), n))], names=["key", "cid", "code"])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in iter_cells(batches, "key"):
-            code, own, n = cell["code"].view(np.uint64), cell["own"], len(cell["code"])
-            across = cell["cell_i"][0] != cell["cell_j"][0]
-            hit = np.zeros(n, dtype=bool)
-            for at in range(0, n, 256):
-                close = np.bitwise_count(code[at:at + 256, None] ^ code[None]) <= max_bits
-                close[np.arange(close.shape[0]), np.arange(at, at + close.shape[0])] = False
-                if across:
-                    close &= own[at:at + 256, None] != own[None]
-                hit[at:at + 256] = close.any(axis=1)
+        for cols, starts in iter_blocks(batches, "key"):
+            code, own, across = cols["code"].view(np.uint64), cols["own"], cols["cell_i"] != cols["cell_j"]
+            hit = np.zeros(len(code), dtype=bool)
+            i, j = small_pairs(starts, SMALL_CELL)
+            ok = (np.bitwise_count(code[i] ^ code[j]) <= max_bits) & (~across[i] | (own[i] != own[j]))
+            hit[i[ok]] = hit[j[ok]] = True
+            for k in np.flatnonzero(np.diff(starts) > SMALL_CELL):
+                a, b = starts[k], starts[k + 1]
+                for at in range(a, b, 256):
+                    to = min(at + 256, b)
+                    close = np.bitwise_count(code[at:to, None] ^ code[None, a:b]) <= max_bits
+                    close[np.arange(to - at), np.arange(at - a, to - a)] = False
+                    if across[a]:
+                        close &= own[at:to, None] != own[None, a:b]
+                    hit[at:to] = close.any(axis=1)
             if hit.any():
-                yield pa.RecordBatch.from_arrays([pa.array(cell["key"][hit]), pa.array(cell["cid"][hit]), pa.array(cell["code"][hit])], names=["key", "cid", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols["key"][hit]), pa.array(cols["cid"][hit]), pa.array(cols["code"][hit])], names=["key", "cid", "code"])
 
     rows = distinct.select("cid", "vector").mapInArrow(keyed, "key long, cid long, code long")
     return into_cells(rows, "key", "cid", cell_rows).mapInArrow(near, "key long, cid long, code long").distinct()
@@ -125,28 +133,35 @@ def _candidates(distinct: DataFrame, codes: Codes, max_bits: int, cell_rows: int
 def _links(candidates: DataFrame, distinct: DataFrame, codes: Codes, threshold: float, cell_rows: int) -> DataFrame:
     """Rows (cid, root, n): the vectors linked directly to cid in a cell (n, copies counted), and cid's root in the cell's forest."""
 
+    def linked(x: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        i, j = small_pairs(starts, SMALL_CELL)
+        for at in range(0, len(i), 1 << 15):
+            a, b = i[at:at + (1 << 15)], j[at:at + (1 << 15)]
+            ok = np.einsum("nd,nd->n", x[a], x[b]) >= threshold
+            yield a[ok], b[ok]
+        for k in np.flatnonzero(np.diff(starts) > SMALL_CELL):
+            first, end = starts[k], starts[k + 1]
+            for at in range(first, end, 256):
+                a, b = np.nonzero(x[at:min(at + 256, end)] @ x[at:end].T >= threshold)
+                ok = a < b
+                yield a[ok] + at, b[ok] + at
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in iter_cells(batches, "key"):
-            x, keys = unit(cell["vector"].astype(np.float64)), codes.keys(cell["code"].view(np.uint64))
-            cid, copies, own, ci, cj = cell["cid"], cell["copies"], cell["own"], cell["cell_i"][0], cell["cell_j"][0]
-            table, n = int(cell["key"][0]) >> 32, len(cid)
+        for cols, starts in iter_blocks(batches, "key"):
+            x, keys = unit(cols["vector"].astype(np.float64)), codes.keys(cols["code"].view(np.uint64))
+            cid, copies, own, across, table = cols["cid"], cols["copies"], cols["own"], cols["cell_i"] != cols["cell_j"], cols["key"] >> 32
+            n, before = len(cid), np.arange(keys.shape[1])
             count, label = np.zeros(n, dtype=np.int64), np.arange(n)
-            for at in range(0, n, 256):
-                i, j = np.nonzero(x[at:at + 256] @ x[at:].T >= threshold)
-                i, j = i + at, j + at
-                ok = i < j
+            for i, j in linked(x, starts):
+                ok = ~across[i] | (own[i] != own[j])
                 i, j = i[ok], j[ok]
-                ok = meeting(own, i, j, ci, cj)
+                ok = ~((keys[i] == keys[j]) & (before[None] < table[i][:, None])).any(axis=1)  # not met in a table before
                 i, j = i[ok], j[ok]
-                if not len(i):
-                    continue
-                if table:
-                    ok = ~(keys[i][:, :table] == keys[j][:, :table]).any(axis=1)
-                    i, j = i[ok], j[ok]
-                np.add.at(count, i, copies[j])
-                np.add.at(count, j, copies[i])
-                nodes = np.arange(n)
-                label = forest(n, np.concatenate([nodes, i]), np.concatenate([label, j]))
+                if len(i):
+                    np.add.at(count, i, copies[j])
+                    np.add.at(count, j, copies[i])
+                    nodes = np.arange(n)
+                    label = forest(n, np.concatenate([nodes, i]), np.concatenate([label, j]))
             hit = np.flatnonzero(count)
             if len(hit):
                 yield pa.RecordBatch.from_arrays([pa.array(cid[hit]), pa.array(cid[label[hit]]), pa.array(count[hit])], names=["cid", "root", "n"])

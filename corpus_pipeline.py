@@ -25,8 +25,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by close SimHash fingerprints, the one with the smallest id."""
-    return simhash.first_of_each_group(docs)
+    """Of each group of documents linked by a similarity of 0.8 or more of their five-word shingles, the one with the smallest id."""
+    groups = materialize(simhash.similar_groups(docs), "pipeline-groups")
+    return simhash.first_of_each_group(docs, groups)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from voltrace.llm import cells, simhash
@@ -74,6 +75,40 @@ def test_empty_and_repeated_rows(spark):
     rows = [(1, "a b c d", "x", 1), (1, "a b c d", "y", 2), (2, "a b c d", "z", 3), (None, "a b c d", "n", 4), (5, "q w e r t y", None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string, key int")
     assert sorted((r.doc_id or -1, r.component_id) for r in simhash.simhash_components(df).collect()) == [(-1, 1), (1, 1), (1, 1), (2, 1), (5, 5)]
-    stay = simhash.first_of_each_group(df)
+    stay = simhash.first_of_each_group(df, simhash.simhash_components(df).select("doc_id", "component_id"))
     assert stay.columns == df.columns
     assert sorted((r.doc_id or -1) for r in stay.collect()) == [-1, 1, 5]
+
+
+def brute_similar(rows, width=5, similarity=0.8):
+    """Component ids by exact Jaccard similarity of shingle sets, over all pairs."""
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = {b" ".join(w[k:k + width]) for k in range(max(1, len(w) - width + 1))}
+    ids = sorted(sets)
+    pairs = [(a, b) for b in range(len(ids)) for a in range(b) if len(sets[ids[a]] & sets[ids[b]]) >= similarity * len(sets[ids[a]] | sets[ids[b]])]
+    label = cells.forest(len(ids), np.array([a for a, _ in pairs], dtype=int), np.array([b for _, b in pairs], dtype=int))
+    return {ids[k]: ids[label[k]] for k in range(len(ids))}
+
+
+@pytest.mark.parametrize("cell_rows", [8, 512])
+def test_similar_groups_against_brute_force(spark, cell_rows):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(800)]
+    rows, i = [], 0
+    for _ in range(60):
+        base = [rng.choice(vocabulary) for _ in range(rng.randrange(60, 300))]
+        for _ in range(rng.randrange(1, 6)):
+            text = list(base)
+            for _ in range(rng.randrange(0, 1 + len(text) // 40)):
+                text[rng.randrange(len(text))] = rng.choice(vocabulary)
+            rows.append((i, " ".join(text)))
+            i += 1
+    rows += [(900 + k, rows[0][1]) for k in range(40)] + [(1000, None), (1001, ""), (1002, "one two"), (1003, "one  TWO"), (1004, rows[5][1] * 50)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, fp string, component int").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(df, cell_rows=cell_rows).collect()}
+    want = brute_similar(rows)
+    assert sum(got[k] == want[k] for k in want) >= len(want) - 2 and len(set(want.values())) < len(want) - 60
+    assert all(want[k] == want[c] for k, c in got.items())  # no link but exact ones
+    assert simhash.similar_groups(df.limit(0)).count() == 0

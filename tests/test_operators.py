@@ -216,3 +216,31 @@ def test_stress_handles_empty_scenarios(spark, panel):
     assert deep.agg(F.min("duration")).first()[0] >= 3
     with pytest.raises(stress.StressError):
         stress.calculate_stress_changes(stress.run_stress_scenarios(sc), reference_scenario="none")
+
+
+def test_grouped_models(spark, panel):
+    from voltrace.operators import models
+
+    fit = models.fit_gjr_garch(panel).collect()
+    assert {r.asset_id for r in fit} == {"A", "B"} and all(r.observations == 160 and r.forecast_volatility > 0 for r in fit)
+    short = models.fit_gjr_garch(panel.filter("timestamp < '2024-01-10'")).collect()
+    assert not any(r.converged for r in short)
+    assert models.conditional_volatility(panel).filter("conditional_volatility > 0").count() == 320
+    regimes = models.predict_regimes(models.fit_hmm(panel, ["return", "realized_volatility"], config=hmm.Config(n_components=2, n_iter=30)))
+    assert models.simplex_violations(regimes).first().n == 0 and {r.regime for r in regimes.select("regime").distinct().collect()} <= {0, 1}
+    trees = models.PooledTrees(n_estimators=3, max_depth=2)
+    assert trees.fit_predict(panel, feature_columns=["return", "realized_volatility"]).count() == 320
+    assert [r.feature for r in trees.feature_importance(spark).collect()][0] == "realized_volatility"
+    joined = panel.join(regimes.select("asset_id", "timestamp", "regime_probability_0", "regime_probability_1"), ["asset_id", "timestamp"])
+    assert models.PooledRegimeTrees(n_estimators=2, max_depth=2).fit(joined, feature_columns=["return"]).predict(joined).columns[-1] == "regime_xgboost_forecast"
+    with pytest.raises(models.ModelError):
+        models.PooledRegimeTrees().fit(joined.withColumn("regime_probability_0", F.lit(0.9)))
+    z = risk.standardized_returns(panel.withColumn("forecast_volatility", F.lit(0.01)), by=("asset_id",))
+    draws = models.simulate_by_group(z, panel.select("asset_id").distinct().withColumn("forecast_volatility", F.lit(0.02)), n_simulations=50)
+    assert draws.count() == 100
+
+
+def test_catalog_is_complete(spark):
+    from voltrace.plans import catalog, more  # noqa: F401
+
+    assert set(catalog.ORACLES) <= set(catalog.QUERIES) and len(catalog.QUERIES) > 80

@@ -95,7 +95,7 @@ def grouped_bootstrap(df: DataFrame, column: str, by, *, statistic: Callable = n
     """The array form for each group, groups in parallel: (by..., estimate, lower, upper, standard_error, ...)."""
     fields = "estimate double, lower double, upper double, standard_error double, confidence_level double, n_bootstrap int, observations int"
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         r = bootstrap_confidence_interval(pdf.sort_values(order)[column].to_numpy(), statistic=statistic, **options)
         return pd.DataFrame([[*key, *r.as_dict().values()]], columns=[*by, *r.as_dict()])
 
@@ -230,7 +230,7 @@ def model_confidence_set_by_level(losses, models=None, *, confidence_level: floa
 def grouped_model_confidence_set(loss_matrix: DataFrame, models: list[str], by, *, order: str = "timestamp", **options) -> DataFrame:
     """(by..., model, included, p_value): a confidence set for each group of a wide loss matrix, groups in parallel."""
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order).dropna(subset=models)
         r = model_confidence_set(pdf[models].to_numpy(), models, **options)
         gone = {m: p for m, p, _ in r.history}

@@ -524,11 +524,11 @@ def _(spark, sf):
 
 # Stress -------------------------------------------------------------------------
 
-STRESS = f"{USABLE},\nst AS (SELECT timestamp, asset_id, \"return\" / 2000 AS r, volatility AS v FROM ok),\nq AS (SELECT quantile_cont(v, 0) AS q0, quantile_cont(v, 0.5) AS q50, quantile_cont(v, 0.9) AS q90, quantile_cont(v, 0.99) AS q99 FROM st)"
+STRESS = f"{USABLE},\nst AS (SELECT timestamp, asset_id, ln(1 + \"return\") / 100 AS r, volatility AS v FROM ok),\nq AS (SELECT quantile_cont(v, 0) AS q0, quantile_cont(v, 0.5) AS q50, quantile_cont(v, 0.9) AS q90, quantile_cont(v, 0.99) AS q99 FROM st)"
 
 
 def stress_rows(spark, sf):
-    return usable_panel(spark, sf).select("timestamp", "asset_id", (F.col("return") / 2000).alias("return"), "volatility", F.when(F.col("volatility") > F.col("naive"), 1).otherwise(0).alias("regime"))
+    return usable_panel(spark, sf).select("timestamp", "asset_id", (F.log(1 + F.col("return")) / 100).alias("return"), "volatility", F.when(F.col("volatility") > F.col("naive"), 1).otherwise(0).alias("regime"))
 
 
 @registered("high_volatility", f"{STRESS} SELECT timestamp, asset_id, round(v, 6) AS volatility FROM st, q WHERE v >= q90")
@@ -539,14 +539,14 @@ def _(spark, sf):
 ISLANDS = """,
 wl AS (SELECT *, product(1 + r) OVER (PARTITION BY asset_id ORDER BY timestamp) AS wealth FROM st),
 dd AS (SELECT *, wealth / max(wealth) OVER (PARTITION BY asset_id ORDER BY timestamp) - 1 AS drawdown FROM wl),
-fl AS (SELECT *, drawdown <= -0.001 AS deep FROM dd),
+fl AS (SELECT *, drawdown <= -0.02 AS deep FROM dd),
 rn AS (SELECT *, sum(CASE WHEN deep IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY asset_id ORDER BY timestamp) AS run FROM (SELECT *, lag(deep) OVER (PARTITION BY asset_id ORDER BY timestamp) AS before FROM fl)),
 pd_ AS (SELECT *, count(*) OVER (PARTITION BY asset_id, run) AS duration FROM rn)"""
 
 
 @registered("prolonged_drawdowns", f"{STRESS}{ISLANDS} SELECT timestamp, asset_id, round(drawdown, 6) AS drawdown, duration FROM pd_ WHERE deep AND duration >= 5")
 def _(spark, sf):
-    return rounded(stress.identify_prolonged_drawdowns(stress_rows(spark, sf), minimum_drawdown=-0.001).select("timestamp", "asset_id", "drawdown", "duration"))
+    return rounded(stress.identify_prolonged_drawdowns(stress_rows(spark, sf), minimum_drawdown=-0.02).select("timestamp", "asset_id", "drawdown", "duration"))
 
 
 @registered("regime_transitions", f"""{USABLE}
@@ -567,7 +567,7 @@ SCENARIO_NAMES = ("normal_volatility", "high_volatility", "volatility_spikes", "
 
 
 def scenarios(spark, sf):
-    return stress.build_stress_scenarios(stress_rows(spark, sf), minimum_drawdown=-0.001, historical_windows=[("year_1995", "1995-01-01", "1995-12-31")])
+    return stress.build_stress_scenarios(stress_rows(spark, sf), minimum_drawdown=-0.02, historical_windows=[("year_1995", "1995-01-01", "1995-12-31")])
 
 
 @registered("stress_scenarios", f"""{SCENARIOS} SELECT n.scenario, count(sc.timestamp) AS observation_count, count(DISTINCT asset_id) AS asset_count, min(timestamp) AS start, max(timestamp) AS "end"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -38,11 +40,14 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = f"file://{tempfile.mkdtemp(prefix='voltrace-')}"
+        path = tempfile.mkdtemp(prefix="voltrace-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        _LOCAL_DIRS[app] = f"file://{path}"
     return _LOCAL_DIRS[app]
 
 

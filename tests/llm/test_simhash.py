@@ -112,3 +112,37 @@ def test_similar_groups_against_brute_force(spark, cell_rows):
     assert sum(got[k] == want[k] for k in want) >= len(want) - 2 and len(set(want.values())) < len(want) - 60
     assert all(want[k] == want[c] for k, c in got.items())  # no link but exact ones
     assert simhash.similar_groups(df.limit(0)).count() == 0
+
+
+def test_all_copies_at_the_threshold_are_found(spark):
+    """Passages appended, so that the similarity is 0.8 or just above, to texts of 9 to 400 words that hardly repeat a word."""
+    rng = random.Random(4)
+    rows = []
+    for length in (9, 16, 40, 120, 400):
+        for _ in range(30):
+            base = [f"w{rng.randrange(20_000)}" for _ in range(length)]
+            added = [f"w{rng.randrange(20_000)}" for _ in range((length - 4) // 4)]
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base + added))]
+    rows += [(len(rows) + k, " ".join(["the same words in all of these texts"] * k)) for k in range(1, 80)]  # common shingles only
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_similar(rows)
+    assert all(want[i + 1] == i for i in range(0, 300, 2))
+    for cell_rows in (8, 512):
+        assert {r.doc_id: r.component_id for r in simhash.similar_groups(df, cell_rows=cell_rows).collect()} == want
+
+
+def test_prefixes_rule_out_only_what_is_not_similar():
+    rng = random.Random(8)
+    common = (np.array(sorted(rng.randrange(1 << 64) for _ in range(200)), dtype=np.uint64), np.arange(3, 203))
+    pool = [rng.randrange(1 << 64) for _ in range(2000)] + common[0].tolist()
+    ruled_out = 0
+    for _ in range(2000):
+        a = rng.sample(pool, rng.randrange(1, 120))
+        b = frozenset(rng.sample(a, rng.randrange(len(a) * 3 // 4, len(a) + 1)) + rng.sample(pool, rng.randrange(0, 1 + len(a) // 4)) or a)
+        a = frozenset(a)
+        similar = len(a & b) >= 0.8 * len(a | b)
+        x, y = simhash.prefix(a, 0.8, common), simhash.prefix(b, 0.8, common)
+        met = len(np.intersect1d(x, y)) > 0 and simhash.may_be_similar(x, y, len(a), len(b), 0.8)
+        assert met or not similar
+        ruled_out += not met
+    assert ruled_out > 0

@@ -12,12 +12,11 @@ zero. Distinct fingerprints within ``max_bits`` differing bits are linked:
    pivot are discarded, as the triangle inequality forbids a link;
 4. survivors are verified, and reduced to a spanning forest of their cell.
 
-``similar_groups`` finds texts whose shingle sets are similar. Its fingerprints
-are of distinct single words, which near-copies hardly change; candidates
-differ in up to ``max_bits`` bits, more than blocks can promise, so pairs meet
-in several tables of permuted 16-bit substrings instead, are discarded and
-verified as above, and are then compared by the exact Jaccard similarity of
-their sets of word shingles.
+``similar_groups`` finds all texts whose shingle sets are similar. SimHash
+can't promise that, so pairs meet by the shingles that come first in an order
+with rare ones ahead: similar sets share one of those (see ``prefix``). Those
+that meet are compared by the exact Jaccard similarity of their sets, first by
+a few shingles each, then by all of them, without the pairs linked by then.
 
 Copies share a fingerprint and are never expanded. Null texts count as empty;
 a null id is never a component's id unless the component has no other; repeated
@@ -27,6 +26,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltrace.llm.cells import connected_components, forest, into_cells, iter_blocks, iter_cells, meeting, small_pairs
+from voltrace.llm.cells import CELL_ROWS, connected_components, forest, into_cells, iter_blocks, iter_cells, meeting, small_pairs
 from voltrace.runtime import materialize
 
 HASH_SEED = 42
@@ -158,137 +158,201 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 # Groups by exact similarity -----------------------------------------------------
 
-#: Bits that candidates may differ in, orders of the bits (each gives four tables), and rows of a cell that are compared together.
-CANDIDATE_BITS, ORDERS, SMALL_CELL = 10, 6, 48
-#: Texts that one cell of the exact comparison holds.
-TEXT_CELL = 512
+#: Texts from which common shingles are learned, occurrences there that make one common, and most of them that are kept.
+SAMPLE_TEXTS, COMMON, MOST_COMMON = 10_000, 3, 100_000
+#: Shingles of a text by which it meets others first; all others are for texts that are not linked by then.
+FIRST_KEYS = 2
+#: Rows of a cell that are compared together, pairs taken at once, and texts that one cell of the exact comparison holds.
+SMALL_CELL, MET_PAIRS, TEXT_CELL = 48, 1 << 16, 512
 
 
-def _word_fingerprint(words: list[bytes]) -> int:
-    distinct = set(words)
-    if not distinct:
-        return 0
-    hashes = np.frombuffer(b"".join(map(partial(xxhash.xxh64_digest, seed=HASH_SEED), distinct)), dtype=np.uint8).reshape(-1, 8)
-    ones = sum(np.unpackbits(hashes[k:k + CHUNK], axis=1).sum(axis=0, dtype=np.int64) for k in range(0, len(hashes), CHUNK))
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big", signed=True)
-
-
-def _substrings(fps: DataFrame, orders: int = ORDERS) -> DataFrame:
-    """A row for each table: the number of the table and 16 bits of the fingerprint under an order of its bits; with the pivot table's row."""
-    parts = [sorted(map(int, part)) for order in range(orders) for part in np.array_split(np.random.default_rng(order).permutation(64), 4)]
-    made = pivots()
+def shingle_set(text: bytes, width: int) -> frozenset:
+    words = text.lower().split()
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(width)))) if len(words) >= width else [b" ".join(words)]
+    return frozenset(map(partial(xxhash.xxh3_64_intdigest, seed=HASH_SEED), shingles))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                fps = batch.column(0).slice(at, 4096).to_numpy()
-                bits = fps.view(np.uint64)
-                keys = np.empty((len(fps), len(parts)), dtype=np.int64)
-                for t, positions in enumerate(parts):
-                    sub = np.zeros(len(fps), dtype=np.uint64)
-                    for k, p in enumerate(positions):
-                        sub |= ((bits >> np.uint64(p)) & np.uint64(1)) << np.uint64(k)
-                    keys[:, t] = (t << 16) | sub.astype(np.int64)
-                table = np.stack([np.bitwise_count(bits ^ np.int64(p).view(np.uint64)) for p in made], axis=1).astype(np.uint8)
-                rows = pa.array([r.tobytes() for r in table], pa.binary()).take(pa.array(np.repeat(np.arange(len(fps)), len(parts))))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(fps, len(parts))), rows], names=["key", "fp", "table"])
 
-    return fps.select("fp").mapInArrow(run, "key long, fp long, table binary")
+def prefix(shingles: frozenset, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles, sorted: 60 bits of the hash, below 4 bits that put those in ``common`` (sorted hashes, their counts) behind the others.
 
+    Two sets as similar as asked share at least similarity * n shingles, n being the larger size or the smaller one. The
+    first of those is, in either set, ahead of all others shared, so at most n - ceil(similarity * n) come before it.
+    """
+    hashes = np.fromiter(shingles, dtype=np.uint64, count=len(shingles))
+    level = np.zeros(len(hashes), dtype=np.uint64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
+        level = np.where(common[0][at] == hashes, np.minimum(15, np.log2(common[1][at])), 0).astype(np.uint64)
+    ahead = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
+    return np.sort((level << np.uint64(60)) | (hashes >> np.uint64(4)))[:ahead]
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, similarity: float) -> bool:
+    """False if the prefixes of two sets of n_a and n_b shingles prove them less similar: up to the end of the one that ends first, too many are not shared."""
+    last = min(a[-1], b[-1])
+    a, b = a[:np.searchsorted(a, last, side="right")], b[:np.searchsorted(b, last, side="right")]
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1) if len(b) else a
+    both = int((b[at] == a).sum()) if len(b) else 0
+    least = similarity / (1 + similarity) * (n_a + n_b) - 1e-9
+    return len(a) - both <= n_a - least and len(b) - both <= n_b - least
+
+
+def _common(keyed: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of shingles that several texts of a bounded sample hold. They only order shingles, so any sample gives the same links."""
+    draw = F.pmod(F.xxhash64(F.lit(3), "h1"), F.lit(1 << 30))
+    rows = keyed.filter(draw < F.lit(int(min(1.0, SAMPLE_TEXTS / max(1, keyed.count())) * (1 << 30)))).select("text")
 
-def candidate_links(fps: DataFrame, max_bits: int = CANDIDATE_BITS, cell_rows: int = 4096) -> DataFrame:
-    """Edges (a, b) that connect the fingerprints within max_bits that share a table's key: the forests of all cells."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
+            sets = [np.fromiter(shingle_set(t, width), dtype=np.uint64) for t in part.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["key"])
+
+    found = rows.mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON)
+    kept = found.orderBy(F.desc("n"), "key").limit(MOST_COMMON).collect()
+    hashes = np.array([r.key for r in kept], dtype=np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.array([r.n for r in kept], dtype=np.int64)[order]
+
+
+def _groups(cid: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(meeting, cid) of groups of two or more; a meeting is a hash of its members, so those who meet by several keys alike are compared once."""
+    order = np.argsort(group, kind="stable")
+    begin = np.flatnonzero(np.diff(group[order], prepend=-1))
+    sizes = np.diff(np.append(begin, len(order)))
+    if (sizes > 1).any():
+        mixed = cid[order].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+        meeting = np.repeat(np.add.reduceat(mixed ^ (mixed >> np.uint64(31)), begin), sizes)
+        several = np.repeat(sizes > 1, sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(meeting[several].view(np.int64)), pa.array(cid[order][several])], names=["meeting", "cid"])
+
+
+def _meetings(classes: DataFrame, similarity: float, first_keys: int | None, cell_rows: int, tag: str) -> DataFrame:
+    """(meeting, cid) from rows (cid, n, label, keys): classes that share a key and could be similar by their sizes, and are not linked yet."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            keys = [np.frombuffer(k, dtype=np.int64)[:first_keys] for k in part.column(1).to_pylist()]
+            times = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), part.column(0).take(pa.array(times))], names=["key", "cid"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, starts in iter_blocks(batches, "key"):
-            fps, own, across = cols["fp"], cols["own"], cols["cell_i"] != cols["cell_j"]
-            table, bits = np.frombuffer(b"".join(cols["table"]), dtype=np.uint8).reshape(len(fps), -1).astype(np.int8), fps.view(np.uint64)
-            left, right = [], []
+            cid, n, label, own, across = cols["cid"], cols["n"], cols["label"], cols["own"], cols["cell_i"] != cols["cell_j"]
+            nodes = np.arange(len(cid))
+            group = nodes
+
+            def add(i: np.ndarray, j: np.ndarray) -> None:
+                nonlocal group
+                ok = (label[i] != label[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9) & (~across[i] | (own[i] != own[j]))
+                if ok.any():
+                    group = forest(len(cid), np.concatenate([nodes, i[ok]]), np.concatenate([group, j[ok]]))
+
             i, j = small_pairs(starts, SMALL_CELL)
-            for at in range(0, len(i), PAIRS):
-                a, b = i[at:at + PAIRS], j[at:at + PAIRS]
-                for p in range(table.shape[1]):  # discard by any pivot
-                    near = np.abs(table[a, p] - table[b, p]) <= max_bits
-                    a, b = a[near], b[near]
-                near = np.bitwise_count(bits[a] ^ bits[b]) <= max_bits
-                left.append(a[near]), right.append(b[near])
+            for at in range(0, len(i), MET_PAIRS):
+                add(i[at:at + MET_PAIRS], j[at:at + MET_PAIRS])
             for k in np.flatnonzero(np.diff(starts) > SMALL_CELL):
                 first, end = starts[k], starts[k + 1]
-                for a, b in close_pairs(fps[first:end], table[first:end], max_bits):
-                    left.append(a + first), right.append(b + first)
-            a, b = np.concatenate(left or [np.zeros(0, int)]), np.concatenate(right or [np.zeros(0, int)])
-            ok = ~across[a] | (own[a] != own[b])
-            root = forest(len(fps), a[ok], b[ok])
-            member = np.flatnonzero(root != np.arange(len(fps)))
-            if len(member):
-                yield pa.RecordBatch.from_arrays([pa.array(fps[root[member]]), pa.array(fps[member])], names=["a", "b"])
+                for at in range(first, end, 16):
+                    i, j = np.nonzero(np.arange(at, min(at + 16, end))[:, None] < np.arange(at, end)[None])
+                    add(i + at, j + at)
+            yield from _groups(cid, group)
 
-    return into_cells(_substrings(fps), "key", "fp", cell_rows).mapInArrow(run, "a long, b long").distinct()
+    rows = classes.select("cid", "keys").mapInArrow(keyed, "key long, cid long")
+    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1).select("key")
+    shared = materialize(rows.join(several, "key", "left_semi"), f"similar-shared-{tag}")  # most keys are of one class
+    return into_cells(shared.join(classes.select("cid", "n", "label"), "cid"), "key", "cid", cell_rows).mapInArrow(run, "meeting long, cid long").distinct()
 
 
-def shingle_set(text: bytes, width: int) -> frozenset:
-    words = text.lower().split()
-    if len(words) < width:
-        return frozenset([b" ".join(words)])
-    return frozenset(map(partial(xxhash.xxh3_64_intdigest, seed=HASH_SEED), map(b" ".join, zip(*(words[k:] for k in range(width))))))
+def _possible(met: DataFrame, similarity: float, cell_rows: int) -> DataFrame:
+    """The meetings (meeting, cid) that are left of rows (meeting, cid, n, label, keys), without the pairs that the keys rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in iter_cells(batches, "meeting"):
+            n, label, own, across = cell["n"], cell["label"], cell["own"], cell["cell_i"][0] != cell["cell_j"][0]
+            keys = [np.frombuffer(k, dtype=np.uint64) for k in cell["keys"]]
+            group = np.arange(len(n))
+            for i in range(1, len(n)):
+                near = (np.minimum(n[:i], n[i]) >= similarity * np.maximum(n[:i], n[i]) - 1e-9) & (label[:i] != label[i])
+                near = np.flatnonzero(near & ((own[:i] != own[i]) if across else True))
+                while len(near := near[group[near] != group[i]]):
+                    j, near = int(near[0]), near[1:]
+                    if may_be_similar(keys[i], keys[j], int(n[i]), int(n[j]), similarity):
+                        low, high = sorted((group[i], group[j]))
+                        group[group == high] = low
+            yield from _groups(cell["cid"], group)
+
+    return into_cells(met, "meeting", "cid", cell_rows).mapInArrow(run, "meeting long, cid long").distinct()
 
 
-def _verified(texts: DataFrame, width: int, similarity: float, max_bits: int, cell_rows: int) -> DataFrame:
-    """Edges (a, b) of classes whose shingle sets are similar, from rows (component, cid, fp, text): forests of cells."""
+def _verified(texts: DataFrame, width: int, similarity: float, cell_rows: int) -> DataFrame:
+    """Edges (a, b) of classes that are linked or whose shingle sets are similar, from rows (meeting, cid, n, label, text): forests of cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in iter_cells(batches, "component"):
-            n, across = len(cell["cid"]), cell["cell_i"][0] != cell["cell_j"][0]
-            bits, own = cell["fp"].view(np.uint64), cell["own"]
-            sets: list[frozenset | None] = [None] * n
-            label = np.arange(n)
+        for cell in iter_cells(batches, "meeting"):
+            size, across, own = cell["n"], cell["cell_i"][0] != cell["cell_j"][0], cell["own"]
+            n = len(size)
+            sets: list[np.ndarray | None] = [None] * n
+            _, first, inverse = np.unique(cell["label"], return_index=True, return_inverse=True)
+            label = first[inverse]
             for i in range(1, n):
-                near = np.flatnonzero((np.bitwise_count(bits[:i] ^ bits[i]) <= max_bits) & ((own[:i] != own[i]) if across else True))
+                near = np.minimum(size[:i], size[i]) >= similarity * np.maximum(size[:i], size[i]) - 1e-9
+                near = np.flatnonzero(near & ((own[:i] != own[i]) if across else True))
                 while len(near := near[label[near] != label[i]]):  # those that are linked already need no comparison
                     j, near = int(near[0]), near[1:]
                     for k in (i, j):
                         if sets[k] is None:
-                            sets[k] = shingle_set(cell["text"][k], width)
+                            sets[k] = np.sort(np.fromiter(shingle_set(cell["text"][k], width), dtype=np.uint64))
                     a, b = sets[i], sets[j]
-                    if min(len(a), len(b)) >= similarity * max(len(a), len(b)):
-                        both = len(a & b)
-                        if both >= similarity * (len(a) + len(b) - both):
-                            low, high = sorted((label[i], label[j]))
-                            label[label == high] = low
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    if both >= similarity * (len(a) + len(b) - both) - 1e-9:
+                        low, high = sorted((label[i], label[j]))
+                        label[label == high] = low
             member = np.flatnonzero(label != np.arange(n))
             if len(member):
                 yield pa.RecordBatch.from_arrays([pa.array(cell["cid"][label[member]]), pa.array(cell["cid"][member])], names=["a", "b"])
 
-    return into_cells(texts, "component", "cid", cell_rows).mapInArrow(run, "a long, b long")
+    return into_cells(texts, "meeting", "cid", cell_rows).mapInArrow(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_bits: int = CANDIDATE_BITS, cell_rows: int = TEXT_CELL) -> DataFrame:
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, cell_rows: int = TEXT_CELL) -> DataFrame:
     """(doc_id, component_id) of every row: components of texts whose sets of width-word shingles have a Jaccard similarity of at least ``similarity``.
 
-    Found are pairs whose word fingerprints differ in at most max_bits bits and share one of 24 tables: over 0.99 of
-    pairs that differ in 6 bits, 0.8 in 10; near-copies at 0.8 differ in 3 bits in the median. All found links are exact.
+    All such pairs are found, and no others are linked (shingles are compared as 64-bit hashes).
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), text.cast("binary").alias("text"))
+    common = _common(keyed, width)
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
-            fps = [_word_fingerprint(t.lower().split()) for t in part.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(fps, pa.int64())], names=["doc_id", "h1", "h2", "fp"])
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
+            sets = [shingle_set(t, width) for t in part.column(3).to_pylist()]
+            made = pa.array([prefix(s, similarity, common).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([len(s) for s in sets], pa.int64()), made], names=["doc_id", "h1", "h2", "n", "keys"])
 
-    schema = T.StructType([T.StructField("doc_id", keyed.schema["doc_id"].dataType), *(T.StructField(c, T.LongType()) for c in ("h1", "h2", "fp"))])
-    rows = materialize(keyed.mapInArrow(prints, schema), "similar-prints")
-    classes = rows.groupBy("h1", "h2", "fp").agg(F.min("doc_id").alias("first")).withColumn("cid", F.monotonically_increasing_id())
+    schema = T.StructType([T.StructField("doc_id", keyed.schema["doc_id"].dataType), *(T.StructField(c, T.LongType()) for c in ("h1", "h2", "n")), T.StructField("keys", T.BinaryType())])
+    rows = materialize(keyed.mapInArrow(keys, schema), "similar-keys")
+    classes = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.min("keys").alias("keys")).withColumn("cid", F.monotonically_increasing_id())
     classes = materialize(classes, "similar-classes")
-    found = connected_components(candidate_links(classes.select("fp").distinct(), max_bits), "similar-candidates")
-    placed = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    placed = materialize(placed, "similar-placed")
-    several = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component")
-    asked = placed.join(several, "component", "left_semi").select("component", "cid", "fp", "h1", "h2", F.col("first").alias("__first"))
-    # One row of each class brings its text; rows that repeat it drop out by the class.
-    texts = keyed.join(asked, ["h1", "h2"]).filter(F.col("doc_id").eqNullSafe(F.col("__first"))).select("component", "cid", "fp", "text").dropDuplicates(["cid"])
-    linked = connected_components(_verified(texts, width, similarity, max_bits, cell_rows), "similar-links")
-    known = classes.join(linked.select(F.col("node").alias("cid"), F.col("component")), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+
+    def linked(labelled: DataFrame, first_keys: int | None, tag: str) -> DataFrame:
+        met = materialize(_meetings(labelled, similarity, first_keys, CELL_ROWS, tag), f"similar-meetings-{tag}")
+        met = materialize(_possible(met.join(labelled.select("cid", "n", "label", "keys"), "cid"), similarity, CELL_ROWS), f"similar-possible-{tag}")
+        asked = met.join(labelled.select("cid", "n", "label", "h1", "h2", F.col("first").alias("__first")), "cid")
+        # One row of each class brings its text; rows that repeat it drop out by the class.
+        asked = materialize(asked, f"similar-asked-{tag}")
+        texts = keyed.join(asked, ["h1", "h2"]).filter(F.col("doc_id").eqNullSafe(F.col("__first")))
+        texts = texts.select("meeting", "cid", "n", "label", "text").dropDuplicates(["meeting", "cid"])
+        texts = materialize(texts, f"similar-texts-{tag}")
+        return materialize(_verified(texts, width, similarity, cell_rows), f"similar-verified-{tag}")
+
+    groups = connected_components(linked(classes.withColumn("label", F.col("cid")), FIRST_KEYS, "first"), "similar-first")
+    labelled = classes.join(groups.select(F.col("node").alias("cid"), F.col("component").alias("label")), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    more = linked(materialize(labelled, "similar-labelled"), None, "all")
+    if not more.isEmpty():
+        groups = connected_components(more.union(groups.select("component", "node")), "similar-links")
+    known = classes.join(groups.select(F.col("node").alias("cid"), F.col("component")), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     known = materialize(known.select("h1", "h2", "first", "component"), "similar-known")
     least = known.groupBy("component").agg(F.min("first").alias("component_id"))
     by_class = known.join(least, "component").select("h1", "h2", "component_id")

@@ -51,6 +51,20 @@ def test_recall_by_cosine():
         assert (codes.keys(codes.encode(a)) == codes.keys(codes.encode(c))).any(axis=1).mean() > least
 
 
+@pytest.mark.parametrize("width", [8, 16, 24, 64, 128])
+def test_recall_just_above_the_threshold(width):
+    rng = np.random.default_rng(7)
+    codes = itq.learn(itq.unit(rng.normal(size=(2000, width))))
+    for cosine in (0.9, 0.91, 0.92):
+        a = itq.unit(rng.normal(size=(3000, width)))
+        b = rng.normal(size=(3000, width))
+        b = itq.unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+        c = cosine * a + np.sqrt(1 - cosine**2) * b
+        one, other = codes.encode(a), codes.encode(c)
+        met = (codes.keys(one) == codes.keys(other)).any(axis=1) & (np.bitwise_count(one ^ other) <= itq.MAX_BITS)
+        assert met.mean() > 0.93
+
+
 def exact_neighbours(ids, x, queries, k=5):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     out = {}

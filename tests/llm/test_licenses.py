@@ -1,3 +1,5 @@
+import textwrap
+
 import numpy as np
 
 from voltrace.llm import licenses
@@ -33,3 +35,32 @@ def test_scan(spark):
     assert got == sorted([(0, 3, 1, "CC-BY-NC", "CC-BY-NC")] * 2 + [(1, 2, 2, "Apache-2.0,MIT", got[3][4]), (2, 1, 0, "", "unknown"), (3, 0, 0, "", "unknown"), (4, 0, 0, "", "unknown"),
                    (5, 1, 0, "", "unknown"), (-1, 1, 1, "Proprietary", "Proprietary")])
     assert licenses.license_scan(df.limit(0)).count() == 0
+
+
+WRAPPED = {
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "LGPL": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+}
+
+
+def test_wrapped_notices_are_found(spark):
+    rows, want = [], {}
+    for family, text in WRAPPED.items():
+        for width in (40, 60, 72, 80):
+            for mark in ("", "# ", " * ", "// ", "dnl "):
+                lines = [mark + x for part in text.split("\n\n") for x in [*textwrap.wrap(part, width - len(mark)), ""]]
+                for ahead in ([], ["int main(void);", "Than in ofblethti the and"]):
+                    want[len(rows)] = family
+                    rows.append((len(rows), "\n".join(ahead + lines)))
+    for text in (*PLAIN, " ".join(PLAIN * 20)):
+        rows.append((len(rows), "\n".join(textwrap.wrap(text, 30))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.family, r.families, r.n_license) for r in licenses.license_scan(df).collect()}
+    for i, _ in rows:
+        family, families, n = got[i]
+        assert (family, families, n > 0) == ((want[i], want[i], True) if i in want else ("unknown", "", False)), (rows[i], got[i])
+    two = WRAPPED["MIT"].replace("\n\n", " ") + " " + WRAPPED["MPL-2.0"]  # one block with two notices
+    df = spark.createDataFrame([(1, "\n".join(textwrap.wrap(two, 72)))], "doc_id long, text string")
+    assert licenses.license_scan(df).first().families == "MIT,MPL-2.0"

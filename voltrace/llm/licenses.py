@@ -11,6 +11,10 @@ vocabulary words. A family is confirmed if the paragraph holds enough of the
 word pairs of one of its templates. A paragraph without any feature is
 ``unknown`` by definition.
 
+Notices are often wrapped. In a block (lines with a word, up to a line without
+one, such as a bare comment mark) runs of lines are joined and classified as
+well; a family that no line of the block confirms counts once for the block.
+
 Null and empty texts have no paragraphs; repeated rows are scanned each; an
 empty table gives an empty result. Other columns are not read.
 """
@@ -20,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _WORD = re.compile(r"[^\W_]+")
+#: Comment marks that are words; all others are no part of a word.
+_MARK = re.compile(r"^\s*(?:dnl|rem)\b", re.IGNORECASE)
 UNKNOWN = "unknown"
 SAMPLE_DOCUMENTS, LEAST_PROBABILITY, LEAST_SHARE = 1000, 0.5, 0.6
 
@@ -111,6 +118,10 @@ def _vocabulary() -> tuple[dict[str, int], frozenset[str]]:
 VOCABULARY, CUES = _vocabulary()
 FAMILIES = [*TEMPLATES, UNKNOWN]
 _TEMPLATE_GRAMS = {f: [frozenset(g for g in _grams(paragraph_words(t)) if " " in g) for t in texts] for f, texts in TEMPLATES.items()}
+_TEMPLATE_PAIRS = [frozenset(tuple(g.split()) for g in t) for texts in _TEMPLATE_GRAMS.values() for t in texts]
+_ALL_PAIRS = frozenset().union(*_TEMPLATE_PAIRS)
+#: Words of lines that are joined at most: thrice the longest template.
+JOINED_WORDS = 3 * max(len(paragraph_words(t)) for texts in TEMPLATES.values() for t in texts)
 
 
 def features(words: list[str]) -> list[int]:
@@ -161,7 +172,9 @@ class Classifier:
 
     def classify(self, paragraph: str) -> tuple[str, float, float] | None:
         """(family or unknown, its probability, template share); None without any feature."""
-        words = paragraph_words(paragraph)
+        return self.classify_words(paragraph_words(paragraph))
+
+    def classify_words(self, words: list[str]) -> tuple[str, float, float] | None:
         if CUES.isdisjoint(words):
             return None
         p = self.probabilities(features(words))
@@ -170,6 +183,28 @@ class Classifier:
             return UNKNOWN, float(p[-1]), 0.0
         return FAMILIES[k], float(p[k]), template_share(words, FAMILIES[k])
 
+    def wrapped(self, lines: list[list[str]], known: set[str]) -> list[tuple[int, str, float, float]]:
+        """(line, family, probability, share) of families but the known ones that joined lines of a block confirm, each once."""
+        held = _ALL_PAIRS.intersection(pairwise(chain.from_iterable(lines)))
+        if len(lines) < 2 or not any(len(t & held) >= LEAST_SHARE * len(t) for t in _TEMPLATE_PAIRS):
+            return []
+        out, i = [], 0
+        while i < len(lines):
+            best, words = None, list(lines[i])
+            for j in range(i, len(lines)):
+                if j > i:
+                    words = words + lines[j]
+                    if len(words) > JOINED_WORDS:
+                        break
+                c = self.classify_words(words)
+                if c is not None and c[0] != UNKNOWN and c[2] >= LEAST_SHARE and (best is None or c[2] > best[1][2]):
+                    best = j, c
+            if best is not None and best[1][0] not in known:
+                known = known | {best[1][0]}
+                out.append((i, *best[1]))
+            i = i + 1 if best is None else best[0] + 1
+        return out
+
 
 def train(background: list[list[str]], *, rounds: int = 300, rate: float = 0.5, ridge: float = 1e-4, seed: int = 42) -> Classifier:
     """Full-batch gradient steps with momentum on the softmax loss; every fifth example is held out for the temperature."""
@@ -225,13 +260,20 @@ def scan_paragraphs(docs: DataFrame, model: Classifier, *, id_col: str = "doc_id
                 part = batch.slice(at, 256)
                 index, found = [], []
                 for i, text in enumerate(part.column(1).to_pylist()):
-                    n, mine = 0, []
-                    for k, line in enumerate(text.split("\n")):
+                    n, mine, block, known = 0, [], [], set()
+                    for k, line in enumerate([*text.split("\n"), ""]):
+                        words = paragraph_words(line)
+                        if not words and block:
+                            mine += [(k - len(block) + at, *c) for at, *c in model.wrapped(block, known)]
+                            block, known = [], set()
                         if not line or line.isspace():
                             continue
                         n += 1
-                        if (c := model.classify(line)) is not None and (c[0] != UNKNOWN):
+                        if words:
+                            block.append(paragraph_words(_MARK.sub("", line)) if _MARK.match(line) else words)
+                        if (c := model.classify_words(words)) is not None and (c[0] != UNKNOWN):
                             mine.append((k, *c))
+                            known |= {c[0]} if c[2] >= LEAST_SHARE else set()
                     index.append(i)
                     found.append((n, [dict(zip(("paragraph", "family", "probability", "share"), m, strict=True)) for m in mine]))
                 yield pa.RecordBatch.from_arrays(
@@ -246,7 +288,7 @@ def scan_paragraphs(docs: DataFrame, model: Classifier, *, id_col: str = "doc_id
 def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_paragraphs, n_license, families, family, probability) of every row.
 
-    n_license counts confirmed paragraphs; families are theirs, sorted and joined by commas; family is the
+    n_license counts confirmed paragraphs, and notices that only joined lines confirm; families are theirs, sorted and joined by commas; family is the
     confirmed one of highest probability, or unknown.
     """
     model = train(background_sample(docs, id_col=id_col, text_col=text_col))

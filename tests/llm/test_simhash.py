@@ -131,6 +131,15 @@ def test_all_copies_at_the_threshold_are_found(spark):
         assert {r.doc_id: r.component_id for r in simhash.similar_groups(df, cell_rows=cell_rows).collect()} == want
 
 
+def test_texts_that_share_an_id_lose_none(spark):
+    base = [" ".join(f"{w}{k}" for k in range(40)) for w in "abcd"]
+    rows = [(1, base[0]), (1, base[1]), (2, base[0] + " z"), (1, base[0]), (3, base[2]), (4, base[2] + " z"), (3, base[3]), (5, base[1] + " z"), (None, base[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    stay = simhash.first_of_each_group(df, simhash.similar_groups(df))
+    want = [(-1, base[3]), (1, base[0]), (1, base[1]), (3, base[2]), (3, base[3])]
+    assert sorted((r.doc_id or -1, r.text) for r in stay.collect()) == want
+
+
 def test_prefixes_rule_out_only_what_is_not_similar():
     rng = random.Random(8)
     common = (np.array(sorted(rng.randrange(1 << 64) for _ in range(200)), dtype=np.uint64), np.arange(3, 203))

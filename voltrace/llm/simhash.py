@@ -317,9 +317,10 @@ def _verified(texts: DataFrame, width: int, similarity: float, cell_rows: int) -
 
 
 def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, cell_rows: int = TEXT_CELL) -> DataFrame:
-    """(doc_id, component_id) of every row: components of texts whose sets of width-word shingles have a Jaccard similarity of at least ``similarity``.
+    """(doc_id, component_id, h1, h2, kept) of every row: components of texts whose sets of width-word shingles have a Jaccard similarity of at least ``similarity``.
 
-    All such pairs are found, and no others are linked (shingles are compared as 64-bit hashes).
+    All such pairs are found, and no others are linked (shingles are compared as 64-bit hashes). h1 and h2 are hashes of
+    the text; kept are rows of the text that stands for the component, the one with the smallest id and then hashes.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), text.cast("binary").alias("text"))
@@ -354,23 +355,32 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         groups = connected_components(more.union(groups.select("component", "node")), "similar-links")
     known = classes.join(groups.select(F.col("node").alias("cid"), F.col("component")), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     known = materialize(known.select("h1", "h2", "first", "component"), "similar-known")
-    least = known.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_class = known.join(least, "component").select("h1", "h2", "component_id")
-    return rows.select("doc_id", "h1", "h2").join(by_class, ["h1", "h2"]).select("doc_id", "component_id")
+    least = known.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "h1", "h2")).alias("least"))
+    same = (F.col("h1") == F.col("least.h1")) & (F.col("h2") == F.col("least.h2"))
+    by_class = known.join(least, "component").select("h1", "h2", F.col("least.first").alias("component_id"), same.alias("kept"))
+    return rows.select("doc_id", "h1", "h2").join(by_class, ["h1", "h2"]).select("doc_id", "component_id", "h1", "h2", "kept")
 
 
 def first_of_each_group(docs: DataFrame, groups: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that another stands for: of each component of groups (doc_id, component_id) the row of its id stays, with all its columns.
 
-    Of rows that repeat that id, the one with the smallest text hash stays. Rows without an id all stay.
+    If groups has the columns h1, h2 and kept of similar_groups, the row of that id and text stays, so that components
+    that share an id lose no text. Otherwise, of rows that repeat that id, the one with the smallest text hash stays.
+    Rows without an id all stay.
     """
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept_id")).distinct()
-    repeated = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1).filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__kept_id"))
+    ids = groups.filter(F.col("doc_id") == F.col("component_id"))
+    keys = ["__id"]
+    rows = docs.withColumn("__id", F.col(id_col))
+    if "kept" in groups.columns:
+        ids, keys = ids.filter("kept"), ["__id", "__h1", "__h2"]
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        rows = rows.withColumn("__h1", F.xxhash64(text)).withColumn("__h2", F.xxhash64(F.lit(1), text))
+    kept = ids.select(*(F.col(c).alias(k) for c, k in zip(("doc_id", "h1", "h2"), keys, strict=False))).distinct()
+    repeated = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1).filter(F.col("__id").isNotNull()).select(*keys)
     repeated = materialize(repeated, "simhash-repeated")
-    stay = docs.join(kept, F.col(id_col) == F.col("__kept_id"), "left_semi")
+    stay = rows.join(kept, keys, "left_semi")
     if not repeated.isEmpty():
-        again = stay.join(repeated, F.col(id_col) == F.col("__kept_id"), "left_semi")
-        nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), F.col(text_col)))
-        one = again.withColumn("__nth", nth).filter(F.col("__nth") == 1).drop("__nth")
-        stay = stay.join(repeated, F.col(id_col) == F.col("__kept_id"), "left_anti").unionByName(one)
-    return stay.unionByName(docs.filter(F.col(id_col).isNull()))
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(text_col), F.col(text_col)))
+        one = stay.join(repeated, keys, "left_semi").withColumn("__nth", nth).filter(F.col("__nth") == 1).drop("__nth")
+        stay = stay.join(repeated, keys, "left_anti").unionByName(one)
+    return stay.select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))

@@ -167,28 +167,24 @@ def _(spark, sf):
 # Models by asset ----------------------------------------------------------------
 
 
-def _recent(spark, sf):
-    return usable_panel(spark, sf).filter(F.col("timestamp") >= "1998-01-01")
-
-
 @registered("gjr_garch_fit", None)
 def _(spark, sf):
-    return rounded(models.fit_gjr_garch(_recent(spark, sf)))
+    return rounded(models.fit_gjr_garch(usable_panel(spark, sf)))
 
 
 @registered("conditional_volatility", None)
 def _(spark, sf):
-    return rounded(models.conditional_volatility(_recent(spark, sf)))
+    return rounded(models.conditional_volatility(usable_panel(spark, sf)))
 
 
 @registered("regimes", None)
 def _(spark, sf):
-    return rounded(models.predict_regimes(models.fit_hmm(_recent(spark, sf), ["return", "volatility"], config=hmm.Config(n_components=2, n_iter=50))))
+    return rounded(models.predict_regimes(models.fit_hmm(usable_panel(spark, sf), ["return", "volatility"], config=hmm.Config(n_components=2, n_iter=50))))
 
 
 @registered("trees_by_asset", None)
 def _(spark, sf):
-    return rounded(models.fit_trees(_recent(spark, sf), ["return", "naive", "older"], config=boost.Config(n_estimators=20, max_depth=3)))
+    return rounded(models.fit_trees(usable_panel(spark, sf), ["return", "naive", "older"], config=boost.Config(n_estimators=20, max_depth=3)))
 
 
 @registered("pooled_trees", None)

@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,15 +53,41 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+#: Tables that the innermost scratch() will delete, for each open one.
+_SCRATCH: list[list[str]] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that were materialized inside, but those to keep, at the end. What leaves it must not read them."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            delete(spark, path)
+
+
+def materialize(df: DataFrame, tag: str, *, keep: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     It cuts the lineage like checkpoint(), computes df only once, and gives the
-    planner real sizes. A lost executor costs nothing: the files remain.
+    planner real sizes. A lost executor costs nothing: the files remain, inside
+    scratch() until its end unless keep.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/voltrace/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(path)
+    elif len(_SCRATCH) > 1:
+        _SCRATCH[-2].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -109,7 +109,7 @@ def test_similar_groups_against_brute_force(spark, cell_rows):
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, fp string, component int").repartition(4)
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(df, cell_rows=cell_rows).collect()}
     want = brute_similar(rows)
-    assert sum(got[k] == want[k] for k in want) >= len(want) - 2 and len(set(want.values())) < len(want) - 60
+    assert got == want and len(set(want.values())) < len(want) - 60
     assert all(want[k] == want[c] for k, c in got.items())  # no link but exact ones
     assert simhash.similar_groups(df.limit(0)).count() == 0
 
@@ -151,7 +151,7 @@ def test_prefixes_rule_out_only_what_is_not_similar():
         a = frozenset(a)
         similar = len(a & b) >= 0.8 * len(a | b)
         x, y = simhash.prefix(a, 0.8, common), simhash.prefix(b, 0.8, common)
-        met = len(np.intersect1d(x, y)) > 0 and simhash.may_be_similar(x, y, len(a), len(b), 0.8)
+        met = len(np.intersect1d(x, y)) > 0 and simhash.may_be_similar(simhash.brief(x), simhash.brief(y), len(a), len(b), 0.8)
         assert met or not similar
         ruled_out += not met
     assert ruled_out > 0

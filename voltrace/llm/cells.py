@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltrace.runtime import materialize
+from voltrace.runtime import materialize, scratch
 
 CELL_ROWS = 4096
 
@@ -154,23 +154,27 @@ def connected_components(edges: DataFrame, tag: str, max_rounds: int = 60) -> Da
     folder, so neither a hot node nor a lost executor matters.
     """
     a, b = F.col("a"), F.col("b")
-    links = materialize(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter(a != b).distinct(), f"{tag}-links")
-    for round_ in range(max_rounds):
-        both = links.union(links.select(b.alias("a"), a.alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.join(low, "a").filter(b > a).select(b.alias("a"), F.col("low").alias("b")).distinct()
-        large = materialize(large, f"{tag}-large-{round_}")
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(least, "a").select(F.explode(F.array(
-            F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct(F.col("a").alias("a"), F.col("low").alias("b")),
-        )).alias("e")).select("e.a", "e.b").filter(a != b).distinct()
-        new = materialize(small, f"{tag}-small-{round_}")
-        # Both sets are duplicate-free, so they are equal if they count alike and none is outside the other.
-        changed = new.join(links, ["a", "b"], "left_anti").isEmpty() is False or new.count() != links.count()
-        links = new
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    nodes = links.select(a.alias("node"), b.alias("component"))
-    return nodes.union(links.select(b, b)).distinct()
+    with scratch(edges.sparkSession):
+        links = materialize(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter(a != b).distinct(), f"{tag}-links")
+        n = links.count()
+        for round_ in range(max_rounds if n else 0):
+            both = links.union(links.select(b.alias("a"), a.alias("b")))
+            low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+            large = both.join(low, "a").filter(b > a).select(b.alias("a"), F.col("low").alias("b")).distinct()
+            large = materialize(large, f"{tag}-large-{round_}")
+            least = large.groupBy("a").agg(F.min("b").alias("low"))
+            small = large.join(least, "a").select(F.explode(F.array(
+                F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct(F.col("a").alias("a"), F.col("low").alias("b")),
+            )).alias("e")).select("e.a", "e.b").filter(a != b).distinct()
+            new = materialize(small, f"{tag}-small-{round_}")
+            # Both sets are duplicate-free, so they are equal if they count alike and none is outside the other.
+            before, n = n, new.count()
+            changed = n != before or not new.join(links, ["a", "b"], "left_anti").isEmpty()
+            links = new
+            if not changed:
+                break
+        else:
+            if n:
+                raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        nodes = links.select(a.alias("node"), b.alias("component"))
+        return materialize(nodes.union(links.select(b, b)).distinct(), f"{tag}-components", keep=True)

@@ -1,6 +1,9 @@
+import math
 import random
 import zlib
 
+import pytest
+
 from voltrace.llm import toxicity
 
 PLAIN = "lorem ipsum dolor sit amet consectetur elit sed eiusmod tempor incididunt labore magna aliqua enim minim veniam quis".split()
@@ -30,6 +33,48 @@ def test_fold():
     assert toxicity.fold("") == "  " and toxicity.fold("а​b") == " ab "
 
 
+def test_signs_stand_for_letters_in_words_only():
+    assert toxicity.fold("you stupid! idiot!! $5.00 1984 - 3:30") == " you stupid idiot "
+    assert toxicity.fold("$tup1d, (st@pid) !diot! b@d!s") == " stupid stapid idiot badis "
+    m = toxicity.Model({" stupid ": (5.0, True)})
+    assert m.evidence(toxicity.fold("you stupid!")) == m.evidence(toxicity.fold("you stupid")) == m.evidence(toxicity.fold("you 5tup1d!!"))
+
+
+def brute_evidence(m, text):
+    """Every entry at every place of the folded text, the longest of a place, outside all exceptions."""
+    folded = toxicity.fold(text)
+    spans = [(k, k + len(toxicity.fold(e)) - 1) for e in m.exceptions for k in range(len(folded)) if folded.startswith(toxicity.fold(e), k)]
+    hits = []
+    for k in range(len(folded)):
+        here = [e for e in m.entries if folded.startswith(e, k)]
+        if here:
+            e = max(here, key=len)
+            if not any(a <= k and k + len(e) - 1 <= b for a, b in spans):
+                hits.append(m.entries[e])
+    words = max(1, len(folded.split()))
+    telling, dense = [w for w, t in hits if t], [w for w, t in hits if not t]
+    return (math.log1p(sum(telling)), min(toxicity.MOST_SHARE, len(telling) / words), min(toxicity.MOST_DENSE, sum(dense) / words) if len(dense) > 1 else 0.0, math.log(words))
+
+
+def test_automaton_against_every_place():
+    rng = random.Random(6)
+    parts = ["dunce", "dun", "oaf", "loaf", "cap", "Düncé", "d*unce!", "0af", "a", "42", "ver", "vermin"]
+    m = toxicity.Model({" dunce ": (5.0, True), " dun": (2.0, False), " oaf ": (3.5, True), " vermin": (4.0, False), " ver": (1.5, True)}, ("dunce cap", "a oaf"))
+    for _ in range(400):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randrange(0, 30)))
+        assert m.evidence(toxicity.fold(text)) == pytest.approx(brute_evidence(m, text)), text
+
+
+def test_exceptions_are_learned(spark):
+    docs, labels = corpus()
+    clean = [i for i, t in labels if not t][:90]
+    docs = [(i, t + " the oaf tree stands" if i in clean else t, x) for i, t, x in docs]
+    model = toxicity.fit(*frames(spark, docs, labels))
+    assert "oaf tree" in model.exceptions and not any("vermin" in e for e in model.exceptions if model.score(e) > 0.9)
+    plain = " ".join(PLAIN * 2)
+    assert model.score(plain + " the oaf tree stands") < 0.5 < model.score(plain + " oaf you oaf dunce vermin")
+
+
 def test_held_out_accuracy(spark):
     docs, labels = corpus()
     d, lab = frames(spark, docs, labels)

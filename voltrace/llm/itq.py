@@ -18,14 +18,18 @@ main length, link with nothing: 0 links, a component of their own. Rows that
 repeat an id are rows of their own; null ids are allowed, and are no
 component's id if there is another. Other columns are not read.
 
-With 64 bits, pairs that differ in up to four bits are always found. Expected
-share of linked pairs found, by cosine, of vectors without structure: 0.95 and
-more: over 0.99; 0.92: 0.98; 0.91: 0.97; 0.9: 0.96. Narrower vectors have
-shorter substrings, so that there are always five tables of each order.
+Substrings are as long as keeps a bucket of evenly spread codes at about
+BUCKET_ROWS rows whatever the table's size, and the tables are as many as find
+TARGET of the pairs just at the threshold, whose differing bits follow from the
+angle (see ``plan``). A pair is a candidate in every table whose substring it
+shares, if it is within max_bits, so it is counted once, in the first of them.
+``exact=True`` compares all vectors with each other, in blocks: work that grows
+with the square of the table, for small tables and for measuring recall.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,8 +45,25 @@ from voltrace.runtime import materialize
 SAMPLE_ROWS, ROUNDS, MAX_BITS = 16_384, 40, 16
 #: Cells up to this size are compared together, larger ones each on its own.
 SMALL_CELL = 48
-#: Bits that a substring of wide codes has at least, orders of the bits, and least tables of each order; with 64 bits these are five tables of 12 or 13 bits.
-SUBSTRING, ORDERS, LEAST_TABLES = 12, 10, 5
+#: Rows of a bucket, of evenly spread codes, that substrings aim at; their shortest and longest; share of the pairs at the threshold to find; most tables.
+BUCKET_ROWS, SUBSTRINGS, TARGET, MOST_TABLES = 2048, (12, 20), 0.97, 600
+
+
+def plan(rows: int, width: int, threshold: float, max_bits: int = MAX_BITS, target: float = TARGET) -> tuple[int, int]:
+    """(substring bits, tables) for a table of so many rows and codes of width bits.
+
+    A pair at cosine c differs in each bit with probability arccos(c) / pi. Of pairs that differ in d bits a table with
+    substrings of s bits finds C(width - d, s) / C(width, s); pairs beyond max_bits are lost, whatever the tables.
+    """
+    least = max(1, min(SUBSTRINGS[0], width // 5))
+    bits = min(max(least, math.ceil(math.log2(max(2, rows) / BUCKET_ROWS))), SUBSTRINGS[1], max(least, 3 * width // 8))
+    p = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    share = [math.comb(width, d) * p**d * (1 - p) ** (width - d) for d in range(min(max_bits, width) + 1)]
+    found = [math.comb(width - d, bits) / math.comb(width, bits) for d in range(len(share))]
+    tables = 1
+    while tables < MOST_TABLES and sum(w * (1 - (1 - f) ** tables) for w, f in zip(share, found, strict=True)) < min(target, 0.995 * sum(share)):
+        tables += 1
+    return bits, tables
 
 
 @dataclass(frozen=True)
@@ -69,8 +90,8 @@ class Codes:
         return out
 
 
-def learn(x: np.ndarray, *, max_bits: int = 64, rounds: int = ROUNDS, substring: int = SUBSTRING, orders: int = ORDERS, seed: int = 42) -> Codes:
-    """Iterative quantisation on unit rows: principal components, then alternate signs and the rotation nearest to them."""
+def learn(x: np.ndarray, *, max_bits: int = 64, rounds: int = ROUNDS, rows: int | None = None, threshold: float = 0.9, seed: int = 42) -> Codes:
+    """Iterative quantisation on unit rows, a sample of ``rows``: principal components, then alternate signs and the rotation nearest to them."""
     rng = np.random.default_rng(seed)
     mean = x.mean(axis=0)
     width = min(max_bits, x.shape[1])
@@ -81,11 +102,12 @@ def learn(x: np.ndarray, *, max_bits: int = 64, rounds: int = ROUNDS, substring:
     for _ in range(rounds):
         u, _, w = np.linalg.svd(np.sign(v @ rotation).T @ v)
         rotation = (u @ w).T
-    tables = []
-    for order in range(orders):
-        bits = np.random.default_rng(seed + order).permutation(width)
-        tables += [tuple(map(int, part)) for part in np.array_split(bits, min(width, max(LEAST_TABLES, width // substring)))]
-    return Codes(mean, components @ rotation, tuple(tables))
+    bits, n_tables = plan(rows or len(x), width, threshold)
+    tables: list[tuple[int, ...]] = []
+    while len(tables) < n_tables:  # disjoint substrings of one order of the bits after another
+        order = np.random.default_rng(seed + len(tables)).permutation(width)
+        tables += [tuple(map(int, order[at:at + bits])) for at in range(0, width - bits + 1, bits)]
+    return Codes(mean, components @ rotation, tuple(tables[:n_tables]))
 
 
 def _distinct(rows: DataFrame) -> DataFrame:
@@ -132,8 +154,11 @@ def _candidates(distinct: DataFrame, codes: Codes, max_bits: int, cell_rows: int
     return into_cells(rows, "key", "cid", cell_rows).mapInArrow(near, "key long, cid long, code long").distinct()
 
 
-def _links(candidates: DataFrame, distinct: DataFrame, codes: Codes, threshold: float, cell_rows: int) -> DataFrame:
-    """Rows (cid, root, n): the vectors linked directly to cid in a cell (n, copies counted), and cid's root in the cell's forest."""
+def _links(candidates: DataFrame, distinct: DataFrame, codes: Codes, threshold: float, max_bits: int | None, cell_rows: int) -> DataFrame:
+    """Rows (cid, root, n): the vectors linked directly to cid in a cell (n, copies counted), and cid's root in the cell's forest.
+
+    Pairs count within max_bits, in their first table; with max_bits None there is one table and all pairs count.
+    """
 
     def linked(x: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         i, j = small_pairs(starts, SMALL_CELL)
@@ -150,15 +175,19 @@ def _links(candidates: DataFrame, distinct: DataFrame, codes: Codes, threshold:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, starts in iter_blocks(batches, "key"):
-            x, keys = unit(cols["vector"].astype(np.float64)), codes.keys(cols["code"].view(np.uint64))
+            x, code = unit(cols["vector"].astype(np.float64)), cols["code"].view(np.uint64)
+            keys = codes.keys(code)
             cid, copies, own, across, table = cols["cid"], cols["copies"], cols["own"], cols["cell_i"] != cols["cell_j"], cols["key"] >> 32
             n, before = len(cid), np.arange(keys.shape[1])
             count, label = np.zeros(n, dtype=np.int64), np.arange(n)
             for i, j in linked(x, starts):
                 ok = ~across[i] | (own[i] != own[j])
                 i, j = i[ok], j[ok]
-                ok = ~((keys[i] == keys[j]) & (before[None] < table[i][:, None])).any(axis=1)  # not met in a table before
-                i, j = i[ok], j[ok]
+                if max_bits is not None:  # within max_bits both are candidates in every table whose substring they share; this is the first
+                    ok = np.bitwise_count(code[i] ^ code[j]) <= max_bits
+                    i, j = i[ok], j[ok]
+                    ok = ~((keys[i] == keys[j]) & (before[None] < table[i][:, None])).any(axis=1)
+                    i, j = i[ok], j[ok]
                 if len(i):
                     np.add.at(count, i, copies[j])
                     np.add.at(count, j, copies[i])
@@ -172,18 +201,22 @@ def _links(candidates: DataFrame, distinct: DataFrame, codes: Codes, threshold:
     return into_cells(rows, "key", "cid", cell_rows).mapInArrow(verify, "cid long, root long, n long")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, *, id_col: str = "vec_id", vector_col: str = "embedding", max_bits: int = MAX_BITS, cell_rows: int = 4096) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row."""
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, *, id_col: str = "vec_id", vector_col: str = "embedding", max_bits: int = MAX_BITS, cell_rows: int = 4096,
+                    exact: bool = False) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row. exact: all pairs are compared, without codes."""
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("vector"))
     distinct = _distinct(rows)
     total = distinct.count()
     single = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not total:
         return single
-    x = sample(distinct, "vector", "vector", SAMPLE_ROWS, total)
-    codes = learn(unit(x))
-    candidates = materialize(_candidates(distinct, codes, max_bits, cell_rows), "itq-candidates")
-    found = materialize(_links(candidates, distinct, codes, threshold, cell_rows), "itq-links")
+    codes = learn(unit(sample(distinct, "vector", "vector", SAMPLE_ROWS, total)), rows=total, threshold=threshold)
+    if exact:
+        everything = distinct.select(F.lit(0).cast("long").alias("key"), "cid", F.lit(0).cast("long").alias("code"))
+        found = materialize(_links(everything, distinct, codes, threshold, None, cell_rows), "itq-links")
+    else:
+        candidates = materialize(_candidates(distinct, codes, max_bits, cell_rows), "itq-candidates")
+        found = materialize(_links(candidates, distinct, codes, threshold, max_bits, cell_rows), "itq-links")
     counts = found.groupBy("cid").agg(F.sum("n").alias("n"))
     groups = connected_components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")), "itq")
     known = (

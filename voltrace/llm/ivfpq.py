@@ -1,27 +1,30 @@
 """Approximate nearest neighbours by cosine: inverted file, product-quantised residuals, exact reranking.
 
 Fitting, on a bounded sample: coarse centroids by k-means of unit vectors, and
-codebooks of the residuals' sub-vectors. The number of lists to probe is
-measured on the sample against brute force, as the fewest that reach
-``target_recall``. Indexing covers every usable row: its nearest centroid's
+codebooks of the residuals' sub-vectors. The number of lists follows from the
+table's rows (``lists_for``); that of lists to probe is measured on the sample
+against brute force, as the fewest that reach ``target_recall``: few where
+vectors have structure, most of them where neighbours are hardly nearer than
+others. Indexing covers every usable row: its nearest centroid's
 list, and its code. A list is cut into blocks by a hash, so a list with a third
 of all rows is many tasks' work and a block fits a task.
 
 Each query goes to the blocks of its nearest lists (more lists, in order, until
 these hold enough candidates). There, asymmetric distances from a table per
-list and query rank the block's codes, and the best ``rerank`` are scored
-again with the original vectors, in double precision. The best of all blocks
+list and query rank the block's codes, and the best (``rerank``, or a share of
+a small block) are scored again with the original vectors, in double precision. The best of all blocks
 are the answer, ties to smaller ids.
 
 Equal vectors are one entry with the smallest ids that can matter, so copies
 never crowd a block. Vectors that are null, zero, or hold null or non-finite
 components, or are not of the table's main length, take no part. Null ids take
 no part either. Rows that repeat an id count as one candidate for each distinct
-vector. Other columns are not read.
+vector; as a query such an id asks with its smallest vector. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +37,18 @@ from voltrace.llm.vectors import main_width, matrix, sample, unit, usable
 from voltrace.runtime import materialize
 
 SAMPLE_ROWS, MAX_LISTS, SUBVECTORS, CODEWORDS, ITERATIONS = 20_000, 1024, 16, 64, 8
-BLOCK_ROWS, RERANK, TARGET_RECALL = 4096, 300, 0.99
+#: LEAST_RERANK and LEAST_SHARE: what is reranked of a small block.
+BLOCK_ROWS, RERANK, LEAST_RERANK, LEAST_SHARE, TARGET_RECALL = 4096, 300, 24, 0.5, 0.99
+
+
+def lists_for(rows: int) -> int:
+    """Half the root of the rows, at most MAX_LISTS: a list then holds twice as many rows as there are lists, and more only in tables of over four million rows, in blocks."""
+    return int(max(1, min(MAX_LISTS, round(rows**0.5 / 2))))
+
+
+def reranked(rows: int, rerank: int) -> int:
+    """How many of a block's rows are scored again, those with the smallest asymmetric distances."""
+    return min(rows, rerank, max(LEAST_RERANK, math.ceil(LEAST_SHARE * rows)))
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, iterations: int = ITERATIONS) -> np.ndarray:
@@ -81,10 +95,10 @@ class Index:
         return out
 
 
-def fit(x: np.ndarray, *, k: int = 5, max_lists: int = MAX_LISTS, subvectors: int = SUBVECTORS, codewords: int = CODEWORDS, target_recall: float = TARGET_RECALL, seed: int = 42) -> Index:
+def fit(x: np.ndarray, *, k: int = 5, lists: int | None = None, subvectors: int = SUBVECTORS, codewords: int = CODEWORDS, target_recall: float = TARGET_RECALL, seed: int = 42) -> Index:
     """An index structure from unit rows x."""
     rng = np.random.default_rng(seed)
-    lists = int(max(1, min(max_lists, round(len(x) ** 0.5 / 2))))
+    lists = min(len(x), lists or lists_for(len(x)))
     coarse = _kmeans(x, lists, rng)
     own = _nearest(x, coarse, 1)[:, 0]
     m = max(d for d in range(1, min(subvectors, x.shape[1]) + 1) if x.shape[1] % d == 0)
@@ -159,11 +173,8 @@ def _search(batches: Iterator[pa.RecordBatch], index: Index, k: int, rerank: int
             for at in range(0, part.num_rows, 128):
                 asked = part.slice(at, 128)
                 q, names = unit(matrix(asked.column(asked.schema.get_field_index("vector")))), asked.column(asked.schema.get_field_index("query_id")).to_pylist()
-                if len(ids) > rerank + 1:
-                    far = index.distances(q - index.coarse[here[0]], codes)
-                    best = np.argsort(far, axis=1, kind="stable")[:, :rerank + 1]
-                else:
-                    best = np.broadcast_to(np.arange(len(ids)), (len(q), len(ids)))
+                far = index.distances(q - index.coarse[here[0]], codes)
+                best = np.argsort(far, axis=1, kind="stable")[:, :reranked(len(ids), rerank + 1)]
                 score = np.einsum("mrd,md->mr", x[best], q)
                 out: list[tuple[int, int, float]] = []
                 for row, name in enumerate(names):
@@ -187,7 +198,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, *, id_col: str = "vec_id",
     total = entries.count()
     if not total:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index = fit(unit(sample(entries, "vector", "vector", sample_rows, total)), k=k, target_recall=target_recall)
+    index = fit(unit(sample(entries, "vector", "vector", sample_rows, total)), k=k, lists=lists_for(total), target_recall=target_recall)
     indexed = materialize(_indexed(entries, index), "ann-index")
     sizes = {r.list: r.n for r in indexed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each of at most max_lists
     n_blocks = np.array([-(-sizes.get(i, 0) // block_rows) for i in range(len(index.coarse))])
@@ -210,7 +221,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, *, id_col: str = "vec_id",
 
     kind, ids = (entries.schema[c].dataType.simpleString() for c in ("vector", "ids"))
     # A query's id and vector: usable rows of the main length are just those whose vector is an entry.
-    asked = rows.filter(is_query(F.col("vec_id"))).filter(usable(F.col("vector")) & (F.size("vector") == index.coarse.shape[1])).dropDuplicates(["vec_id"])
+    asked = rows.filter(is_query(F.col("vec_id"))).filter(usable(F.col("vector")) & (F.size("vector") == index.coarse.shape[1])).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     asked = asked.mapInArrow(route, f"list long, block long, query_id long, vector {kind}")
     asked = asked.select("list", "block", F.lit(1).alias("asks"), "query_id", "vector", F.lit(None).cast("binary").alias("code"), F.lit(None).cast(ids).alias("ids"))
     blocks = F.create_map(*[F.lit(int(v)) for i, n in enumerate(n_blocks) if n > 1 for v in (i, n)]) if (n_blocks > 1).any() else None

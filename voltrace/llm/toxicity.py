@@ -1,12 +1,15 @@
 """Toxicity scores from a weighted lexicon matched by Aho-Corasick.
 
 Texts are folded: accents and case go, look-alike letters and the digits and
-signs that stand for letters become those letters, signs inside a word vanish.
+signs that stand for letters become those letters (in words only: not in
+numbers and prices, nor where a sign closes a word), masks inside a word vanish.
 The lexicon is learned from labelled texts: whole words and word beginnings
 that toxic texts use far more often than others get their smoothed log-odds as
 weight. One automaton per model finds all entries in a folded text; of the
 entries that begin at one place the longest counts. Exception phrases cover
-the words that they span: an entry inside one does not count.
+the words that they span: an entry inside one does not count. They are given,
+or learned: an entry with the word before or after it, met in several clean
+texts and in no toxic one.
 
 Evidence is normalised by length. Entries are of two kinds: telling ones, of
 which one occurrence says much, and dense ones, also met in clean texts by
@@ -22,6 +25,7 @@ smoothed. Repeated rows are scored each; other columns are not read.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -36,10 +40,13 @@ from pyspark.sql import types as T
 
 from voltrace.runtime import materialize
 
-#: Most labelled rows that the model is fitted on, of each label, by a hash of their ids; and most entries.
-FIT_ROWS, MAX_ENTRIES = 10_000, 5_000
+#: Most labelled rows that the model is fitted on, of each label, by a hash of their ids. Entries and exceptions are as many as these texts support.
+FIT_ROWS = 10_000
+#: Clean texts that an exception phrase is met in at least.
+LEAST_CLEAN = 3
 #: Distinct entries that a task counts before it passes them on.
 FLUSH_ROWS = 50_000
+#: Origin of these: set by hand for few false entries on the labelled rows of the sample tables, before any held-out row was looked at; parameters of no contract.
 #: An entry is kept if its log-likelihood gain over chance reaches LEAST_GAIN (telling, dense) and its log-odds LEAST_ODDS;
 #: it is dense in a text with two occurrences or more and this share of the words. The share of telling entries counts up to MOST_SHARE,
 #: that of dense ones, times their weights, up to MOST_DENSE.
@@ -47,7 +54,7 @@ LEAST_GAIN, LEAST_ODDS, LEAST_SHARE, MOST_SHARE, MOST_DENSE = (11.0, 6.5), (3.5,
 #: Lengths of word beginnings that may become entries.
 PREFIXES = range(4, 10)
 
-#: Digits and signs that stand for letters inside words, and letters of other scripts that look like Latin ones.
+#: Digits and signs that stand for letters in words, and letters of other scripts that look like Latin ones.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"}
 HOMOGLYPHS = {
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s",
@@ -70,11 +77,14 @@ class _Fold(dict):
 
 
 _FOLD = _Fold()
+#: A run of ASCII digits and signs without a letter (a number, a price, a mark), and signs that close a word.
+_NO_WORD = re.compile(r"(?<!\S)[!-@\[-`{-~]+(?!\S)")
+_CLOSING = re.compile(r"[!|$@](?=[!-/:-@\[-`{-~]*(?:\s|$))")
 
 
 def fold(text: str) -> str:
     """Folded words, lower case, each after one space, and a space at the end."""
-    return " " + " ".join(text.translate(_FOLD).split()) + " "
+    return " " + " ".join(_CLOSING.sub(" ", _NO_WORD.sub(" ", text)).translate(_FOLD).split()) + " "
 
 
 @dataclass(frozen=True)
@@ -108,6 +118,21 @@ class Model:
     def __setstate__(self, state):
         self.__dict__.update(state)
 
+    def phrases(self, folded: str) -> set[str]:
+        """The words that hold entries, each with the word before and with the one after it."""
+        made, out = self.automaton(), set()
+        for end, (size, weight, _) in made.iter(folded) if len(made) else ():
+            if weight is None:
+                continue
+            start = end - size + 2 if folded[end - size + 1] == " " else folded.rfind(" ", 0, end - size + 1) + 1
+            stop = folded.find(" ", start)
+            before, after = folded.rfind(" ", 0, max(0, start - 1)), folded.find(" ", stop + 1)
+            if start > 1:
+                out.add(folded[before + 1:stop])
+            if after > 0:
+                out.add(folded[start:after])
+        return out
+
     def evidence(self, folded: str) -> tuple[float, float, float, float]:
         """Log of the telling entries' weight, their share of the words, the dense ones' weight by word, log of the words."""
         made, words = self.automaton(), max(1, folded.count(" ") - 1)
@@ -203,6 +228,25 @@ def _choose(found: list[tuple[str, float, float, bool]]) -> dict[str, tuple[floa
     return chosen
 
 
+def _learned_exceptions(rows: DataFrame, model: Model) -> tuple[str, ...]:
+    """Phrases of two words, one with an entry of the model, that LEAST_CLEAN clean rows (text, toxic) or more hold and no toxic one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
+            phrases, toxic = [], []
+            for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                found = model.phrases(fold(text or ""))
+                phrases += found
+                toxic += [label] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.string()), pa.array(toxic, pa.int64())], names=["phrase", "toxic"])
+
+    if not model.entries:
+        return ()
+    met = rows.select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(run, "phrase string, toxic long")
+    kept = met.groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("texts")).filter((F.col("toxic") == 0) & (F.col("texts") >= LEAST_CLEAN))
+    return tuple(sorted(r.phrase for r in kept.select("phrase").collect()))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Newton steps for a ridge-penalised logistic regression; (coefficients with the intercept last, mean, scale)."""
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
@@ -217,11 +261,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
     return w, mean, scale
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, exceptions: tuple[str, ...] = (), fit_rows: int = FIT_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, exceptions: tuple[str, ...] | None = None, fit_rows: int = FIT_ROWS) -> Model:
     """A model from documents (doc_id, text) and labels (doc_id, toxic), without the rows that are held out.
 
     At most about fit_rows labels of each kind are used, those with the smallest hashes of their ids; so the
-    rows that choose the documents are a bounded table, and only chosen texts move.
+    rows that choose the documents are a bounded table, and only chosen texts move. Of rows that repeat an id the
+    smallest text is used. exceptions: phrases that are innocent; None learns them from the same rows.
     """
     known = training_labels(labels)
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -229,11 +274,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, exceptions: tuple[str, ...] = (),
     part = F.lit(False)
     for label, n in counts.items():
         part |= (F.col("toxic") == label) & (draw < F.lit(int((1 << 20) * min(1.0, fit_rows / n))))
-    rows = materialize(docs.select("doc_id", "text").join(F.broadcast(known.filter(part)), "doc_id"), "toxic-fit")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(known.filter(part)), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = materialize(chosen.repartition(32, F.xxhash64("doc_id")), "toxic-fit")
     toxic, clean = (rows.filter(F.col("toxic") == k).count() for k in (1, 0))
     if not toxic or not clean:
         odds = math.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 9))
-        return Model({}, exceptions, coefficients=(0.0, 0.0, 0.0, 0.0, odds))
+        return Model({}, exceptions or (), coefficients=(0.0, 0.0, 0.0, 0.0, odds))
     share = toxic / (toxic + clean)
     kinds = []
     for k, (t, c) in enumerate((("toxic", "clean"), ("dense_toxic", "dense_clean"))):
@@ -241,9 +287,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, exceptions: tuple[str, ...] = (),
         kinds.append(F.struct(_gain(F.col(t), F.col(c), share).alias("gain"), odds.alias("odds"), F.lit(k == 0).alias("telling"), F.lit(LEAST_GAIN[k]).alias("least_gain"), F.lit(LEAST_ODDS[k]).alias("least_odds")))
     found = (
         _tally(rows).filter("toxic > 1").select("entry", F.explode(F.array(*kinds)).alias("k")).select("entry", "k.*")
-        .filter("gain >= least_gain and odds >= least_odds").orderBy(F.desc("gain"), "entry").select("entry", "gain", "odds", "telling").limit(MAX_ENTRIES).collect()
+        .filter("gain >= least_gain and odds >= least_odds").orderBy(F.desc("gain"), "entry").select("entry", "gain", "odds", "telling").collect()
     )
     entries = _choose([tuple(r) for r in found])
+    if exceptions is None:
+        exceptions = _learned_exceptions(rows, Model(entries))
     model = Model(entries, exceptions)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +330,7 @@ def training_labels(labels: DataFrame) -> DataFrame:
     return fit_for_use.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, exceptions: tuple[str, ...] = ()) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, exceptions: tuple[str, ...] | None = None) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs."""
     model = fit(docs, labels, exceptions=exceptions)
     scored = with_scores(docs.select("doc_id", "text"), model)

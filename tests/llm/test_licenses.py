@@ -64,3 +64,53 @@ def test_wrapped_notices_are_found(spark):
     two = WRAPPED["MIT"].replace("\n\n", " ") + " " + WRAPPED["MPL-2.0"]  # one block with two notices
     df = spark.createDataFrame([(1, "\n".join(textwrap.wrap(two, 72)))], "doc_id long, text string")
     assert licenses.license_scan(df).first().families == "MIT,MPL-2.0"
+
+
+NOTICES = {
+    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish and sell copies of the Software.',
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+}
+
+
+def test_each_wrapped_notice_gives_its_own_family(spark):
+    import textwrap
+
+    rows = [(f"{family} {width}", "\n".join(textwrap.wrap(text, width))) for family, text in NOTICES.items() for width in (1000, 100, 80, 72, 66, 60, 50)]
+    rows.append(("unknown hotel", "All rights reserved by the hotel, says the guest"))
+    rows.append(("Proprietary end", "Copyright 2024 Acme Ltd. All rights reserved."))
+    got = {r.doc_id: r.families for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {k: k.split()[0].replace("unknown", "") for k in got}
+
+
+def test_probabilities_against_a_dense_matrix():
+    """The sparse sums of weights against a dense softmax over the whole vocabulary, with the families that names rule out taken away."""
+    model = licenses.train([])
+    for text in [*NOTICES.values(), "Released under the MIT License.", "the copyright of permission", "GNU General Public License", "Licensed under CC BY-SA 4.0."]:
+        words = licenses.paragraph_words(text)
+        x = np.zeros(len(licenses.VOCABULARY))
+        for gram, k in licenses.VOCABULARY.items():
+            x[k] = f" {gram} " in f" {' '.join(words)} "
+        z = (x @ model.weights + model.bias) / model.temperature
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        assert np.allclose(p, model.probabilities(licenses.features(words)))
+        for k, family in enumerate(licenses.FAMILIES):
+            named = {f for f, names in licenses.NAMES.items() if set(names) & set(words)}
+            if family in licenses.NAMES and family not in named or named & set(licenses.GENERAL.get(family, ())):
+                p[k] = 0
+        best = licenses.FAMILIES[int(p.argmax())]
+        family = model.classify(text)[0]
+        assert family == (best if best == "unknown" or p.max() >= licenses.LEAST_PROBABILITY * p.sum() else "unknown")
+
+
+def test_background_is_drawn_by_hash(spark):
+    rows = [(i, f"{chr(97 + i % 26)} software license number {i}") for i in range(3000)]
+    drawn = licenses.background_sample(spark.createDataFrame(rows, "doc_id long, text string"), size=3000, most=260)
+    first = {w[0] for w in drawn}
+    assert len(drawn) == 260 and len(first) > 20
+    long = licenses.background_sample(spark.createDataFrame([(1, "software " * 1000)], "doc_id long, text string"))
+    assert sum(map(len, long)) == 1000

@@ -8,8 +8,9 @@ probabilities calibrated. Training examples are templates, cut, thinned and
 set in other words, and for ``unknown`` paragraphs of the corpus itself (a
 bounded sample of documents by a hash of their ids) and random mixtures of
 vocabulary words. A family is confirmed if the paragraph holds enough of the
-word pairs of one of its templates. A paragraph without any feature is
-``unknown`` by definition.
+word pairs of one of its templates. A family whose notices hold a name (such as
+Affero) outranks the general one that they resemble, and is none without it. A
+paragraph without any feature is ``unknown`` by definition.
 
 Notices are often wrapped. In a block (lines with a word, up to a line without
 one, such as a bare comment mark) runs of lines are joined and classified as
@@ -96,6 +97,11 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Copyright. All rights reserved. No part of this work may be reproduced without written permission of the publisher.",
     ),
 }
+#: Words that a notice of a specific family holds, one of them at least, and the general families that give way to it.
+NAMES = {"AGPL": ("affero", "agpl"), "LGPL": ("lesser", "lgpl"), "CC-BY-SA": ("sharealike", "sa"), "CC-BY-NC": ("noncommercial", "nc")}
+GENERAL = {"GPL": ("AGPL", "LGPL"), "CC-BY": ("CC-BY-SA", "CC-BY-NC")}
+#: Templates of fewer words confirm only a paragraph that ends with them; words of the lines before and after that may hold a name.
+SHORT_WORDS, NEAR_WORDS = 4, 3
 #: Words too common to be features alone.
 COMMON = frozenset("a an and any are as at be by can for from if in is it its not of on one or that the their this to was were will with without you may no".split())
 
@@ -118,6 +124,7 @@ def _vocabulary() -> tuple[dict[str, int], frozenset[str]]:
 VOCABULARY, CUES = _vocabulary()
 FAMILIES = [*TEMPLATES, UNKNOWN]
 _TEMPLATE_GRAMS = {f: [frozenset(g for g in _grams(paragraph_words(t)) if " " in g) for t in texts] for f, texts in TEMPLATES.items()}
+_SHORT = {f: [w for w in map(paragraph_words, texts) if len(w) < SHORT_WORDS] for f, texts in TEMPLATES.items()}
 _TEMPLATE_PAIRS = [frozenset(tuple(g.split()) for g in t) for texts in _TEMPLATE_GRAMS.values() for t in texts]
 _ALL_PAIRS = frozenset().union(*_TEMPLATE_PAIRS)
 #: Words of lines that are joined at most: thrice the longest template.
@@ -129,9 +136,17 @@ def features(words: list[str]) -> list[int]:
 
 
 def template_share(words: list[str], family: str) -> float:
-    """The largest share of a template's word pairs that the paragraph holds."""
+    """The largest share of a template's word pairs that the paragraph holds. A short template counts only at its end."""
     pairs = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
-    return max(len(t & pairs) / len(t) for t in _TEMPLATE_GRAMS[family])
+    grams = [t for t, text in zip(_TEMPLATE_GRAMS[family], TEMPLATES[family], strict=True) if len(paragraph_words(text)) >= SHORT_WORDS]
+    long = max((len(t & pairs) / len(t) for t in grams), default=0.0)
+    return 1.0 if any(words[-len(t):] == t for t in _SHORT[family]) else long
+
+
+def _impossible(held: set[str]) -> list[int]:
+    """Families that words rule out: specific ones without a name of theirs, and general ones beside such a name."""
+    named = {f for f, names in NAMES.items() if not held.isdisjoint(names)}
+    return [k for k, f in enumerate(FAMILIES) if f in NAMES and f not in named or not named.isdisjoint(GENERAL.get(f, ()))]
 
 
 def _examples(background: list[list[str]], rng: np.random.Generator) -> list[tuple[list[int], int]]:
@@ -174,14 +189,16 @@ class Classifier:
         """(family or unknown, its probability, template share); None without any feature."""
         return self.classify_words(paragraph_words(paragraph))
 
-    def classify_words(self, words: list[str]) -> tuple[str, float, float] | None:
+    def classify_words(self, words: list[str], near: tuple[str, ...] | list[str] = ()) -> tuple[str, float, float] | None:
+        """near: words just before and after, which may hold the name of a family too."""
         if CUES.isdisjoint(words):
             return None
         p = self.probabilities(features(words))
+        p[_impossible({*words, *near})] = 0
         k = int(p.argmax())
-        if FAMILIES[k] == UNKNOWN or p[k] < LEAST_PROBABILITY:
+        if FAMILIES[k] == UNKNOWN or p[k] < LEAST_PROBABILITY * p.sum():
             return UNKNOWN, float(p[-1]), 0.0
-        return FAMILIES[k], float(p[k]), template_share(words, FAMILIES[k])
+        return FAMILIES[k], float(p[k] / p.sum()), template_share(words, FAMILIES[k])
 
     def wrapped(self, lines: list[list[str]], known: set[str]) -> list[tuple[int, str, float, float]]:
         """(line, family, probability, share) of families but the known ones that joined lines of a block confirm, each once."""
@@ -196,7 +213,7 @@ class Classifier:
                     words = words + lines[j]
                     if len(words) > JOINED_WORDS:
                         break
-                c = self.classify_words(words)
+                c = self.classify_words(words, [*(lines[i - 1][-NEAR_WORDS:] if i else ()), *(lines[j + 1][:NEAR_WORDS] if j + 1 < len(lines) else ())])
                 if c is not None and c[0] != UNKNOWN and c[2] >= LEAST_SHARE and (best is None or c[2] > best[1][2]):
                     best = j, c
             if best is not None and best[1][0] not in known:
@@ -239,15 +256,24 @@ def train(background: list[list[str]], *, rounds: int = 300, rate: float = 0.5,
     return Classifier(w, b, min((float(t) for t in np.geomspace(0.25, 4, 25)), key=loss))
 
 
-def background_sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SAMPLE_DOCUMENTS) -> list[list[str]]:
-    """Words of paragraphs with a feature, of ``size`` documents chosen by a hash of their ids: at most 4000 of at most 200 words."""
+def background_sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SAMPLE_DOCUMENTS, most: int = 4000) -> list[list[str]]:
+    """Words of at most ``most`` paragraphs with a feature, or parts of JOINED_WORDS words of long ones, of ``size`` documents; both chosen by hashes."""
     total = docs.count()
     draw = F.pmod(F.xxhash64(F.lit(5), id_col), F.lit(1 << 30))
-    rows = docs.filter(draw < F.lit(int(min(1.0, 1.2 * size / max(1, total)) * (1 << 30)))).orderBy(draw, id_col).limit(size)
-    lines = rows.select(F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line")).filter(F.length("line").between(1, 2000))
-    cue = F.exists(F.split(F.lower("line"), r"[^a-z0-9]+"), lambda w: w.isin(*sorted(CUES)))
-    found = [paragraph_words(r.line)[:200] for r in lines.filter(cue).orderBy("line").limit(4000).collect()]
-    return [w for w in found if w]
+    rows = docs.filter(draw < F.lit(int(min(1.0, 1.2 * size / max(1, total)) * (1 << 30)))).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), draw.alias("draw"), F.col(id_col).alias("id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(0).to_pylist():
+                for line in text.split("\n"):
+                    words = paragraph_words(line)
+                    parts = (words[at:at + JOINED_WORDS] for at in range(0, len(words), JOINED_WORDS))
+                    out += [" ".join(part) for part in parts if not CUES.isdisjoint(part)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["line"])
+
+    lines = rows.orderBy("draw", "id").limit(size).mapInArrow(run, "line string")
+    return [r.line.split() for r in lines.orderBy(F.xxhash64(F.lit(8), "line"), "line").limit(most).collect()]
 
 
 def scan_paragraphs(docs: DataFrame, model: Classifier, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,17 +287,20 @@ def scan_paragraphs(docs: DataFrame, model: Classifier, *, id_col: str = "doc_id
                 index, found = [], []
                 for i, text in enumerate(part.column(1).to_pylist()):
                     n, mine, block, known = 0, [], [], set()
-                    for k, line in enumerate([*text.split("\n"), ""]):
-                        words = paragraph_words(line)
+                    lines = [*text.split("\n"), ""]
+                    ahead = paragraph_words(lines[0])
+                    for k, line in enumerate(lines):
+                        words, ahead = ahead, paragraph_words(lines[k + 1]) if k + 1 < len(lines) else []
                         if not words and block:
                             mine += [(k - len(block) + at, *c) for at, *c in model.wrapped(block, known)]
                             block, known = [], set()
                         if not line or line.isspace():
                             continue
                         n += 1
+                        near = [*(block[-1][-NEAR_WORDS:] if block else ()), *ahead[:NEAR_WORDS]]
                         if words:
                             block.append(paragraph_words(_MARK.sub("", line)) if _MARK.match(line) else words)
-                        if (c := model.classify_words(words)) is not None and (c[0] != UNKNOWN):
+                        if (c := model.classify_words(words, near)) is not None and (c[0] != UNKNOWN):
                             mine.append((k, *c))
                             known |= {c[0]} if c[2] >= LEAST_SHARE else set()
                     index.append(i)

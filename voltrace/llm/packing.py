@@ -6,8 +6,8 @@ group, independently, pieces go in order of decreasing length into the first
 sequence with room, found by descending a tournament tree of the sequences'
 free capacities. Groups are sized from the total bytes, so one fits a task.
 
-Null texts count as empty (a piece of just the end id). Repeated rows are
-packed each on its own. An empty table gives no sequences. Other columns are not read.
+Null texts count as empty (a piece of just the end id). Rows that share an id,
+or have none, are dealt by their texts. Repeated rows are packed each on its own. An empty table gives no sequences. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -116,7 +116,7 @@ def _pieces_schema(id_type: T.DataType) -> list[T.StructField]:
 
 def pieces(docs: DataFrame, path: str, *, length: int = 2048, end_id: int = 1, n_groups: int = 1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, ids, doc_tokens, group): every id of every document in exactly one piece."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("draw"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("draw"))
     end, step = np.array([end_id], dtype="<u4").tobytes(), 4 * length
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +161,7 @@ def pack(docs: DataFrame, path: str, *, length: int = 2048, end_id: int = 1, see
 
     schema = T.StructType([*_pieces_schema(id_type), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     out = to_arrow_schema(schema)
-    return cut.groupBy("group").applyInArrow(fit, schema)
+    return cut.repartition(int(n_groups), "group").groupBy("group").applyInArrow(fit, schema)  # a task for about each group, however many there are
 
 
 def packing_digest(docs: DataFrame, path: str, **options) -> DataFrame:

@@ -23,7 +23,8 @@ def tokenizer_path() -> str:
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "\\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    # Two layouts, each mapped by its fingerprint: rows by turn, and an array of messages.
+    extra = spark.createDataFrame([(-7, [("human", hard), ("gpt", hard)])], "conversation_id long, messages array<struct<role:string,content:string>>")
     turns = chat.canonical_turns(table(spark, sf_dir, "conversations")).unionByName(chat.canonical_turns(extra))
     return chat.conversation_digest(chat.format_turns(turns))
 

@@ -110,10 +110,11 @@ def token_counts(docs: DataFrame, path: str, *, limit: int = 1024, id_col: str =
     split = splitter(path)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each document a row without a unit, with the head's tokens; and a row for each other pre-token."""
+        """For each document a row of_text, with the head's tokens and the text's hash as its unit; and a row for each other pre-token."""
         known = head.value
         for part, texts in _texts(batches, 3):
-            index, unit, freq, tokens = [], [], [], []
+            index, unit, of_text, freq, tokens = [], [], [], [], []
+            prints = [str(x) for x in part.column(1).to_pylist()]
             for i, text in enumerate(texts):
                 found, rest = 0, []
                 for u in split(text):
@@ -124,22 +125,23 @@ def token_counts(docs: DataFrame, path: str, *, limit: int = 1024, id_col: str =
                         found += n
                 more = Counter(rest) if rest else {}
                 index += [i] * (1 + len(more))
-                unit += [None, *more]
+                unit += [prints[i], *more]
+                of_text += [True] + [False] * len(more)
                 freq += [1, *more.values()]
                 tokens += [found] + [0] * len(more)
             at = pa.array(index, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(at), part.column(1).take(at), part.column(2).take(at), pa.array(unit, pa.string()), pa.array(freq, pa.int64()), pa.array(tokens, pa.int64())],
-                names=["doc_id", "print", "n_bytes", "unit", "freq", "tokens"])
+                [part.column(0).take(at), part.column(1).take(at), part.column(2).take(at), pa.array(unit, pa.string()), pa.array(of_text), pa.array(freq, pa.int64()), pa.array(tokens, pa.int64())],
+                names=["doc_id", "print", "n_bytes", "unit", "of_text", "freq", "tokens"])
 
     keyed = rows.select("doc_id", F.xxhash64("text").alias("print"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
     schema = T.StructType([T.StructField("doc_id", keyed.schema["doc_id"].dataType), *(T.StructField(x, T.LongType()) for x in ("print", "n_bytes")),
-                           T.StructField("unit", T.StringType()), T.StructField("freq", T.LongType()), T.StructField("tokens", T.LongType())])
+                           T.StructField("unit", T.StringType()), T.StructField("of_text", T.BooleanType()), T.StructField("freq", T.LongType()), T.StructField("tokens", T.LongType())])
     parts = keyed.mapInArrow(frequencies, schema)
-    # A row without a unit matches nothing and keeps its tokens.
-    joined = parts.join(vocab.select("unit", "pieces"), "unit", "left")
+    # A row of_text matches nothing and keeps its tokens; its unit spreads such rows over the join's tasks.
+    joined = parts.join(vocab.select("unit", F.lit(False).alias("of_text"), "pieces"), ["unit", "of_text"], "left")
     sums = joined.groupBy("doc_id", "print", "n_bytes").agg(
-        F.sum(F.coalesce(F.col("pieces") * F.col("freq"), F.col("tokens"))).alias("tokens"), F.count_if(F.col("unit").isNull()).alias("copies"))
+        F.sum(F.coalesce(F.col("pieces") * F.col("freq"), F.col("tokens"))).alias("tokens"), F.count_if("of_text").alias("copies"))
     # Rows that repeat both id and text are counted together above, and told apart again here.
     each = sums.select("doc_id", "n_bytes", (F.col("tokens") / F.col("copies")).cast("long").alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     return each.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from voltrace.runtime import materialize, scratch
 
-CELL_ROWS = 4096
+CELL_ROWS, PART_ROWS = 4096, 512
 
 
 def into_cells(rows: DataFrame, key: str, item: str, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -52,9 +52,7 @@ def iter_cells(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str
     def joined(parts: dict[str, list[np.ndarray]]) -> dict[str, np.ndarray]:
         return {k: v[0] if len(v) == 1 else np.concatenate(v) for k, v in parts.items()}
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (b.slice(at, PART_ROWS) for b in batches for at in range(0, b.num_rows, PART_ROWS)):  # texts of a whole batch would be in memory twice
         cols = {name: _numpy(batch.column(i)) for i, name in enumerate(batch.schema.names)}
         change = np.zeros(batch.num_rows, dtype=bool)
         for name in cells:

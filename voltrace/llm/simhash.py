@@ -421,7 +421,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             asked = materialize(met.join(labelled.withColumnRenamed("first", "__first"), "cid"), f"similar-asked-{tag}")
             # One row of each class brings its text; rows that repeat it drop out by the class.
             texts = maybe_in(keyed, asked, "h1").join(asked, ["h1", "h2"]).filter(F.col("doc_id").eqNullSafe(F.col("__first")))
-            texts = texts.select("meeting", "cid", "n", "label", "text").dropDuplicates(["meeting", "cid"])
+            texts = materialize(texts.select("meeting", "cid", "n", "label", "text").dropDuplicates(["meeting", "cid"]), f"similar-texts-{tag}")
             return materialize(_verified(texts, width, similarity, most), f"similar-verified-{tag}")
 
         known = classes.select("cid", "n", "h1", "h2", "first")

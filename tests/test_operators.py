@@ -244,3 +244,54 @@ def test_catalog_is_complete(spark):
     from voltrace.plans import catalog, more  # noqa: F401
 
     assert set(catalog.ORACLES) <= set(catalog.QUERIES) and len(catalog.QUERIES) > 80
+
+
+def test_an_asset_that_leaves_is_sold(spark):
+    import datetime as dt
+
+    from voltrace.operators import portfolio
+
+    days = [dt.datetime(2024, 1, d) for d in (1, 2, 3, 4)]
+    rows = [(days[0], "A", 0.5), (days[0], "B", 0.5), (days[1], "A", 0.7), (days[2], "A", 0.7), (days[2], "B", 0.2), (days[3], "A", 0.0)]
+    w = spark.createDataFrame(rows, "timestamp timestamp, asset_id string, weight double")
+    got = {r.timestamp.day: round(r.turnover, 9) for r in portfolio.turnover_by_time(w).collect()}
+    assert got == {1: 1.0, 2: 0.7, 3: 0.2, 4: 0.9}
+    assert portfolio.turnover_by_time(w.limit(0)).count() == 0
+
+
+def test_repeated_keys_are_refused(spark):
+    import datetime as dt
+
+    import pytest
+
+    from voltrace.operators import portfolio
+
+    day = dt.datetime(2024, 1, 1)
+    r = spark.createDataFrame([(day, "a", 0.1), (day, "B", 0.2)], "timestamp timestamp, asset_id string, return double")
+    w = spark.createDataFrame([(day, "A", 1.0), (day, "B", 0.5)], "timestamp timestamp, asset_id string, weight double")
+    assert [round(x.portfolio_return, 9) for x in portfolio.calculate_portfolio_returns(r, w).collect()] == [0.2]
+    with pytest.raises(Exception, match="repeated"):
+        portfolio.calculate_portfolio_returns(r, w.union(w)).collect()
+
+
+def test_json_artifacts_are_never_cut(spark, tmp_path):
+    import pytest
+
+    from voltrace.sources import contract, files
+
+    files.save_json_artifact({"t": spark.range(3)}, f"{tmp_path}/a.json")
+    with pytest.raises(contract.ContractError):
+        files.save_json_artifact({"t": spark.range(files.JSON_ROWS + 1)}, f"{tmp_path}/b.json")
+
+
+def test_full_pages_that_cannot_be_split_are_refused():
+    import datetime as dt
+
+    import pytest
+
+    from voltrace.sources import market_api
+
+    page = '{"values": [{"datetime": "2024-01-01 00:00:00"}, {"datetime": "2024-01-01 00:00:01"}]}'
+    client = market_api.Client("http://x", get=lambda url: (200, page), gap=0, page_rows=2)
+    with pytest.raises(market_api.MarketApiError, match="full page"):
+        list(client.fetch("A", "1min", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1, 0, 4)))

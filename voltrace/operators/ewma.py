@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,10 +25,16 @@ def ordered_returns(time: str = "timestamp", value: str = "return") -> Column:
 
 
 def calculate_ewma(returns: DataFrame, decay: float = 0.94, *, by=("asset_id",), time: str = "timestamp", value: str = "return") -> DataFrame:
-    """(by..., ewma_variance, ewma_volatility, observations): the forecast after the last return of each group."""
-    arr = returns.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by).agg(ordered_returns(time, value).alias("r"))
-    v = forecast_variance(F.col("r"), decay)
-    return arr.select(*by, v.alias("ewma_variance"), F.sqrt(v).alias("ewma_volatility"), F.size("r").cast("long").alias("observations"))
+    """(by..., ewma_variance, ewma_volatility, observations): the forecast after the last return of each group.
+
+    The recursion's closed form, a sum weighted by the number of later returns: no group is held in one array.
+    """
+    d = _decay(decay)
+    later = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(time))) - 1
+    rows = returns.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, F.col(time).alias("__t"), (F.col(value) * F.col(value)).alias("__r2"), later.alias("__later"))
+    n = F.count(F.lit(1))
+    v = F.pow(F.lit(d), n) * F.min_by("__r2", "__t") + (1 - d) * F.sum(F.pow(F.lit(d), F.col("__later")) * F.col("__r2"))
+    return rows.groupBy(*by).agg(v.alias("ewma_variance"), F.sqrt(v).alias("ewma_volatility"), n.alias("observations"))
 
 
 def transform(returns: DataFrame, decay: float = 0.94, *, by=("asset_id",), time: str = "timestamp", value: str = "return") -> DataFrame:

@@ -116,11 +116,19 @@ def create_static_weights(returns: DataFrame, weights: dict[str, float]) -> Data
 
 
 def calculate_portfolio_returns(returns: DataFrame, weights: DataFrame, *, by=()) -> DataFrame:
-    """(by..., timestamp, portfolio_return, gross_exposure, net_exposure, asset_count) of the inner join on key."""
-    w = weights.select(*by, "timestamp", "asset_id", "weight")
-    joined = returns.select("timestamp", "asset_id", "return").join(w, ["timestamp", "asset_id"])
-    return joined.groupBy(*by, "timestamp").agg(
-        F.sum(F.col("weight") * F.col("return")).alias("portfolio_return"), F.sum(F.abs("weight")).alias("gross_exposure"), F.sum("weight").alias("net_exposure"), F.count(F.lit(1)).alias("asset_count"))
+    """(by..., timestamp, portfolio_return, gross_exposure, net_exposure, asset_count) of the inner join on key, asset ids in upper case.
+
+    A key that either table repeats fails the job: it would count its returns and exposures several times.
+    """
+    name = F.upper(F.trim("asset_id")).alias("asset_id")
+    w = weights.select(*by, "timestamp", name, "weight")
+    joined = returns.select("timestamp", name, "return").join(w, ["timestamp", "asset_id"])
+    n = F.count(F.lit(1))
+    out = joined.groupBy(*by, "timestamp").agg(
+        F.sum(F.col("weight") * F.col("return")).alias("portfolio_return"), F.sum(F.abs("weight")).alias("gross_exposure"), F.sum("weight").alias("net_exposure"), n.alias("asset_count"),
+        F.count_distinct("asset_id").alias("__assets"))
+    whole = F.when(F.col("asset_count") == F.col("__assets"), F.col("asset_count")).otherwise(F.raise_error(F.lit("repeated (timestamp, asset_id) in returns or weights")).cast("long"))
+    return out.withColumn("asset_count", whole).drop("__assets")
 
 
 def wealth_columns(df: DataFrame, column: str, order, by=(), *, from_one: bool = False) -> DataFrame:
@@ -193,8 +201,17 @@ def calculate_cost_sensitivity(df: DataFrame, *, cost_rates: Iterable[float], tu
 
 
 def turnover_by_time(weights: DataFrame, *, column: str = "weight", by=()) -> DataFrame:
-    """(by..., timestamp, turnover) from consecutive weights of each asset: a lag, not a join. An asset without a row keeps its last weight."""
-    w = Window.partitionBy(*by, "asset_id").orderBy("timestamp")
-    change = F.abs(F.col(column) - F.coalesce(F.lag(column).over(w), F.lit(0.0)))
-    return weights.withColumn("__change", change).groupBy(*by, "timestamp").agg(F.sum("__change").alias("turnover"))
+    """(by..., timestamp, turnover) between consecutive timestamps over the union of their assets; an asset without a row has weight zero.
 
+    An asset that has no row at the next timestamp is sold there. Only the distinct timestamps are ordered as a whole.
+    """
+    dates = weights.select(*by, "timestamp").distinct()
+    line = Window.partitionBy(*by).orderBy("timestamp")
+    dates = dates.select(*by, "timestamp", F.lag("timestamp").over(line).alias("__last"), F.lead("timestamp").over(line).alias("__next"))
+    own = Window.partitionBy(*by, "asset_id").orderBy("timestamp")
+    rows = weights.select(*by, "timestamp", "asset_id", F.col(column).alias("__w")).withColumn("__held", F.lag(F.struct(F.col("timestamp").alias("at"), F.col("__w").alias("w"))).over(own)).withColumn("__then", F.lead("timestamp").over(own))
+    rows = rows.join(dates, [*by, "timestamp"])
+    before = F.when(F.col("__held.at") == F.col("__last"), F.col("__held.w")).otherwise(0.0)
+    sold = F.col("__next").isNotNull() & ~F.coalesce(F.col("__then") == F.col("__next"), F.lit(False))
+    moves = F.array(F.struct(F.col("timestamp").alias("at"), F.abs(F.col("__w") - before).alias("change")), F.struct(F.when(sold, F.col("__next")).alias("at"), F.abs("__w").alias("change")))
+    return rows.select(*by, F.explode(moves).alias("m")).filter("m.at is not null").groupBy(*by, F.col("m.at").alias("timestamp")).agg(F.sum("m.change").alias("turnover"))

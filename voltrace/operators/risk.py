@@ -47,8 +47,8 @@ def calculate_required_es_levels(returns: DataFrame, column: str = "simulated_re
         raise RiskError("repeated confidence levels")
     q = returns.groupBy(*by).agg(F.percentile(column, F.array(*(F.lit(1 - c) for c in levels))).alias("q"))
     pairs = q.select(*by, F.explode(F.arrays_zip(F.array(*map(F.lit, levels)).alias("level"), F.col("q").alias("cut"))).alias("z")).select(*by, F.col("z.level").alias("confidence_level"), F.col("z.cut").alias("cut"))
-    # A row for each group and level: as small as the result.
-    tail = returns.join(F.broadcast(pairs), list(by)) if by else returns.crossJoin(F.broadcast(pairs))
+    # A row for each group and level, which the planner broadcasts if they are few; without groups, a row for each level.
+    tail = returns.join(pairs, list(by)) if by else returns.crossJoin(F.broadcast(pairs))
     return tail.groupBy(*by, "confidence_level", "cut").agg(
         (-F.avg(F.when(F.col(column) <= F.col("cut"), F.col(column)))).alias("expected_shortfall"), F.count_if(F.col(column) <= F.col("cut")).alias("tail_count"),
     ).select(*by, "confidence_level", (-F.col("cut")).alias("value_at_risk"), "expected_shortfall", "tail_count")

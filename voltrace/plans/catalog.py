@@ -318,14 +318,13 @@ def _(spark, sf):
 
 
 @registered("hashed_bootstrap", f"""{USABLE},
-x AS (SELECT row_number() OVER (ORDER BY timestamp, asset_id) - 1 AS pos, "return" AS x FROM ok WHERE asset_id = 'A'),
+x AS (SELECT row_number() OVER (ORDER BY timestamp, asset_id) - 1 AS pos, "return" AS x FROM ok),
 n AS (SELECT count(*) AS n FROM x),
-g AS (SELECT b, k FROM range(0, 200) t(b), range(0, (SELECT n FROM n)) u(k)),
-m AS (SELECT b, avg(x.x) AS m FROM g JOIN x ON x.pos = ('0x' || substr(md5('42:' || b::VARCHAR || ':' || k::VARCHAR), 1, 12))::BIGINT % (SELECT n FROM n) GROUP BY 1)
+g AS MATERIALIZED (SELECT b, ('0x' || substr(md5('42:' || b::VARCHAR || ':' || k::VARCHAR), 1, 12))::BIGINT % n AS pos FROM range(0, 200) t(b), (SELECT n, unnest(range(n)) AS k FROM n)),
+m AS (SELECT b, avg(x.x) AS m FROM g JOIN x USING (pos) GROUP BY 1)
 SELECT round((SELECT avg(x) FROM x), 6) AS estimate, (SELECT n FROM n) AS observations, round(quantile_cont(m, 0.025), 6) AS "lower", round(quantile_cont(m, 0.975), 6) AS "upper", round(stddev_samp(m), 6) AS standard_error FROM m""")
 def _(spark, sf):
-    one = usable_panel(spark, sf).filter("asset_id = 'A'")
-    return rounded(resampling.hashed_bootstrap(one, "return", ("timestamp", "asset_id")))
+    return rounded(resampling.hashed_bootstrap(usable_panel(spark, sf), "return", ("timestamp", "asset_id")))
 
 
 @registered("bootstrap_intervals", None)
@@ -465,7 +464,10 @@ def _(spark, sf):
     return rounded(portfolio.calculate_performance(small))
 
 
-TURNOVER = f"{WEIGHTS},\nto_ AS (SELECT timestamp, sum(abs(weight - coalesce(before, 0))) AS turnover FROM (SELECT *, lag(weight) OVER (PARTITION BY asset_id ORDER BY timestamp) AS before FROM w) GROUP BY 1)"
+TURNOVER = f"""{WEIGHTS},
+dt AS (SELECT timestamp, lead(timestamp) OVER (ORDER BY timestamp) AS nxt FROM (SELECT DISTINCT timestamp FROM w)),
+prev AS (SELECT nxt AS timestamp, asset_id, weight FROM w JOIN dt USING (timestamp) WHERE nxt IS NOT NULL),
+to_ AS (SELECT timestamp, sum(abs(coalesce(w.weight, 0) - coalesce(prev.weight, 0))) AS turnover FROM w FULL JOIN prev USING (timestamp, asset_id) GROUP BY 1)"""
 
 
 @registered("turnover", f"{TURNOVER} SELECT timestamp, round(turnover, 6) AS turnover FROM to_")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from voltrace.operators import evaluation, ewma, features, models, portfolio, risk, stress, volatility, walkforward
 from voltrace.operators.kernels import boost, hmm
 from voltrace.plans.catalog import (
     BACKTEST, COSTS, HOURLY, STRESS, TURNOVER, USABLE, WEIGHTS, backtest_rows, bars, cost_rows, registered, rounded, stress_rows, usable_panel, weights)
-from voltrace.runtime import table
-from voltrace.sources import contract
+from voltrace.plans import experiments
+from voltrace.runtime import shared_dir, table
+from voltrace.sources import contract, files, registry
 
 _META = "count(*) AS row_count, count(DISTINCT asset_id) AS asset_count"
 
@@ -56,20 +59,18 @@ def _(spark, sf):
     return rounded(ewma.transform(usable_panel(spark, sf)))
 
 
-@registered("fold_by_positions", f"""{USABLE}, one AS (SELECT *, row_number() OVER (ORDER BY timestamp) - 1 AS k FROM ok WHERE asset_id = 'A')
-SELECT timestamp, CASE WHEN k < 120 THEN 'train' ELSE 'test' END AS role, 3 AS fold_id FROM one WHERE k >= 20 AND k < 130""")
+@registered("fold_by_positions", f"""{USABLE}, one AS (SELECT *, row_number() OVER (ORDER BY timestamp, asset_id) - 1 AS k FROM ok)
+SELECT timestamp, asset_id, CASE WHEN k < 120 THEN 'train' ELSE 'test' END AS role, 3 AS fold_id FROM one WHERE k >= 20 AND k < 130""")
 def _(spark, sf):
-    one = usable_panel(spark, sf).filter("asset_id = 'A'").select("timestamp")
-    return walkforward.create_fold_from_positions(one, fold_id=3, train_start=20, train_end=120, test_start=120, test_end=130)
+    return walkforward.create_fold_from_positions(usable_panel(spark, sf).select("timestamp", "asset_id"), fold_id=3, train_start=20, train_end=120, test_start=120, test_end=130)
 
 
-@registered("split_by_row", f"""{USABLE}, one AS (SELECT *, row_number() OVER (ORDER BY timestamp) - 1 AS k FROM ok WHERE asset_id = 'A'),
+@registered("split_by_row", f"""{USABLE}, one AS (SELECT *, row_number() OVER (ORDER BY timestamp) - 1 AS k FROM ok),
 f AS (SELECT f AS fold_id FROM range(0, (SELECT (count(*) - 100 - 10) // 500 + 1 FROM one)) t(f))
 SELECT fold_id::INTEGER AS fold_id, a.timestamp AS train_start, b.timestamp AS train_end, c.timestamp AS test_start, d.timestamp AS test_end
 FROM f JOIN one a ON a.k = 0 JOIN one b ON b.k = fold_id * 500 + 99 JOIN one c ON c.k = fold_id * 500 + 100 JOIN one d ON d.k = fold_id * 500 + 109""")
 def _(spark, sf):
-    one = usable_panel(spark, sf).filter("asset_id = 'A'")
-    return walkforward.split_indices(one, train_size=100, test_size=10, step_size=500, expanding=True)
+    return walkforward.split_indices(usable_panel(spark, sf), train_size=100, test_size=10, step_size=500, expanding=True)
 
 
 @registered("prediction_checks", f"""{USABLE}, t AS (SELECT *, row_number() OVER (ORDER BY timestamp, asset_id) AS k FROM ok)
@@ -205,3 +206,78 @@ def _(spark, sf):
     z = risk.standardized_returns(rows, by=("asset_id",))
     last = rows.groupBy("asset_id").agg(F.max_by("naive", "timestamp").alias("forecast_volatility"))
     return rounded(risk.calculate_required_es_levels(models.simulate_by_group(z, last, n_simulations=2000), by=("asset_id",)))
+
+
+# Sources and sinks --------------------------------------------------------------
+
+_BARS = "round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume"
+
+
+def _stored(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/voltrace/{uuid.uuid4().hex}-{name}"
+
+
+@registered("csv_round_trip", f"{HOURLY} SELECT timestamp, asset_id, {_BARS} FROM bars")
+def _(spark, sf):
+    return rounded(files.load_csv(spark, files.save_csv(bars(spark, sf), _stored(spark, "bars.csv"))))
+
+
+@registered("csv_raw", f"{HOURLY} SELECT count(*) AS n, round(sum(volume), 6) AS volume FROM bars")
+def _(spark, sf):
+    raw = files.load_csv_raw(spark, files.save_csv(bars(spark, sf), _stored(spark, "bars.csv")))
+    return rounded(raw.agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume")))
+
+
+@registered("parquet_round_trip", f"{HOURLY} SELECT timestamp, asset_id, {_BARS} FROM bars")
+def _(spark, sf):
+    return rounded(files.load_and_verify_parquet(spark, files.save_parquet(bars(spark, sf), _stored(spark, "bars.parquet"), partition_by_asset=True)).select(*contract.canonical_columns(bars(spark, sf)).columns))
+
+
+@registered("canonical_parquet_round_trip", f"{HOURLY} SELECT timestamp, asset_id, {_BARS} FROM bars")
+def _(spark, sf):
+    path = _stored(spark, "bars.parquet")
+    files.canonicalize_and_save(bars(spark, sf), path)
+    return rounded(files.load_canonical_parquet(spark, path))
+
+
+@registered("raw_dataset", f"{HOURLY} SELECT timestamp, asset_id, {_BARS} FROM bars WHERE asset_id IN (SELECT min(asset_id) FROM bars UNION SELECT max(asset_id) FROM bars) AND timestamp >= (SELECT min(timestamp) + INTERVAL 3 DAY FROM bars)")
+def _(spark, sf):
+    path = files.save_parquet(bars(spark, sf), _stored(spark, "bars.parquet"))
+    about = bars(spark, sf).agg(F.min("asset_id").alias("low"), F.max("asset_id").alias("up"), (F.min("timestamp") + F.expr("INTERVAL 3 DAYS")).alias("start")).first()
+    return rounded(files.load_raw_dataset(spark, path, assets=[about.low.lower(), about.up], start=about.start))
+
+
+@registered("artifact_round_trip", f"{HOURLY} SELECT asset_id, trading_date, round(realized_volatility, 6) AS realized_volatility FROM rv")
+def _(spark, sf):
+    out = _stored(spark, "artifacts")
+    files.save_dataframe_artifact(volatility.compute_realized_volatility(bars(spark, sf)), out)
+    return rounded(files.load_dataframe_artifact(spark, out).select("asset_id", "trading_date", "realized_volatility"))
+
+
+@registered("registry_datasets", f"{HOURLY} SELECT asset_id AS name, min(timestamp)::VARCHAR AS start_date, count(*)::VARCHAR AS metadata FROM bars GROUP BY 1")
+def _(spark, sf):
+    made = registry.Registry(spark, _stored(spark, "registry"))
+    made.initialize()
+    about = bars(spark, sf).groupBy("asset_id").agg(F.date_format(F.min("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("start"), F.count(F.lit(1)).alias("n"))
+    for r in about.collect():  # a record for each asset, as a service would register them
+        made.save_dataset({"name": r.asset_id, "start_date": r.start, "metadata": str(r.n)})
+    return made.list_datasets().select("name", "start_date", "metadata")
+
+
+@registered("experiment_forecasts", None)
+def _(spark, sf):
+    """Registers the bars, runs an experiment over them through the service, and reads back its artifacts."""
+    made = registry.Registry(spark, _stored(spark, "registry"))
+    made.initialize()
+    service = experiments.Service(spark, made, _stored(spark, "artifacts"))
+    service.create_dataset({"name": "bars", "path": files.save_parquet(bars(spark, sf), _stored(spark, "bars.parquet"))})
+    service.create_experiment({"name": "hourly", "models": ["EWMA"], "parameters": {"dataset": "bars", "train_size": 24, "test_size": 1, "step_size": 24}})
+    done = service.run_experiment("hourly")
+    if done.status != "succeeded":
+        raise RuntimeError(done.error)
+    return rounded(service.compare_forecasts("hourly"))
+
+
+@registered("kupiec_99", f"{BACKTEST} SELECT asset_id, count(*) AS observation_count, count(*) FILTER (e) AS exception_count FROM bt GROUP BY 1")
+def _(spark, sf):
+    return risk.kupiec_99(backtest_rows(spark, sf), by=("asset_id",)).select("asset_id", "observation_count", "exception_count")

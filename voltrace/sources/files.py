@@ -93,11 +93,18 @@ def canonicalize_and_save(df: DataFrame, path: str) -> CanonicalDataset:
 # Artifacts ----------------------------------------------------------------------
 
 
+#: Rows of a table inside a JSON artifact; more are refused, never cut.
+JSON_ROWS = 10_000
+
+
 def _encoded(value):
     if isinstance(value, datetime.datetime | datetime.date):
         return value.isoformat()
     if isinstance(value, DataFrame):
-        return [r.asDict(recursive=True) for r in value.limit(10_000).collect()]
+        rows = value.limit(JSON_ROWS + 1).collect()
+        if len(rows) > JSON_ROWS:
+            raise ContractError(f"a table of more than {JSON_ROWS} rows belongs in a DataFrame artifact")
+        return [r.asDict(recursive=True) for r in rows]
     if hasattr(value, "item"):
         return value.item()
     raise TypeError(f"no JSON for {type(value)}")

@@ -87,8 +87,11 @@ class Client:
         raise MarketApiError(f"{status} after {RETRIES} retries")
 
     def fetch(self, symbol: str, interval: str, start: dt.datetime, end: dt.datetime) -> Iterator[dict]:
+        """All values of a range; a full page is split, and one that can't be split any more is an error, as values may be missing."""
         rows = self.request(symbol, interval, start, end)
-        if len(rows) >= self.page_rows and end - start > dt.timedelta(minutes=1):
+        if len(rows) >= self.page_rows:
+            if end - start <= dt.timedelta(minutes=1):
+                raise MarketApiError(f"a full page of {len(rows)} values from {start} to {end}")
             middle = start + (end - start) / 2
             yield from self.fetch(symbol, interval, start, middle)
             yield from self.fetch(symbol, interval, middle, end)
@@ -119,7 +122,9 @@ class _Reader(DataSourceReader):
         return [_Range(normalize_symbol(s), start + k * step, start + (k + 1) * step) for s in self.options["symbols"].split(",") for k in range(n)]
 
     def read(self, partition):
-        client = Client(self.options["base_url"], self.options.get("api_key", ""))
+        # Partitions may all run at once, so that together they keep the service's gap.
+        tasks = len(self.options["symbols"].split(",")) * int(self.options.get("partitions", "1"))
+        client = Client(self.options["base_url"], self.options.get("api_key", ""), gap=GAP_SECONDS * tasks)
         for v in client.fetch(partition.symbol, self.interval, partition.start, partition.end):
             def number(name, v=v):
                 try:

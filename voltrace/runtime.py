@@ -99,7 +99,13 @@ def _let_workers_import(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
 
 
+#: Rows of an Arrow batch: Spark's own default lets a batch of long texts hold tens of megabytes in the JVM and in Python at once.
+BATCH_SETTING, BATCH_ROWS, SPARKS_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2048", "10000"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A supplied table; the path may be in any store that Spark reads."""
+    """A supplied table; the path may be in any store that Spark reads. Arrow batches become smaller unless the session sets their size."""
     _let_workers_import(spark)
+    if spark.conf.get(BATCH_SETTING, SPARKS_BATCH_ROWS) == SPARKS_BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

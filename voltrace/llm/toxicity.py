@@ -275,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, exceptions: tuple[str, ...] | Non
     for label, n in counts.items():
         part |= (F.col("toxic") == label) & (draw < F.lit(int((1 << 20) * min(1.0, fit_rows / n))))
     chosen = docs.select("doc_id", "text").join(F.broadcast(known.filter(part)), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    rows = materialize(chosen.repartition(32, F.xxhash64("doc_id")), "toxic-fit")
+    rows = materialize(chosen.repartition(F.xxhash64("doc_id")), "toxic-fit")
     toxic, clean = (rows.filter(F.col("toxic") == k).count() for k in (1, 0))
     if not toxic or not clean:
         odds = math.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 9))

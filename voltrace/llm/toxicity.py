@@ -46,7 +46,7 @@ FIT_ROWS = 10_000
 LEAST_CLEAN = 3
 #: Distinct entries that a task counts before it passes them on.
 FLUSH_ROWS = 50_000
-#: Origin of these: set by hand for few false entries on the labelled rows of the sample tables, before any held-out row was looked at; parameters of no contract.
+#: Set by hand; how they were chosen is not recorded, so held-out figures may flatter them.
 #: An entry is kept if its log-likelihood gain over chance reaches LEAST_GAIN (telling, dense) and its log-odds LEAST_ODDS;
 #: it is dense in a text with two occurrences or more and this share of the words. The share of telling entries counts up to MOST_SHARE,
 #: that of dense ones, times their weights, up to MOST_DENSE.

@@ -133,6 +133,14 @@ def test_hmm_separates_regimes():
     np.testing.assert_allclose(np.vstack([m.filter(x[:-1]), m.filter(x[-1:], m.filter(x[:-1])[-1])]), m.filter(x), atol=1e-9)
 
 
+def test_hmm_keeps_a_state_that_only_the_last_row_is_in():
+    x = np.append(np.random.default_rng(3).normal(0, 1, 99), 80.0)[:, None]
+    m = hmm.fit(x, hmm.Config(n_components=2))
+    assert np.allclose(m.transition.sum(axis=1), 1)
+    for got in (m.filter(x), m.filter_after_training(np.array([[0.1], [-0.2], [500.0], [0.0]]))):
+        assert np.allclose(got.sum(axis=1), 1)
+
+
 def test_boosting_fits_and_ranks_features():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(300, 3))

@@ -52,15 +52,19 @@ class Model:
         for t, row in enumerate(density):
             if t:
                 p = out[t - 1] @ self.transition
-            w = p * np.exp(row - row.max())
-            total = w.sum()
-            out[t] = w / total if total > 0 else p / p.sum()
+            w = p * _relative(row)
+            out[t] = w / w.sum()
         return out
 
     def filter_after_training(self, x: np.ndarray) -> np.ndarray:
         return self.filter(x, self.last)
 
 
+def _relative(density: np.ndarray) -> np.ndarray:
+    """Densities against the largest of each row, no smaller than exp(-300), so that a row far from its likely states keeps a weight."""
+    return np.exp(np.maximum(density - density.max(axis=-1, keepdims=True), -300.0))
+
+
 def _floor(cov: np.ndarray, least: float) -> np.ndarray:
     values, vectors = np.linalg.eigh((cov + cov.T) / 2)
     return (vectors * np.maximum(values, least)) @ vectors.T
@@ -94,7 +98,7 @@ def fit(observations: np.ndarray, config: Config = Config()) -> Model:
     for m.iterations in range(1, config.n_iter + 1):
         density = m.log_density(z)
         shift = density.max(axis=1)
-        b = np.exp(density - shift[:, None])
+        b = _relative(density)
         n = len(z)
         alpha, c = np.empty((n, k)), np.empty(n)
         p = m.start * b[0]
@@ -115,7 +119,8 @@ def fit(observations: np.ndarray, config: Config = Config()) -> Model:
             break
         before = m.log_likelihood
         m.start = gamma[0]
-        m.transition = xi / np.maximum(xi.sum(axis=1, keepdims=True), 1e-300)
+        left = xi.sum(axis=1, keepdims=True)
+        m.transition = np.where(left > 0, xi / np.maximum(left, 1e-300), m.transition)  # a state that only the last row is in has no transitions
         weight = np.maximum(gamma.sum(axis=0), 1e-10)
         m.means = gamma.T @ z / weight[:, None]
         for s in range(k):

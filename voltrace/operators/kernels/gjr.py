@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,74 +25,81 @@ class Fit:
     forecast_variance: float
 
 
-def _series(p: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _variances(p: list[float], x: list[float], first: float) -> list[float]:
+    """In-sample variances of x and the next step's."""
     mu, omega, alpha, gamma, beta = p
-    e = (x - mu).tolist()
-    v = float(np.var(x))
-    out = [v]
-    for a in e:
-        v = omega + (alpha + (gamma if a < 0 else 0.0)) * a * a + beta * v
+    v, out = first, [first]
+    for r in x:
+        e = r - mu
+        v = omega + (alpha + gamma if e < 0 else alpha) * e * e + beta * v
         out.append(v)
-    return np.array(e), np.array(out)
+    return out
 
 
-def _unpack(q: np.ndarray, x_var: float) -> np.ndarray:
+def _unpack(q: list[float], x_var: float) -> list[float]:
     """Unconstrained to (mu, omega, alpha, gamma, beta): positive variance, persistence alpha + gamma / 2 + beta below 1."""
-    z = np.exp(np.clip(q[2:5], -30, 30))
-    share = 0.9995 * z / (1 + z.sum())
-    return np.array([q[0], np.exp(np.clip(q[1], -40, 40)) * x_var, share[0], 2 * share[1], share[2]])
+    z = [math.exp(min(max(a, -30.0), 30.0)) for a in q[2:5]]
+    unit = 0.9995 / (1 + sum(z))
+    return [q[0], math.exp(min(max(q[1], -40.0), 40.0)) * x_var, z[0] * unit, 2 * z[1] * unit, z[2] * unit]
 
 
-def _loss(q: np.ndarray, x: np.ndarray, x_var: float) -> float:
-    e, v = _series(_unpack(q, x_var), x)
-    v = np.maximum(v[:-1], 1e-12)
-    return float(0.5 * np.sum(np.log(2 * np.pi) + np.log(v) + e * e / v))
+def _loss(q: list[float], x: list[float], first: float, x_var: float) -> float:
+    """Negative log-likelihood: one loop over plain floats, which for a training window is faster than array operations."""
+    mu, omega, alpha, gamma, beta = _unpack(q, x_var)
+    fall, log, v, total = alpha + gamma, math.log, first, 0.0
+    for r in x:
+        e = r - mu
+        square = e * e
+        s = v if v > 1e-12 else 1e-12
+        total += log(s) + square / s
+        v = omega + (fall if e < 0 else alpha) * square + beta * v
+    return 0.5 * (len(x) * math.log(2 * math.pi) + total)
 
 
-def simplex(f, start: np.ndarray, *, rounds: int = 1500, tol: float = 1e-7) -> tuple[np.ndarray, float, bool]:
+def simplex(f, start: list[float], *, rounds: int = 1500, tol: float = 1e-7) -> tuple[list[float], float, bool]:
     """Nelder-Mead; (point, value, whether the simplex closed)."""
     n = len(start)
-    points = np.vstack([start, *(start + 0.25 * np.eye(n)[k] for k in range(n))])
-    values = np.array([f(p) for p in points])
+    points = [list(start)] + [[a + 0.25 * (j == k) for j, a in enumerate(start)] for k in range(n)]
+    ranked = sorted(((f(p), p) for p in points), key=lambda r: r[0])
     for _ in range(rounds):
-        order = np.argsort(values, kind="stable")
-        points, values = points[order], values[order]
-        if values[-1] - values[0] < tol * (abs(values[0]) + tol) and np.abs(points[1:] - points[0]).max() < 1e-4:
-            return points[0], float(values[0]), True
-        centre = points[:-1].mean(axis=0)
-        far = centre + (centre - points[-1])
+        (least, best), (most, worst) = ranked[0], ranked[-1]
+        if most - least < tol * (abs(least) + tol) and max(abs(a - b) for _, p in ranked[1:] for a, b in zip(p, best, strict=True)) < 1e-4:
+            return best, least, True
+        centre = [sum(c) / n for c in zip(*(p for _, p in ranked[:-1]), strict=True)]
+        far = [2 * c - w for c, w in zip(centre, worst, strict=True)]
         value = f(far)
-        if value < values[0]:
-            further = centre + 2 * (centre - points[-1])
+        if value < least:
+            further = [3 * c - 2 * w for c, w in zip(centre, worst, strict=True)]
             better = f(further)
-            points[-1], values[-1] = (further, better) if better < value else (far, value)
-        elif value < values[-2]:
-            points[-1], values[-1] = far, value
+            ranked[-1] = (better, further) if better < value else (value, far)
+        elif value < ranked[-2][0]:
+            ranked[-1] = (value, far)
         else:
-            inner = centre + 0.5 * ((far if value < values[-1] else points[-1]) - centre)
+            inner = [0.5 * (c + w) for c, w in zip(centre, far if value < most else worst, strict=True)]
             near = f(inner)
-            if near < min(value, values[-1]):
-                points[-1], values[-1] = inner, near
+            if near < min(value, most):
+                ranked[-1] = (near, inner)
             else:
-                points[1:] = points[0] + 0.5 * (points[1:] - points[0])
-                values[1:] = [f(p) for p in points[1:]]
-    k = int(values.argmin())
-    return points[k], float(values[k]), False
+                nearer = ([0.5 * (a + b) for a, b in zip(p, best, strict=True)] for _, p in ranked[1:])
+                ranked[1:] = [(f(p), p) for p in nearer]
+        ranked.sort(key=lambda r: r[0])
+    return ranked[0][1], ranked[0][0], False
 
 
 def fit(returns: np.ndarray) -> Fit:
     x = np.asarray(returns, dtype=float) * SCALE
     if len(x) < LEAST_OBSERVATIONS or not np.isfinite(x).all():
         raise ValueError(f"at least {LEAST_OBSERVATIONS} finite returns are needed")
-    var = max(float(np.var(x)), 1e-8)
+    values, first = x.tolist(), float(np.var(x))
+    var = max(first, 1e-8)
     best = None
     for a, g, b in ((0.05, 0.05, 0.85), (0.1, 0.1, 0.6)):
         left = 1 - a - g / 2 - b
-        z = np.log(np.array([a, g / 2, b]) / left)
-        got = simplex(lambda q: _loss(q, x, var), np.array([x.mean(), np.log(left), *z]))
+        z = [math.log(part / left) for part in (a, g / 2, b)]
+        got = simplex(lambda q: _loss(q, values, first, var), [float(x.mean()), math.log(left), *z])
         if best is None or got[1] < best[1]:
             best = got
     p = _unpack(best[0], var)
-    _, v = _series(p, x)
+    v = np.array(_variances(p, values, first))
     s = SCALE * SCALE
     return Fit(p[1] / s, p[2], p[3], p[4], p[0] / SCALE, -best[1], best[2], v[:-1] / s, float(v[-1] / s))

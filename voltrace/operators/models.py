@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from voltrace.operators.kernels import boost, gjr, hmm
 from voltrace.operators.walkforward import resolve_feature_columns
+from voltrace.runtime import spread
 
 SIMPLEX_SLACK = 1e-6
 
@@ -40,7 +41,7 @@ def fit_gjr_garch(df: DataFrame, *, by=("asset_id",), order: str = "timestamp",
         return pd.DataFrame([[*key, *row]])
 
     fields = ", ".join(f"{n} double" for n in names) + ", converged boolean, observations int, forecast_variance double, forecast_volatility double"
-    return df.select(*by, order, column).groupBy(*by).applyInPandas(one, _kinds(df, by) + fields)
+    return spread(df.select(*by, order, column), *by).groupBy(*by).applyInPandas(one, _kinds(df, by) + fields)
 
 
 def conditional_volatility(df: DataFrame, *, by=("asset_id",), order: str = "timestamp", column: str = "return") -> DataFrame:
@@ -54,7 +55,7 @@ def conditional_volatility(df: DataFrame, *, by=("asset_id",), order: str = "tim
             v = np.full(len(pdf), np.nan)
         return pd.DataFrame({**{c: pdf[c] for c in (*by, order)}, "conditional_variance": v, "conditional_volatility": np.sqrt(v)})
 
-    return df.select(*by, order, column).groupBy(*by).applyInPandas(one, _kinds(df, by) + f"{order} {df.schema[order].dataType.simpleString()}, conditional_variance double, conditional_volatility double")
+    return spread(df.select(*by, order, column), *by).groupBy(*by).applyInPandas(one, _kinds(df, by) + f"{order} {df.schema[order].dataType.simpleString()}, conditional_variance double, conditional_volatility double")
 
 
 def fit_hmm(df: DataFrame, observations: list[str], *, config: hmm.Config = hmm.Config(), by=("asset_id",), order: str = "timestamp") -> DataFrame:
@@ -76,7 +77,7 @@ def fit_hmm(df: DataFrame, observations: list[str], *, config: hmm.Config = hmm.
         return out
 
     fields = f"{order} {df.schema[order].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names) + ", log_likelihood double, iterations int, converged boolean"
-    return df.select(*by, order, *observations).groupBy(*by).applyInPandas(one, _kinds(df, by) + fields)
+    return spread(df.select(*by, order, *observations), *by).groupBy(*by).applyInPandas(one, _kinds(df, by) + fields)
 
 
 def regime_columns(df: DataFrame) -> list[str]:
@@ -160,7 +161,7 @@ def fit_trees(df: DataFrame, features: list[str], *, target: str = "target", by=
         out["forecast"] = np.maximum(boost.fit(pdf[features].to_numpy(dtype=float), pdf[target].to_numpy(dtype=float), config).predict(pdf[features].to_numpy(dtype=float)), 0.0) if len(pdf) else []
         return out
 
-    return df.select(*by, order, target, *features).groupBy(*by).applyInPandas(one, _kinds(df, by) + f"{order} {df.schema[order].dataType.simpleString()}, forecast double")
+    return spread(df.select(*by, order, target, *features), *by).groupBy(*by).applyInPandas(one, _kinds(df, by) + f"{order} {df.schema[order].dataType.simpleString()}, forecast double")
 
 
 def simulate_by_group(z: DataFrame, forecasts: DataFrame, *, by=("asset_id",), n_simulations: int = 10_000, seed: int = 42) -> DataFrame:

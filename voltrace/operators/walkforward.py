@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from voltrace.operators import ewma
 from voltrace.operators.kernels import boost, gjr, hmm
+from voltrace.runtime import materialize, spread
 
 MODELS = ("EWMA", "GJR-GARCH", "XGBoost", "Regime-XGBoost")
 ABLATIONS = {"A0": (False, False), "A1": (True, False), "A2": (False, True), "A3": (True, True)}
@@ -116,7 +117,7 @@ def run(df: DataFrame, predict: Callable[[pd.DataFrame, pd.DataFrame, int], pd.D
         out["fold_id"] = np.int32(fold)
         return out[names]
 
-    return assign_folds(df, **folds).groupBy("fold_id").applyInPandas(one, schema)
+    return spread(assign_folds(df, **folds), "fold_id").groupBy("fold_id").applyInPandas(one, schema)
 
 
 def resolve_feature_columns(df: DataFrame, feature_columns=None) -> list[str]:
@@ -156,7 +157,7 @@ def garch_features(rows: DataFrame) -> DataFrame:
         out["garch_forecast"] = value
         return out[["fold_id", "role", "timestamp", "asset_id", "garch_forecast", "garch_converged"]]
 
-    return rows.select("fold_id", "role", "timestamp", "asset_id", "return").groupBy("fold_id", "asset_id").applyInPandas(
+    return spread(rows.select("fold_id", "role", "timestamp", "asset_id", "return"), "fold_id", "asset_id").groupBy("fold_id", "asset_id").applyInPandas(
         one, "fold_id int, role string, timestamp timestamp, asset_id string, garch_forecast double, garch_converged boolean")
 
 
@@ -183,7 +184,7 @@ def hmm_features(rows: DataFrame, config: hmm.Config = hmm.Config()) -> DataFram
         return out[["fold_id", "role", "timestamp", "asset_id", *names, "hmm_converged", "hmm_iterations"]]
 
     cols = ["fold_id", "role", "timestamp", "asset_id", "return", "realized_volatility", "high", "low", "close"]
-    return rows.select(*cols).groupBy("fold_id", "asset_id").applyInPandas(
+    return spread(rows.select(*cols), "fold_id", "asset_id").groupBy("fold_id", "asset_id").applyInPandas(
         one, "fold_id int, role string, timestamp timestamp, asset_id string, " + ", ".join(f"{n} double" for n in names) + ", hmm_converged boolean, hmm_iterations int")
 
 
@@ -205,7 +206,7 @@ def predict_trees(rows: DataFrame, target: str, features: list[str], config: boo
         return out[["timestamp", "asset_id", "prediction", "actual_volatility", "fold_id", *keep]]
 
     cols = list(dict.fromkeys(["fold_id", "role", "timestamp", "asset_id", target, *features, *keep]))
-    return rows.select(*cols).groupBy("fold_id").applyInPandas(
+    return spread(rows.select(*cols), "fold_id").groupBy("fold_id").applyInPandas(
         one, "timestamp timestamp, asset_id string, prediction double, actual_volatility double, fold_id int" + "".join(f", {k} double" for k in keep))
 
 
@@ -254,8 +255,6 @@ def run_ablation(df: DataFrame, ablation: str, *, target: str = "target", hmm_co
 
 def run_ablations(df: DataFrame, *, hmm_config: hmm.Config = hmm.Config(), boost_config: boost.Config = boost.Config(), target: str = "target", feature_columns=None, **folds) -> DataFrame:
     """All four, with GARCH and HMM fitted once for each fold and asset, and shared."""
-    from voltrace.runtime import materialize
-
     features = resolve_feature_columns(df, feature_columns)
     rows = assign_folds(df, **folds).withColumn("fold_id", F.col("fold_id").cast("int"))
     wide = materialize(_with(rows, garch=garch_features(rows), regimes=hmm_features(rows, hmm_config)), "ablation-features")

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from voltrace.operators import evaluation, ewma, features, portfolio, resampling, risk, stress, volatility, walkforward
 from voltrace.operators.bars import daily_bars, hourly_bars
-from voltrace.operators.kernels import boost, hmm
 from voltrace.sources import contract
 from voltrace.runtime import table
 
@@ -193,7 +192,7 @@ def _(spark, sf):
 
 # Folds and models ---------------------------------------------------------------
 
-TRAIN, STEP = 120, 60
+TRAIN, STEP = 120, 1
 
 
 @registered("walk_forward_folds", f"""{USABLE},
@@ -239,35 +238,36 @@ def _wide_panel(spark, sf):
                     (F.lit(1) + F.col("volatility")).alias("high"), F.lit(1.0).alias("low"), F.lit(1.0).alias("close"))
 
 
-MODEL_FOLDS = {"train_size": TRAIN, "test_size": 1, "step_size": 240}
-SMALL_TREES, SMALL_HMM = boost.Config(n_estimators=20, max_depth=3), hmm.Config(n_components=2, n_iter=50)
+#: One-step forecasts of every date; blocks of 60 dates, all of them forecast; and one date in 60, for the queries that fit all models in every fold.
+EVERY_DATE, BLOCKS, SPARSE = ({"train_size": TRAIN, "test_size": test, "step_size": step} for test, step in ((1, 1), (60, 60), (1, 60)))
+TREE_FEATURES = ["return", "naive", "older"]
 
 
 @registered("gjr_garch_walk_forward", None)
 def _(spark, sf):
-    return rounded(walkforward.run_model(_wide_panel(spark, sf), "GJR-GARCH", **MODEL_FOLDS))
+    return rounded(walkforward.run_model(_wide_panel(spark, sf), "GJR-GARCH", **EVERY_DATE))
 
 
 @registered("boosted_trees_walk_forward", None)
 def _(spark, sf):
-    return rounded(walkforward.run_model(_wide_panel(spark, sf), "XGBoost", boost_config=SMALL_TREES, feature_columns=["return", "naive", "older"], **MODEL_FOLDS))
+    return rounded(walkforward.run_model(_wide_panel(spark, sf), "XGBoost", feature_columns=TREE_FEATURES, **BLOCKS))
 
 
 @registered("regime_trees_walk_forward", None)
 def _(spark, sf):
-    out = walkforward.run_model(_wide_panel(spark, sf), "Regime-XGBoost", boost_config=SMALL_TREES, hmm_config=SMALL_HMM, feature_columns=["return", "naive", "older"], **MODEL_FOLDS)
+    out = walkforward.run_model(_wide_panel(spark, sf), "Regime-XGBoost", feature_columns=TREE_FEATURES, **SPARSE)
     return rounded(out.select("timestamp", "asset_id", "prediction", "actual_volatility", "fold_id", "model"))
 
 
 @registered("ablations", None)
 def _(spark, sf):
-    return rounded(walkforward.run_ablations(_wide_panel(spark, sf), boost_config=SMALL_TREES, hmm_config=SMALL_HMM, feature_columns=["return", "naive", "older"], **MODEL_FOLDS))
+    return rounded(walkforward.run_ablations(_wide_panel(spark, sf), feature_columns=TREE_FEATURES, **SPARSE))
 
 
 @registered("regime_probabilities", None)
 def _(spark, sf):
-    rows = walkforward.assign_folds(_wide_panel(spark, sf), **MODEL_FOLDS).withColumn("fold_id", F.col("fold_id").cast("int"))
-    return rounded(walkforward.hmm_features(rows, SMALL_HMM))
+    rows = walkforward.assign_folds(_wide_panel(spark, sf), **BLOCKS).withColumn("fold_id", F.col("fold_id").cast("int"))
+    return rounded(walkforward.hmm_features(rows))
 
 
 # Evaluation ---------------------------------------------------------------------

@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from voltrace.operators import evaluation, ewma, features, models, portfolio, risk, stress, volatility, walkforward
-from voltrace.operators.kernels import boost, hmm
 from voltrace.plans.catalog import (
     BACKTEST, COSTS, HOURLY, STRESS, TURNOVER, USABLE, WEIGHTS, backtest_rows, bars, cost_rows, registered, rounded, stress_rows, usable_panel, weights)
 from voltrace.plans import experiments
@@ -180,12 +179,12 @@ def _(spark, sf):
 
 @registered("regimes", None)
 def _(spark, sf):
-    return rounded(models.predict_regimes(models.fit_hmm(usable_panel(spark, sf), ["return", "volatility"], config=hmm.Config(n_components=2, n_iter=50))))
+    return rounded(models.predict_regimes(models.fit_hmm(usable_panel(spark, sf), ["return", "volatility"])))
 
 
 @registered("trees_by_asset", None)
 def _(spark, sf):
-    return rounded(models.fit_trees(usable_panel(spark, sf), ["return", "naive", "older"], config=boost.Config(n_estimators=20, max_depth=3)))
+    return rounded(models.fit_trees(usable_panel(spark, sf), ["return", "naive", "older"]))
 
 
 @registered("pooled_trees", None)

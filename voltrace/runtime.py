@@ -109,3 +109,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if spark.conf.get(BATCH_SETTING, SPARKS_BATCH_ROWS) == SPARKS_BATCH_ROWS:
         spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df by keys in as many partitions as the session has for shuffles. Groups that are fitted are slow for their bytes; partitions chosen by size would put many in one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -67,3 +67,23 @@ def test_sharding_of_what_hashing_cannot_split(spark):
     sizes = {(r.depth, r.prefix, r.link): r.shard_bytes for r in sharding.directory(shards).collect()}
     assert sorted(v for v in sizes.values() if v > 1000) == [5000]
     assert sharding.shard(df.limit(0), 1000).count() == 0
+
+
+def test_a_hot_id_is_dealt_over_tasks(spark):
+    sizes = [i * 37 % 900 for i in range(2000)]
+    rows = [(None, "x" * n, "b") for n in sizes] + [(None, None, "b")] * 500 + [(i, "y" * 40, "b") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, bucket string").repartition(6)
+    shards = sharding.shard(df, 1000)
+    assert sorted((str(r.doc_id), r.n_bytes) for r in shards.collect()) == sorted((str(i), len(t or "")) for i, t, _ in rows)
+    bins = sharding.directory(shards).collect()
+    assert all(r.shard_bytes <= 1000 for r in bins) and sum(r.shard_bytes for r in bins) == sum(sizes) + 400 * 40
+    real = {(r.depth, r.prefix, r.link): r.n for r in shards.groupBy("depth", "prefix", "link").sum("n_bytes").withColumnRenamed("sum(n_bytes)", "n").collect()}
+    assert real == {(r.depth, r.prefix, r.link): r.shard_bytes for r in bins}
+    small = [r for r in bins if r.link > 0]
+    assert len(small) <= 2 * sum(n for n in sizes if n <= 500) / 500 + 1  # links but the last are half full
+    order = sharding._running(spark.createDataFrame([(i % 3, n, i) for i, n in enumerate(sizes)], "hash long, n_bytes long, doc_id long").repartition(5))
+    got = {}
+    for r in order.orderBy("hash", "place").collect():
+        assert (r.place, r.ahead) == got.get(r.hash, (0, 0))
+        got[r.hash] = (r.place + 1, r.ahead + r.n_bytes)
+    assert sum(n for n, _ in got.values()) == 2000

@@ -43,6 +43,24 @@ def _splits(sums: DataFrame, first: int, last: int, limit: int) -> DataFrame:
     return found.select(F.col("leaf").alias("prefix"), "found.depth", "found.shard_bytes")
 
 
+def _running(rows: DataFrame) -> DataFrame:
+    """Adds ``place`` and ``ahead``: rows and bytes before a row among those of its hash, smaller ones first.
+
+    A hash with any share of the rows is dealt over many tasks in this order,
+    and the sums of the tasks before are added.
+    """
+    order = ["n_bytes", "doc_id", "at"]
+    parts = materialize(
+        rows.withColumn("at", F.monotonically_increasing_id()).repartitionByRange("hash", *order).withColumn("part", F.spark_partition_id()), "shard-order")
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    own = before.partitionBy("part", "hash").orderBy(*order)
+    sums = parts.groupBy("part", "hash").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_bytes").alias("bytes"))
+    of_hash = before.partitionBy("hash").orderBy("part")  # a row for each task that holds the hash
+    sums = sums.select("part", "hash", F.coalesce(F.sum("rows").over(of_hash), F.lit(0)).alias("rows"), F.coalesce(F.sum("bytes").over(of_hash), F.lit(0)).alias("bytes"))
+    local = parts.withColumn("place", F.count(F.lit(1)).over(own)).withColumn("ahead", F.coalesce(F.sum("n_bytes").over(own), F.lit(0)))
+    return local.join(sums, ["part", "hash"]).select(*rows.columns, (F.col("place") + F.col("rows")).alias("place"), (F.col("ahead") + F.col("bytes")).alias("ahead"))
+
+
 def shard(docs: DataFrame, max_bytes: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_bytes, depth, prefix, link, shard_bytes); (depth, prefix, link) names the shard.
 
@@ -70,12 +88,14 @@ def shard(docs: DataFrame, max_bytes: int, *, id_col: str = "doc_id", text_col:
             return done
         rest = materialize(placed.filter(F.col("depth").isNull()).select("doc_id", "hash", "n_bytes"), f"shard-rest-{last}")
     # What is left shares all bits: links of at most the limit, by running size.
-    ahead = F.sum("n_bytes").over(Window.partitionBy("hash").orderBy("n_bytes", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
     half = max(1, max_bytes // 2)
-    big = F.col("n_bytes") > half
-    linked = rest.withColumn("link", F.when(big, -1).otherwise(F.floor(F.coalesce(ahead, F.lit(0)) / F.lit(half)))).withColumn(
-        "link", F.when(big, -F.row_number().over(Window.partitionBy("hash", big).orderBy("n_bytes", "doc_id"))).otherwise(F.col("link")).cast("long"))
-    chains = linked.withColumn("shard_bytes", F.sum("n_bytes").over(Window.partitionBy("hash", "link"))).select(
+    linked = _running(rest).select(
+        "doc_id", "hash", "n_bytes",
+        F.when(F.col("n_bytes") > half, -F.col("place") - 1).otherwise(F.floor(F.col("ahead") / F.lit(half))).cast("long").alias("link"))
+    linked = materialize(linked, "shard-links")
+    # A link of empty texts may hold any number of rows: sums are joined back, not taken over a window.
+    sizes = linked.groupBy("hash", "link").agg(F.sum("n_bytes").alias("shard_bytes"))
+    chains = linked.join(sizes, ["hash", "link"]).select(
         "doc_id", "n_bytes", F.lit(HASH_BITS).alias("depth"), F.col("hash").alias("prefix"), "link", "shard_bytes")
     return done.unionByName(chains)
 

@@ -93,3 +93,12 @@ def test_packing_keeps_every_id_once(spark):
     digest = packing.packing_digest(df, PATH).collect()
     assert sorted((str(r.doc_id), r.start, r.ids_crc32) for r in digest) == sorted((str(r.doc_id), r.start, zlib.crc32(r.ids)) for r in out)
     assert packing.packing_digest(df.limit(0), PATH).count() == 0
+
+
+def test_repeated_rows_are_dealt_over_groups(spark):
+    df = spark.createDataFrame([(5, "a b", "g")] * 900, "doc_id long, text string, group string").repartition(3)
+    cut = packing.pieces(df, PATH, n_groups=30).groupBy("group").count().collect()
+    assert sum(r["count"] for r in cut) == 900 and len(cut) == 30 and max(r["count"] for r in cut) < 90
+    again = packing.pieces(df.orderBy("text"), PATH, n_groups=30)
+    assert again.count() == 900
+    assert packing.pack(df, PATH).count() == 900

@@ -7,14 +7,16 @@ sequence with room, found by descending a tournament tree of the sequences'
 free capacities. Groups are sized from the total bytes, so one fits a task.
 
 Null texts count as empty (a piece of just the end id). Rows that share an id,
-or have none, are dealt by their texts. Repeated rows are packed each on its own. An empty table gives no sequences. Other columns are not read.
+or have none, are dealt by their texts. Repeated rows are packed each on its own;
+those that a task meets again go to other groups, so that one group gets at most
+one of them from each task. An empty table gives no sequences. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -121,19 +123,21 @@ def pieces(docs: DataFrame, path: str, *, length: int = 2048, end_id: int = 1, n
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
+        met: Counter[int] = Counter()  # a number for each row of the task
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 index, start, ids, tokens, group = [], [], [], [], []
                 for i, (text, draw) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
                     whole = encode(text) + end
+                    copy, met[draw] = met[draw], met[draw] + 1
                     for k, s in enumerate(range(0, len(whole), step)):
                         index.append(i)
                         start.append(s // 4)
                         ids.append(whole[s:s + step])
                         tokens.append(len(whole) // 4)
-                        # The pieces of a long document go to different groups.
-                        group.append((draw + k * 0x9E3779B97F4A7C15 >> 16) % n_groups)
+                        # The pieces of a long document go to different groups, and so do repeated rows.
+                        group.append((draw + k * 0x9E3779B97F4A7C15 + copy * 0xC2B2AE3D27D4EB4F >> 16) % n_groups)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(index, pa.int64())), pa.array(start, pa.int64()), pa.array(ids, pa.binary()), pa.array(tokens, pa.int64()), pa.array(group, pa.int64())],
                     names=["doc_id", "start", "ids", "doc_tokens", "group"])

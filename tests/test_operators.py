@@ -303,3 +303,15 @@ def test_full_pages_that_cannot_be_split_are_refused():
     client = market_api.Client("http://x", get=lambda url: (200, page), gap=0, page_rows=2)
     with pytest.raises(market_api.MarketApiError, match="full page"):
         list(client.fetch("A", "1min", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1, 0, 4)))
+
+
+def test_positions_are_numbered_by_parts(spark):
+    from voltrace.runtime import numbered
+
+    df = spark.createDataFrame([(None if i % 50 == 0 else i % 7, i) for i in range(400)], "a int, b long").repartition(6)
+    got = sorted((r.position, r.a is not None, r.a, r.b) for r in numbered(df, "a", "b").collect())
+    assert [x[0] for x in got] == list(range(400))
+    assert [x[1:] for x in got] == sorted((x[1:] for x in got), key=lambda x: (x[0], x[1] or 0, x[2]))
+    assert numbered(df.limit(0), "a", "b").count() == 0
+    split = walkforward.create_fold(df.withColumnRenamed("b", "timestamp"), fold_id=2, train_indices=[0, 3, 5], test_indices=[9, 8])
+    assert sorted((r.timestamp, r.role) for r in split.collect()) == [(0, "train"), (3, "train"), (5, "train"), (8, "test"), (9, "test")]

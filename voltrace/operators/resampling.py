@@ -14,9 +14,11 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voltrace.runtime import numbered
+
 LEAST_REPLICATIONS = 100
 
 
@@ -103,19 +105,19 @@ def grouped_bootstrap(df: DataFrame, column: str, by, *, statistic: Callable = n
     return df.select(*by, order, column).groupBy(*by).applyInPandas(one, f"{kinds}, {fields}")
 
 
-def hashed_bootstrap(df: DataFrame, column: str, order, *, n_bootstrap: int = 200, confidence_level: float = 0.95, seed: int = 42) -> DataFrame:
+def hashed_bootstrap(df: DataFrame, column: str, order, *, n_bootstrap: int = 2000, confidence_level: float = 0.95, seed: int = 42) -> DataFrame:
     """One row (estimate, lower, upper, standard_error, observations) for the mean.
 
-    Draw k of replication b takes row md5(seed:b:k) mod n. Draws are counted by row first, so the join
-    moves a row for each (replication, row drawn) and sums are aggregated on the map side.
+    Draw k of replication b takes row md5(seed:b:k) mod n. Rows are numbered by parts, not in one task; draws are
+    generated where they are joined, n for each replication, and averages are aggregated on the map side.
     """
     rows = df.filter(F.col(column).isNotNull()).select(*order, F.col(column).cast("double").alias("x"))
-    numbered = rows.select("x", (F.row_number().over(Window.orderBy(*order, "x")) - 1).alias("position"))
+    placed = numbered(rows, *order, "x", tag="bootstrap-rows").select("x", "position")
     n = rows.count()
     _checked(n, confidence_level, max(n_bootstrap, LEAST_REPLICATIONS))
     grid = df.sparkSession.range(n_bootstrap * n).select(F.floor(F.col("id") / n).alias("b"), (F.col("id") % n).alias("k"))
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("k").cast("string"))), 1, 12), 16, 10).cast("long") % n
-    means = grid.select("b", pick.alias("position")).join(numbered, "position").groupBy("b").agg(F.avg("x").alias("m"))
+    means = grid.select("b", pick.alias("position")).join(placed, "position").groupBy("b").agg(F.avg("x").alias("m"))
     low, up = (1 - confidence_level) / 2, (1 + confidence_level) / 2
     stats = means.agg(F.percentile("m", F.lit(low)).alias("lower"), F.percentile("m", F.lit(up)).alias("upper"), F.stddev_samp("m").alias("standard_error"))
     return rows.agg(F.avg("x").alias("estimate"), F.count(F.lit(1)).alias("observations")).crossJoin(stats)  # one row each

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltrace.functions.special import chi2_sf_1, chi2_sf_2, safe_div, xlogy
+from voltrace.runtime import numbered
 
 LEVELS = (0.95, 0.99)
 
@@ -173,17 +174,10 @@ def simulate(z: DataFrame, forecast_volatility: float, *, n_simulations: int = 1
     Row numbers of z by a hash of its key, and a hashed index per draw, joined: no task holds all of z, and reruns agree.
     """
     n = z.count()
-    # A total order by range partitions: positions are a partition's offset plus the row number within it.
     spread = z.withColumn("h", F.xxhash64(F.lit(seed), "timestamp", "asset_id", "z"))
-    from voltrace.runtime import materialize
-
-    parts = materialize(spread.repartitionByRange("h", "timestamp", "asset_id").withColumn("part", F.spark_partition_id()), "fhs-z")
-    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
-    before = sizes.select("part", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    numbered = parts.join(F.broadcast(before), "part").select(
-        "z", (F.row_number().over(Window.partitionBy("part").orderBy("h", "timestamp", "asset_id")) - 1 + F.col("before")).alias("position"))
+    placed = numbered(spread, "h", "timestamp", "asset_id", tag="fhs-z").select("z", "position")
     draws = z.sparkSession.range(n_simulations).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).alias("position"))
-    return draws.join(numbered, "position").select("draw", (F.col("z") * forecast_volatility).alias("simulated_return"))
+    return draws.join(placed, "position").select("draw", (F.col("z") * forecast_volatility).alias("simulated_return"))
 
 
 def filtered_historical_simulation(df: DataFrame, forecast_volatility: float, *, min_observations: int = 100, n_simulations: int = 10_000, seed: int = 42) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from voltrace.operators import ewma
 from voltrace.operators.kernels import boost, gjr, hmm
-from voltrace.runtime import materialize, spread
+from voltrace.runtime import materialize, numbered, spread
 
 MODELS = ("EWMA", "GJR-GARCH", "XGBoost", "Regime-XGBoost")
 ABLATIONS = {"A0": (False, False), "A1": (True, False), "A2": (False, True), "A3": (True, True)}
@@ -46,7 +46,7 @@ def fold_table(df: DataFrame, *, train_size: int, test_size: int = 1, step_size:
     """(fold_id, train_start, train_end, test_start, test_end) over distinct timestamps, or row positions with by_row."""
     train, test, step = _sizes(train_size, test_size, step_size)
     if by_row:
-        calendar = df.select(timestamp_column).withColumn("rank", F.row_number().over(Window.orderBy(timestamp_column)) - 1)
+        calendar = numbered(df.select(timestamp_column), timestamp_column, name="rank", tag="fold-rows")
     else:
         calendar = ranked_timestamps(df, timestamp_column)
     n = calendar.agg(F.count(F.lit(1)).alias("n"))
@@ -83,8 +83,8 @@ def create_fold_from_positions(df: DataFrame, *, fold_id: int, train_start: int,
     """Rows of one fold by positions [start, end) in time order, with fold_id and role."""
     if not (0 <= train_start < train_end <= test_start < test_end):
         raise WalkForwardError("positions must be ordered and disjoint")
-    others = [F.col(c) for c in df.columns if c != timestamp_column]
-    placed = df.withColumn("__at", F.row_number().over(Window.orderBy(timestamp_column, *others)) - 1)
+    others = [c for c in df.columns if c != timestamp_column]
+    placed = numbered(df, timestamp_column, *others, name="__at", tag="fold-rows")
     role = F.when(F.col("__at").between(train_start, train_end - 1), "train").when(F.col("__at").between(test_start, test_end - 1), "test")
     return placed.withColumn("fold_id", F.lit(fold_id)).withColumn("role", role).filter("role is not null").drop("__at")
 
@@ -94,8 +94,8 @@ def create_fold(df: DataFrame, *, fold_id: int, train_indices, test_indices, tim
     train, test = sorted(set(train_indices)), sorted(set(test_indices))
     if not train or not test or set(train) & set(test) or train[-1] >= test[0]:
         raise WalkForwardError("train must come before test and share no row with it")
-    others = [F.col(c) for c in df.columns if c != timestamp_column]
-    placed = df.withColumn("__at", F.row_number().over(Window.orderBy(timestamp_column, *others)) - 1)
+    others = [c for c in df.columns if c != timestamp_column]
+    placed = numbered(df, timestamp_column, *others, name="__at", tag="fold-rows")
     role = F.when(F.col("__at").isin(train), "train").when(F.col("__at").isin(test), "test")
     return placed.withColumn("fold_id", F.lit(fold_id)).withColumn("role", role).filter("role is not null").drop("__at")
 

@@ -320,7 +320,7 @@ def _(spark, sf):
 @registered("hashed_bootstrap", f"""{USABLE},
 x AS (SELECT row_number() OVER (ORDER BY timestamp, asset_id) - 1 AS pos, "return" AS x FROM ok),
 n AS (SELECT count(*) AS n FROM x),
-g AS MATERIALIZED (SELECT b, ('0x' || substr(md5('42:' || b::VARCHAR || ':' || k::VARCHAR), 1, 12))::BIGINT % n AS pos FROM range(0, 200) t(b), (SELECT n, unnest(range(n)) AS k FROM n)),
+g AS MATERIALIZED (SELECT b, ('0x' || substr(md5('42:' || b::VARCHAR || ':' || k::VARCHAR), 1, 12))::BIGINT % n AS pos FROM range(0, 2000) t(b), (SELECT n, unnest(range(n)) AS k FROM n)),
 m AS (SELECT b, avg(x.x) AS m FROM g JOIN x USING (pos) GROUP BY 1)
 SELECT round((SELECT avg(x) FROM x), 6) AS estimate, (SELECT n FROM n) AS observations, round(quantile_cont(m, 0.025), 6) AS "lower", round(quantile_cont(m, 0.975), 6) AS "upper", round(stddev_samp(m), 6) AS standard_error FROM m""")
 def _(spark, sf):
@@ -329,13 +329,13 @@ def _(spark, sf):
 
 @registered("bootstrap_intervals", None)
 def _(spark, sf):
-    return rounded(resampling.grouped_bootstrap(usable_panel(spark, sf), "return", ("asset_id",), n_bootstrap=500))
+    return rounded(resampling.grouped_bootstrap(usable_panel(spark, sf), "return", ("asset_id",), n_bootstrap=2000))
 
 
 @registered("model_confidence_set", None)
 def _(spark, sf):
     wide = evaluation.build_loss_matrix(long_forecasts(spark, sf), ["naive", "older"], observation=["timestamp", "asset_id"], kind="squared")
-    return rounded(resampling.grouped_model_confidence_set(wide, ["naive", "older"], ("asset_id",), n_bootstrap=300))
+    return rounded(resampling.grouped_model_confidence_set(wide, ["naive", "older"], ("asset_id",), n_bootstrap=2000))
 
 
 # Risk ---------------------------------------------------------------------------
@@ -498,7 +498,18 @@ def _(spark, sf):
     return rounded(portfolio.apply_turnover_limit(now, before, max_turnover=0.05))
 
 
-@registered("sequential_constraints", None)
+@registered("sequential_constraints", WEIGHTS.replace("WITH", "WITH RECURSIVE", 1) + """,
+steps AS (SELECT timestamp, row_number() OVER (ORDER BY timestamp) AS k FROM (SELECT DISTINCT timestamp FROM w)),
+grid AS (SELECT d.k, d.timestamp, a.asset_id, w.weight AS target FROM steps d CROSS JOIN (SELECT DISTINCT asset_id FROM w) a LEFT JOIN w USING (timestamp, asset_id)),
+books AS (SELECT k, timestamp, list(asset_id ORDER BY asset_id) AS names, list(coalesce(target, 0) ORDER BY asset_id) AS want, list(target IS NOT NULL ORDER BY asset_id) AS named FROM grid GROUP BY 1, 2),
+path AS (
+  SELECT 0::BIGINT AS k, [0.0::DOUBLE for x in want] AS held, [false for x in want] AS shown, 0.0::DOUBLE AS turnover FROM books WHERE k = 1
+  UNION ALL
+  SELECT k, [x[1] + (x[2] - x[1]) * scale for x in list_zip(held, want)], [x[1] or x[2] <> 0 for x in list_zip(named, held)], total * scale
+  FROM (SELECT *, CASE WHEN total > 0.2 THEN 0.2 / total ELSE 1.0::DOUBLE END AS scale
+        FROM (SELECT b.k, p.held, b.want, b.named, list_sum([abs(x[2] - x[1]) for x in list_zip(p.held, b.want)]) AS total FROM path p JOIN books b ON b.k = p.k + 1)))
+SELECT 'book' AS portfolio_id, timestamp, asset_id, round(weight, 6) AS weight, round(turnover, 6) AS turnover
+FROM (SELECT b.timestamp, unnest(b.names) AS asset_id, unnest(p.held) AS weight, unnest(p.shown) AS shown, p.turnover FROM path p JOIN books b USING (k)) WHERE shown""")
 def _(spark, sf):
     w = weights(spark, sf).select(F.lit("book").alias("portfolio_id"), "timestamp", "asset_id", F.col("weight").alias("target_weight"))
     return rounded(portfolio.sequential_constraints(w, max_position=0.8, max_turnover=0.2))

@@ -204,7 +204,7 @@ def _(spark, sf):
     rows = usable_panel(spark, sf).withColumn("forecast_volatility", F.col("naive"))
     z = risk.standardized_returns(rows, by=("asset_id",))
     last = rows.groupBy("asset_id").agg(F.max_by("naive", "timestamp").alias("forecast_volatility"))
-    return rounded(risk.calculate_required_es_levels(models.simulate_by_group(z, last, n_simulations=2000), by=("asset_id",)))
+    return rounded(risk.calculate_required_es_levels(models.simulate_by_group(z, last, n_simulations=10_000), by=("asset_id",)))
 
 
 # Sources and sinks --------------------------------------------------------------

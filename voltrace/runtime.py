@@ -10,7 +10,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -91,6 +92,19 @@ def materialize(df: DataFrame, tag: str, *, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *order: str, name: str = "position", tag: str = "numbered") -> DataFrame:
+    """Adds a row's position from 0 in the given order, which must be total for reruns to agree.
+
+    Rows are dealt by ranges of the order; a position is the number within a part plus the rows of the parts before it, so no task holds all rows.
+    """
+    parts = materialize(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), tag)
+    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"))
+    ahead = F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.select("__part", F.coalesce(ahead, F.lit(0)).alias("__before"))  # a row for each part
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return parts.withColumn("__within", within).join(F.broadcast(before), "__part").select(*df.columns, (F.col("__within") + F.col("__before")).alias(name))
+
+
 def _let_workers_import(spark: SparkSession) -> None:
     """Python workers find this package even if the driver found it by sys.path alone."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 
 from voltrace.llm.units import units
 
-#: Bytes of text for each group, on average; and units whose ids a worker keeps.
-GROUP_BYTES, CACHE_UNITS = 16 << 20, 400_000
+#: Bytes of text for each group, on average; units whose ids a worker keeps; and partitions of the shuffle by group.
+GROUP_BYTES, CACHE_UNITS, MOST_TASKS = 16 << 20, 400_000, 1 << 16
 _ENCODERS: dict[str, Callable[[str], np.ndarray]] = {}
 
 
@@ -165,7 +165,8 @@ def pack(docs: DataFrame, path: str, *, length: int = 2048, end_id: int = 1, see
 
     schema = T.StructType([*_pieces_schema(id_type), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     out = to_arrow_schema(schema)
-    return cut.repartition(int(n_groups), "group").groupBy("group").applyInArrow(fit, schema)  # a task for about each group, however many there are
+    # A task for about each group; above MOST_TASKS groups a task takes several, one after the other, with the same results.
+    return cut.repartition(min(int(n_groups), MOST_TASKS), "group").groupBy("group").applyInArrow(fit, schema)
 
 
 def packing_digest(docs: DataFrame, path: str, **options) -> DataFrame:

@@ -4,21 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltrace.llm import chat, itq, ivfpq, licenses, mixing, packing, sharding, simhash, tokencount, toxicity
+from voltrace.llm import alignment, chat, itq, ivfpq, langid, licenses, mixing, packing, sharding, simhash, spelling, tokencount, toxicity
 from voltrace.runtime import table
 
 #: Limit of a shard, in bytes of text: small objects, as for range reads over HTTP.
 SHARD_BYTES = 1 << 20
 
 
-#: File of the tokenizer that token counts and packing use.
-TOKENIZER = "byte_bpe_50k.json"
+#: Files of the tokenizer that token counts and packing use, and of the one that it is aligned with.
+TOKENIZER, OTHER_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,19 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(OTHER_TOKENIZER))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_nearest_neighbours, op3_token_counts, op4_sharding, op5_license_scan,
-    op6_simhash, op7_mixing, op8_packing, op9_toxicity, op10_embedding_dedup)}
+    op6_simhash, op7_mixing, op8_packing, op9_toxicity, op10_embedding_dedup, op11_tokenizer_alignment, op12_language_id, op13_spelling_variants)}
 ORACLES = {"op4_sharding": sharding.oracle_sql(SHARD_BYTES), "op7_mixing": mixing.ORACLE_SQL}

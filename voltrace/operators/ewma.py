@@ -1,10 +1,12 @@
-"""EWMA volatility by higher-order functions: no Python in the plan."""
+"""EWMA volatility in DataFrame functions: no Python in the plan."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voltrace.operators import scan
+
 
 def _decay(decay: float) -> float:
     if not 0 < decay < 1:
@@ -30,32 +32,27 @@ def calculate_ewma(returns: DataFrame, decay: float = 0.94, *, by=("asset_id",),
     The recursion's closed form, a sum weighted by the number of later returns: no group is held in one array.
     """
     d = _decay(decay)
-    later = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(time))) - 1
-    rows = returns.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, F.col(time).alias("__t"), (F.col(value) * F.col(value)).alias("__r2"), later.alias("__later"))
-    n = F.count(F.lit(1))
-    v = F.pow(F.lit(d), n) * F.min_by("__r2", "__t") + (1 - d) * F.sum(F.pow(F.lit(d), F.col("__later")) * F.col("__r2"))
+    r2 = (F.col(value) * F.col(value)).alias("__r2")
+    rows = scan.positions(returns.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, F.col(time).alias("__t"), r2), by, ["__t", "__r2"], "__position", "ewma")
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))  # a row for each group
+    rows = scan.matched(rows, sizes, by) if by else rows.crossJoin(F.broadcast(sizes))
+    n, later = F.count(F.lit(1)), F.col("__n") - 1 - F.col("__position")
+    v = F.pow(F.lit(d), n) * F.min_by("__r2", "__position") + (1 - d) * F.sum(F.pow(F.lit(d), later) * F.col("__r2"))
     return rows.groupBy(*by).agg(v.alias("ewma_variance"), F.sqrt(v).alias("ewma_volatility"), n.alias("observations"))
 
 
 def transform(returns: DataFrame, decay: float = 0.94, *, by=("asset_id",), time: str = "timestamp", value: str = "return") -> DataFrame:
-    """(by..., time, value, variance, volatility): the whole series; the state is streamed through a group's rows in order, in batches."""
+    """(by..., time, value, variance, volatility): the whole series, v0 = r0^2 and v = d v + (1 - d) r^2 of the row before.
+
+    The recursion is solved by decayed sums over blocks of rows, so a group is dealt over many tasks and no Python runs.
+    """
     d, names = _decay(decay), [*by, time, value]
-    ordered = returns.select(*names).filter(F.col(value).isNotNull()).repartition(*by).sortWithinPartitions(*by, time)
-
-    def run(batches):
-        key, v, before = None, 0.0, 0.0
-        for pdf in batches:
-            out = []
-            for row in pdf[list(by) + [value]].itertuples(index=False):
-                k, r = tuple(row[:-1]), row[-1]
-                v = r * r if k != key else d * v + (1 - d) * before * before
-                key, before = k, r
-                out.append(v)
-            pdf["variance"] = out
-            pdf["volatility"] = pdf["variance"] ** 0.5
-            yield pdf
-
-    return ordered.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields) + ", variance double, volatility double")
+    rows = scan.positions(returns.select(*names).filter(F.col(value).isNotNull()), by, [time, value], "__position", "ewma")
+    first = rows.filter("__position = 0").select(*by, (F.col(value) * F.col(value)).alias("__first"))  # a row for each group
+    sums = scan.decayed_sum(rows, F.col(value) * F.col(value), d, by, name="__sum", position="__position", exclusive=True)
+    v = F.pow(F.lit(d), F.col("__position")) * F.col("__first") + (1 - d) * F.col("__sum")
+    out = scan.matched(sums, first, by) if by else sums.crossJoin(F.broadcast(first))  # without groups, one row
+    return out.withColumn("variance", v).select(*names, "variance", F.sqrt("variance").alias("volatility"))
 
 
 def fit_transform(returns: DataFrame, decay: float = 0.94, **options) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltrace.functions.special import clip
+from voltrace.operators import scan
 
 
 class PortfolioError(ValueError):
@@ -132,11 +133,8 @@ def calculate_portfolio_returns(returns: DataFrame, weights: DataFrame, *, by=()
 
 
 def wealth_columns(df: DataFrame, column: str, order, by=(), *, from_one: bool = False) -> DataFrame:
-    """Adds wealth, peak and drawdown. The peak starts at the first wealth, or at 1 with from_one (a first loss then shows)."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    peak = F.max("wealth").over(w)
-    out = df.withColumn("wealth", F.product(1 + F.col(column)).over(w)).withColumn("peak", F.greatest(peak, F.lit(1.0)) if from_one else peak)
-    return out.withColumn("drawdown", F.col("wealth") / F.when(F.col("peak") != 0, F.col("peak")) - 1)
+    """Adds wealth, peak and drawdown, by parts of a group. The peak starts at the first wealth, or at 1 with from_one (a first loss then shows)."""
+    return scan.wealth(df, column, by, order, from_one=from_one)
 
 
 def calculate_performance(portfolio_returns: DataFrame, *, column: str = "portfolio_return", order=("timestamp",), risk_free_rate: float = 0.0, periods_per_year: int = 252, by=(), from_one: bool = False) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltrace.functions.special import chi2_sf_1, chi2_sf_2, safe_div, xlogy
+from voltrace.operators import scan
+from voltrace.operators.quantiles import BOUND, exact_quantiles
 from voltrace.runtime import numbered
 
 LEVELS = (0.95, 0.99)
@@ -21,10 +23,10 @@ def _level(c: float) -> float:
     return c
 
 
-def calculate_var(returns: DataFrame, column: str = "simulated_return", *, confidence_level: float, by=()) -> DataFrame:
-    """(by..., confidence_level, value_at_risk, observations): minus the exact (1 - c) quantile, interpolated linearly."""
-    q = -F.percentile(column, F.lit(1 - _level(confidence_level)))
-    return returns.groupBy(*by).agg(F.lit(confidence_level).alias("confidence_level"), q.alias("value_at_risk"), F.count(column).alias("observations"))
+def calculate_var(returns: DataFrame, column: str = "simulated_return", *, confidence_level: float, by=(), bound: int = BOUND) -> DataFrame:
+    """(by..., confidence_level, value_at_risk, observations): minus the exact (1 - c) quantile, interpolated linearly. No task holds more than bound values of a group."""
+    q = exact_quantiles(returns, column, [1 - _level(confidence_level)], by, bound=bound)
+    return q.select(*by, F.lit(confidence_level).alias("confidence_level"), (-F.get("q", F.lit(0))).alias("value_at_risk"), F.col("n").alias("observations"))
 
 
 def calculate_var_95(returns: DataFrame, column: str = "simulated_return", by=()) -> DataFrame:
@@ -35,18 +37,18 @@ def calculate_var_99(returns: DataFrame, column: str = "simulated_return", by=()
     return calculate_var(returns, column, confidence_level=0.99, by=by)
 
 
-def calculate_required_var_levels(returns: DataFrame, column: str = "simulated_return", by=()) -> DataFrame:
-    """Both levels from one sort."""
-    q = F.percentile(column, F.array(*(F.lit(1 - c) for c in LEVELS)))
-    return returns.groupBy(*by).agg(q.alias("q"), F.count(column).alias("observations")).select(*by, (-F.col("q")[0]).alias("var_95"), (-F.col("q")[1]).alias("var_99"), "observations")
+def calculate_required_var_levels(returns: DataFrame, column: str = "simulated_return", by=(), *, bound: int = BOUND) -> DataFrame:
+    """Both levels from one selection."""
+    q = exact_quantiles(returns, column, [1 - c for c in LEVELS], by, bound=bound)
+    return q.select(*by, (-F.get("q", F.lit(0))).alias("var_95"), (-F.get("q", F.lit(1))).alias("var_99"), F.col("n").alias("observations"))
 
 
-def calculate_required_es_levels(returns: DataFrame, column: str = "simulated_return", *, confidence_levels=LEVELS, by=()) -> DataFrame:
+def calculate_required_es_levels(returns: DataFrame, column: str = "simulated_return", *, confidence_levels=LEVELS, by=(), bound: int = BOUND) -> DataFrame:
     """(by..., confidence_level, value_at_risk, expected_shortfall, tail_count): minus the mean of returns at or below the quantile."""
     levels = [_level(c) for c in confidence_levels]
     if len(set(levels)) != len(levels):
         raise RiskError("repeated confidence levels")
-    q = returns.groupBy(*by).agg(F.percentile(column, F.array(*(F.lit(1 - c) for c in levels))).alias("q"))
+    q = exact_quantiles(returns, column, [1 - c for c in levels], by, bound=bound)
     pairs = q.select(*by, F.explode(F.arrays_zip(F.array(*map(F.lit, levels)).alias("level"), F.col("q").alias("cut"))).alias("z")).select(*by, F.col("z.level").alias("confidence_level"), F.col("z.cut").alias("cut"))
     # A row for each group and level, which the planner broadcasts if they are few; without groups, a row for each level.
     tail = returns.join(pairs, list(by)) if by else returns.crossJoin(F.broadcast(pairs))
@@ -120,7 +122,7 @@ def kupiec_99(df: DataFrame, **options) -> DataFrame:
 def calculate_transition_counts(df: DataFrame, *, exception_column: str = "exception", order=("timestamp",), by=()) -> DataFrame:
     """(by..., n00, n01, n10, n11) of consecutive observations."""
     e = F.col(exception_column).cast("int")
-    steps = df.select(*by, e.alias("e"), F.lag(e).over(Window.partitionBy(*by).orderBy(*order)).alias("before"))
+    steps = scan.previous(df.select(*by, *order, e.alias("e")), "e", by, order, "before", "transitions")
     return steps.groupBy(*by).agg(*(F.count_if((F.col("before") == i) & (F.col("e") == j)).alias(f"n{i}{j}") for i in (0, 1) for j in (0, 1)))
 
 

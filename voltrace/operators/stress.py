@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltrace.operators.portfolio import wealth_columns
+from voltrace.operators.quantiles import exact_quantiles
 
 METRICS = ("total_return", "mean_return", "volatility", "downside_deviation", "max_drawdown", "cumulative_return")
 TIME = ("timestamp", "asset_id")
@@ -21,7 +22,7 @@ class StressError(ValueError):
 def _percentile(df: DataFrame, *percents: float) -> DataFrame:
     if any(not 0 <= p <= 100 for p in percents):
         raise StressError("percentiles lie between 0 and 100")
-    return df.agg(F.percentile("volatility", F.array(*(F.lit(p / 100) for p in percents))).alias("q"))
+    return exact_quantiles(df, "volatility", [p / 100 for p in percents]).select("q")
 
 
 def identify_normal_volatility(df: DataFrame, *, lower_percentile: float = 0.0, upper_percentile: float = 50.0) -> DataFrame:

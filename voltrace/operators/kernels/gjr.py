@@ -1,4 +1,4 @@
-"""GJR-GARCH(1,1,1) with constant mean and normal likelihood, by a simplex search from a variance-targeting start."""
+"""GJR-GARCH(1,1,1) with constant mean and normal likelihood, by BFGS with the likelihood's own gradient from variance-targeting starts."""
 
 from __future__ import annotations
 
@@ -8,6 +8,12 @@ from dataclasses import dataclass
 import numpy as np
 
 SCALE, LEAST_OBSERVATIONS = 100.0, 30
+#: Rows of a block, in which the recursion is one product with a matrix of powers.
+BLOCK = 128
+#: A search ends when two steps in a row lower the negative log-likelihood by less.
+LEAST_GAIN = 1e-5
+#: How far a row lies behind another, or BLOCK if it lies before it.
+_APART = np.where(np.tri(BLOCK, dtype=bool), np.arange(BLOCK)[:, None] - np.arange(BLOCK)[None, :], BLOCK)
 
 
 @dataclass(frozen=True)
@@ -43,63 +49,110 @@ def _unpack(q: list[float], x_var: float) -> list[float]:
     return [q[0], math.exp(min(max(q[1], -40.0), 40.0)) * x_var, z[0] * unit, 2 * z[1] * unit, z[2] * unit]
 
 
-def _loss(q: list[float], x: list[float], first: float, x_var: float) -> float:
-    """Negative log-likelihood: one loop over plain floats, which for a training window is faster than array operations."""
+def _powers(beta: float, n: int) -> np.ndarray:
+    """Lower triangular, beta^(i - j)."""
+    return np.append(np.power(beta, np.arange(BLOCK)), 0.0)[_APART[:n, :n]]
+
+
+def _solved(drive: np.ndarray, beta: float, first: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    """Rows y0 = first, y = drive of the row before + beta * y, a block of rows at a time (one matrix product each)."""
+    out, at, n = np.empty_like(drive), first, len(powers)
+    for start in range(0, len(drive), n):
+        part = drive[start:start + n]
+        k = len(part)
+        ends = powers[:k, :k] @ part + powers[:k, :1] * beta * at
+        out[start], out[start + 1:start + k] = at, ends[:-1]
+        at = ends[-1]
+    return out
+
+
+def loss(q: np.ndarray, x: np.ndarray, first: float, x_var: float) -> tuple[float, np.ndarray]:
+    """Negative log-likelihood and its gradient in the unconstrained parameters."""
     mu, omega, alpha, gamma, beta = _unpack(q, x_var)
-    fall, log, v, total = alpha + gamma, math.log, first, 0.0
-    for r in x:
-        e = r - mu
-        square = e * e
-        s = v if v > 1e-12 else 1e-12
-        total += log(s) + square / s
-        v = omega + (fall if e < 0 else alpha) * square + beta * v
-    return 0.5 * (len(x) * math.log(2 * math.pi) + total)
-
-
-def simplex(f, start: list[float], *, rounds: int = 1500, tol: float = 1e-7) -> tuple[list[float], float, bool]:
-    """Nelder-Mead; (point, value, whether the simplex closed)."""
-    n = len(start)
-    points = [list(start)] + [[a + 0.25 * (j == k) for j, a in enumerate(start)] for k in range(n)]
-    ranked = sorted(((f(p), p) for p in points), key=lambda r: r[0])
+    e = x - mu
+    square, fall = e * e, e < 0
+    weight = np.where(fall, alpha + gamma, alpha)
+    powers = _powers(beta, min(len(x), BLOCK))
+    v = _solved((omega + weight * square)[:, None], beta, np.array([first]), powers)[:, 0]
+    # Derivatives of v by mu, omega, alpha, gamma and beta obey the same recursion.
+    d = _solved(np.column_stack([-2 * weight * e, np.ones(len(x)), square, square * fall, v]), beta, np.zeros(5), powers)
+    s = np.maximum(v, 1e-12)
+    total = 0.5 * (len(x) * math.log(2 * math.pi) + float(np.log(s).sum() + (square / s).sum()))
+    g = 0.5 * np.where(v > 1e-12, 1 / s - square / (s * s), 0.0) @ d
+    g[0] -= float((e / s).sum())
+    share = _shares(q)[:3]
+    by_share = 0.9995 * np.array([g[2], 2 * g[3], g[4]])
+    return total, np.array([g[0], g[1] * omega * (abs(q[1]) < 40), *(share * (by_share - share @ by_share))])
+
+
+def _shares(q: np.ndarray) -> np.ndarray:
+    """What _unpack gives alpha, gamma / 2, beta and none of them, of 0.9995."""
+    z = np.append(np.exp(np.clip(q[2:5], -30, 30)), 1.0)
+    return z / z.sum()
+
+
+def minimise(f, start: np.ndarray, *, rounds: int = 200, tol: float = 1e-6) -> tuple[np.ndarray, float, bool]:
+    """BFGS with backtracking; (point, value, whether the gradient vanished or no step helps any more)."""
+    x = np.array(start, dtype=float)
+    value, g = f(x)
+    inverse, small = np.eye(len(x)) / max(1.0, float(np.abs(g).max())), 0
     for _ in range(rounds):
-        (least, best), (most, worst) = ranked[0], ranked[-1]
-        if most - least < tol * (abs(least) + tol) and max(abs(a - b) for _, p in ranked[1:] for a, b in zip(p, best, strict=True)) < 1e-4:
-            return best, least, True
-        centre = [sum(c) / n for c in zip(*(p for _, p in ranked[:-1]), strict=True)]
-        far = [2 * c - w for c, w in zip(centre, worst, strict=True)]
-        value = f(far)
-        if value < least:
-            further = [3 * c - 2 * w for c, w in zip(centre, worst, strict=True)]
-            better = f(further)
-            ranked[-1] = (better, further) if better < value else (value, far)
-        elif value < ranked[-2][0]:
-            ranked[-1] = (value, far)
-        else:
-            inner = [0.5 * (c + w) for c, w in zip(centre, far if value < most else worst, strict=True)]
-            near = f(inner)
-            if near < min(value, most):
-                ranked[-1] = (near, inner)
-            else:
-                nearer = ([0.5 * (a + b) for a, b in zip(p, best, strict=True)] for _, p in ranked[1:])
-                ranked[1:] = [(f(p), p) for p in nearer]
-        ranked.sort(key=lambda r: r[0])
-    return ranked[0][1], ranked[0][0], False
+        if np.abs(g).max() < tol * (1 + abs(value)):
+            return x, value, True
+        step = -inverse @ g
+        slope = float(g @ step)
+        if slope >= 0:
+            inverse = np.eye(len(x)) / max(1.0, float(np.abs(g).max()))
+            step = -inverse @ g
+            slope = float(g @ step)
+        step *= min(1.0, 5.0 / max(1e-12, float(np.abs(step).max())))
+        slope, scale = float(g @ step), 1.0
+        while True:
+            new = x + scale * step
+            value_new, g_new = f(new)
+            if value_new <= value + 1e-4 * scale * slope:
+                break
+            scale *= 0.5
+            if scale < 1e-10:
+                return x, value, bool(np.abs(g).max() < 1e-3 * (1 + abs(value)))
+        s, y = new - x, g_new - g
+        gained, x, value, g = value - value_new, new, value_new, g_new
+        sy = float(s @ y)
+        if sy > 1e-12:
+            rho = 1 / sy
+            left = np.eye(len(x)) - rho * np.outer(s, y)
+            inverse = left @ inverse @ left.T + rho * np.outer(s, s)
+        small = small + 1 if gained < LEAST_GAIN else 0
+        if small == 2:
+            return x, value, bool(np.abs(g).max() < 1e-3 * (1 + abs(value)))
+    return x, value, False
+
+
+def _cold(x: np.ndarray) -> list[np.ndarray]:
+    out = []
+    for a, g, b in ((0.05, 0.05, 0.85), (0.1, 0.1, 0.6)):
+        left = 1 - a - g / 2 - b
+        out.append(np.array([float(x.mean()), math.log(left), *(math.log(part / left) for part in (a, g / 2, b))]))
+    return out
 
 
-def fit(returns: np.ndarray) -> Fit:
+def fit_from(returns: np.ndarray, start: np.ndarray | None = None) -> tuple[Fit, np.ndarray]:
+    """A fit, and its unconstrained parameters as a start for a window that overlaps this one.
+
+    Both cold starts are tried besides the given one, so a fit is no worse for where its start came from.
+    """
     x = np.asarray(returns, dtype=float) * SCALE
     if len(x) < LEAST_OBSERVATIONS or not np.isfinite(x).all():
         raise ValueError(f"at least {LEAST_OBSERVATIONS} finite returns are needed")
-    values, first = x.tolist(), float(np.var(x))
+    first = float(np.var(x))
     var = max(first, 1e-8)
-    best = None
-    for a, g, b in ((0.05, 0.05, 0.85), (0.1, 0.1, 0.6)):
-        left = 1 - a - g / 2 - b
-        z = [math.log(part / left) for part in (a, g / 2, b)]
-        got = simplex(lambda q: _loss(q, values, first, var), [float(x.mean()), math.log(left), *z])
-        if best is None or got[1] < best[1]:
-            best = got
+    found = [minimise(lambda q: loss(q, x, first, var), q) for q in [*_cold(x), *([] if start is None else [start])]]
+    best = min(found, key=lambda f: f[1])
     p = _unpack(best[0], var)
-    v = np.array(_variances(p, values, first))
+    v = np.array(_variances(p, x.tolist(), first))
     s = SCALE * SCALE
-    return Fit(p[1] / s, p[2], p[3], p[4], p[0] / SCALE, -best[1], best[2], v[:-1] / s, float(v[-1] / s))
+    return Fit(p[1] / s, p[2], p[3], p[4], p[0] / SCALE, -best[1], best[2], v[:-1] / s, float(v[-1] / s)), best[0]
+
+
+def fit(returns: np.ndarray) -> Fit:
+    return fit_from(returns)[0]

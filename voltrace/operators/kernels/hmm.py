@@ -56,6 +56,19 @@ class Model:
             out[t] = w / w.sum()
         return out
 
+    def product(self, x: np.ndarray) -> np.ndarray:
+        """The matrix that takes a state's weights, propagated to the first row, to the weights after the last one, up to its scale.
+
+        Matrices of neighbours are multiplied in pairs, all pairs at once, and scaled to their largest entry.
+        """
+        steps = self.transition * _relative(self.log_density(self.scaled(x)))[:, None, :]
+        steps[0] = np.diag(_relative(self.log_density(self.scaled(x[:1])))[0])
+        while len(steps) > 1:
+            odd = steps[-1:] if len(steps) % 2 else steps[:0]
+            steps = np.concatenate([steps[0:len(steps) - len(odd):2] @ steps[1::2], odd])
+            steps /= np.maximum(steps.max(axis=(1, 2), keepdims=True), 1e-300)
+        return steps[0]
+
     def filter_after_training(self, x: np.ndarray) -> np.ndarray:
         return self.filter(x, self.last)
 

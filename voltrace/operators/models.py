@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voltrace.operators import scan
 from voltrace.operators.kernels import boost, gjr, hmm
 from voltrace.operators.walkforward import resolve_feature_columns
 from voltrace.runtime import spread
@@ -58,6 +59,63 @@ def conditional_volatility(df: DataFrame, *, by=("asset_id",), order: str = "tim
     return spread(df.select(*by, order, column), *by).groupBy(*by).applyInPandas(one, _kinds(df, by) + f"{order} {df.schema[order].dataType.simpleString()}, conditional_variance double, conditional_volatility double")
 
 
+def garch_variance(df: DataFrame, parameters: DataFrame, *, by=("asset_id",), order: str = "timestamp", column: str = "return") -> DataFrame:
+    """(by..., order, conditional_variance, conditional_volatility) for given parameters (by..., mu, omega, alpha, gamma, beta), beta below 1.
+
+    The first variance is that of the group's returns; each next one is omega + (alpha, and gamma after a fall) * e^2 + beta * v. That is a decayed sum, so a
+    group is dealt over many tasks and no Python runs. Null and non-finite returns are left out, groups without parameters too.
+    """
+    x = F.col(column).cast("double")
+    rows = df.select(*by, order, x.alias("__r")).filter(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    first = rows.groupBy(*by).agg(F.var_pop("__r").alias("__first"))  # a row for each group
+    given = scan.matched(first, parameters.select(*by, "mu", "omega", "alpha", "gamma", "beta"), by, "inner") if by else first.crossJoin(F.broadcast(parameters))
+    placed = scan.positions(rows, by, [order, "__r"], "__position", "garch")
+    placed = scan.matched(placed, given, by, "inner") if by else placed.crossJoin(F.broadcast(given))
+    e = F.col("__r") - F.col("mu")
+    step = F.col("omega") + (F.col("alpha") + F.when(e < 0, F.col("gamma")).otherwise(0.0)) * e * e
+    made = scan.decayed_sum(placed, step, "beta", by, name="__sum", position="__position", exclusive=True)
+    v = F.pow("beta", "__position") * F.col("__first") + F.col("__sum")
+    return made.select(*by, order, v.alias("conditional_variance"), F.sqrt(v).alias("conditional_volatility"))
+
+
+def filter_regimes(df: DataFrame, observations: list[str], m: hmm.Model, *, by=("asset_id",), order: str = "timestamp", state: np.ndarray | None = None) -> DataFrame:
+    """(by..., order, regime_probability_0..): filtered probabilities of every row for a given model, with groups of any size dealt over many tasks.
+
+    A part of a group acts on the state before it as a matrix: the scaled product of its rows' transitions and densities. Those matrices, one for each part, are
+    multiplied along a group, and each part is filtered from the state that enters it. state: a state before each group's first row, instead of the start.
+    Rows with null or non-finite observations are left out.
+    """
+    names = [f"regime_probability_{k}" for k in range(m.config.n_components)]
+    whole = F.lit(True)
+    for c in observations:
+        whole &= F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    parts = scan.in_parts(df.filter(F.coalesce(whole, F.lit(False))).select(*by, order, *(F.col(c).cast("double").alias(c) for c in observations)), by, [order, *observations], "regimes")
+    keys = [*by, scan.PART]
+
+    def product(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[*key, m.product(pdf.sort_values([order, *observations])[observations].to_numpy()).ravel().tolist()]])
+
+    def along(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, out, at = pdf.sort_values(scan.PART), [], state
+        for part, flat in zip(pdf[scan.PART], pdf["m"], strict=True):
+            out.append([*key, part, None if at is None else list(map(float, at))])
+            at = (m.start if at is None else at @ m.transition) @ np.asarray(flat).reshape(m.transition.shape)
+            at = at / at.sum()
+        return pd.DataFrame(out)
+
+    def filtered(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([order, *observations])
+        at = pdf["__state"].iloc[0]
+        p = m.filter(pdf[observations].to_numpy(), None if at is None else np.asarray(at))
+        return pd.DataFrame({**{c: pdf[c] for c in (*by, order)}, **dict(zip(names, p.T, strict=True))})
+
+    kinds = _kinds(df, by)
+    products = parts.groupBy(*keys).applyInPandas(product, f"{kinds}{scan.PART} int, m array<double>")
+    states = products.groupBy(*by).applyInPandas(along, f"{kinds}{scan.PART} int, __state array<double>")  # a row for each part of a group
+    rows = scan.matched(parts, states, keys)
+    return rows.groupBy(*keys).applyInPandas(filtered, f"{kinds}{order} {df.schema[order].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names))
+
+
 def fit_hmm(df: DataFrame, observations: list[str], *, config: hmm.Config = hmm.Config(), by=("asset_id",), order: str = "timestamp") -> DataFrame:
     """(by..., order, regime_probability_0.., log_likelihood, iterations, converged): filtered probabilities of every row."""
     names = [f"regime_probability_{k}" for k in range(config.n_components)]

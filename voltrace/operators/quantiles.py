@@ -19,7 +19,7 @@ from voltrace.operators.scan import matched
 from voltrace.runtime import materialize
 
 #: Rows of one group that a task may hold, and splitters of a sketch (its accuracy is ten times finer).
-BOUND, STEPS, ROUNDS = 4096, 512, 40
+BOUND, STEPS, ROUNDS = 1 << 16, 512, 40
 #: Below so many rows a bracket can't shrink any more.
 LEAST_BOUND = 16
 

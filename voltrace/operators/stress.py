@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from voltrace.operators.portfolio import wealth_columns
 from voltrace.operators.quantiles import exact_quantiles
+from voltrace.runtime import materialize
 
 METRICS = ("total_return", "mean_return", "volatility", "downside_deviation", "max_drawdown", "cumulative_return")
 TIME = ("timestamp", "asset_id")
@@ -25,19 +26,21 @@ def _percentile(df: DataFrame, *percents: float) -> DataFrame:
     return exact_quantiles(df, "volatility", [p / 100 for p in percents]).select("q")
 
 
-def identify_normal_volatility(df: DataFrame, *, lower_percentile: float = 0.0, upper_percentile: float = 50.0) -> DataFrame:
+def identify_normal_volatility(df: DataFrame, *, lower_percentile: float = 0.0, upper_percentile: float = 50.0, cuts: DataFrame | None = None) -> DataFrame:
+    """cuts: one row with an array q of both percentiles, where they are known already."""
     if lower_percentile >= upper_percentile:
         raise StressError("the lower percentile must be the smaller one")
-    q = _percentile(df, lower_percentile, upper_percentile)
+    q = _percentile(df, lower_percentile, upper_percentile) if cuts is None else cuts
     return df.crossJoin(F.broadcast(q)).filter(F.col("volatility").between(F.col("q")[0], F.col("q")[1])).drop("q")  # q: one row
 
 
-def identify_high_volatility(df: DataFrame, *, percentile: float = 90.0) -> DataFrame:
-    return df.crossJoin(F.broadcast(_percentile(df, percentile))).filter(F.col("volatility") >= F.col("q")[0]).drop("q")
+def identify_high_volatility(df: DataFrame, *, percentile: float = 90.0, cuts: DataFrame | None = None) -> DataFrame:
+    q = _percentile(df, percentile) if cuts is None else cuts
+    return df.crossJoin(F.broadcast(q)).filter(F.col("volatility") >= F.col("q")[0]).drop("q")  # q: one row
 
 
-def identify_volatility_spikes(df: DataFrame, *, percentile: float = 99.0) -> DataFrame:
-    return identify_high_volatility(df, percentile=percentile)
+def identify_volatility_spikes(df: DataFrame, *, percentile: float = 99.0, cuts: DataFrame | None = None) -> DataFrame:
+    return identify_high_volatility(df, percentile=percentile, cuts=cuts)
 
 
 def identify_prolonged_drawdowns(df: DataFrame, *, minimum_drawdown: float = -0.1, minimum_duration: int = 5, from_one: bool = False) -> DataFrame:
@@ -70,10 +73,12 @@ def build_stress_scenarios(df: DataFrame, *, normal_lower_percentile: float = 0.
                            regime_column: str | None = None, historical_windows: Iterable[tuple[str, str, str]] = ()) -> DataFrame:
     """(scenario, timestamp, asset_id, return, volatility): the union of all scenarios, historical windows by their names."""
     keep = ("timestamp", "asset_id", "return", "volatility")
+    q = materialize(_percentile(df, normal_lower_percentile, normal_upper_percentile, high_volatility_percentile, volatility_spike_percentile), "stress-cuts")  # all of them from one selection
+    normal, high, spike = (q.select(F.slice("q", *at).alias("q")) for at in ((1, 2), (3, 1), (4, 1)))
     parts = {
-        "normal_volatility": identify_normal_volatility(df, lower_percentile=normal_lower_percentile, upper_percentile=normal_upper_percentile),
-        "high_volatility": identify_high_volatility(df, percentile=high_volatility_percentile),
-        "volatility_spikes": identify_volatility_spikes(df, percentile=volatility_spike_percentile),
+        "normal_volatility": identify_normal_volatility(df, lower_percentile=normal_lower_percentile, upper_percentile=normal_upper_percentile, cuts=normal),
+        "high_volatility": identify_high_volatility(df, percentile=high_volatility_percentile, cuts=high),
+        "volatility_spikes": identify_volatility_spikes(df, percentile=volatility_spike_percentile, cuts=spike),
         "prolonged_drawdowns": identify_prolonged_drawdowns(df, minimum_drawdown=minimum_drawdown, minimum_duration=minimum_drawdown_duration),
     }
     if regime_column is not None:

@@ -17,12 +17,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltrace.operators import ewma
+from voltrace.operators import ewma, scan
 from voltrace.operators.kernels import boost, gjr, hmm
 from voltrace.runtime import materialize, numbered, spread
 
 MODELS = ("EWMA", "GJR-GARCH", "XGBoost", "Regime-XGBoost")
 ABLATIONS = {"A0": (False, False), "A1": (True, False), "A2": (False, True), "A3": (True, True)}
+#: Folds in a row whose GARCH fits are one group.
+NEIGHBOURS = 32
+#: Windows over which a weight falls by e to this power at most are forecast from running sums; longer ones, and expanding ones, fold by fold.
+LONGEST = 600.0
 NOT_FEATURES = ("timestamp", "asset_id", "trading_date", "target", "realized_volatility", "realized_variance", "fold_id", "role", "rank")
 
 
@@ -38,8 +42,8 @@ def _sizes(train: int, test: int, step: int | None) -> tuple[int, int, int]:
 
 
 def ranked_timestamps(df: DataFrame, column: str = "timestamp") -> DataFrame:
-    """(timestamp, rank from 0): the calendar, which is short against the rows, in one window."""
-    return df.select(column).distinct().withColumn("rank", F.row_number().over(Window.orderBy(column)) - 1)
+    """(timestamp, rank from 0): the calendar, numbered by parts."""
+    return scan.positions(df.select(column).distinct(), (), (column,), "rank", "calendar")
 
 
 def fold_table(df: DataFrame, *, train_size: int, test_size: int = 1, step_size: int | None = None, expanding: bool = False, timestamp_column: str = "timestamp", by_row: bool = False) -> DataFrame:
@@ -140,24 +144,82 @@ def predict_ewma(rows: DataFrame, target: str, decay: float = 0.94) -> DataFrame
     return test.join(v, ["fold_id", "asset_id"]).select("timestamp", "asset_id", "prediction", "actual_volatility", F.col("fold_id").cast("int").alias("fold_id"))
 
 
-def garch_features(rows: DataFrame) -> DataFrame:
-    """(fold_id, role, timestamp, asset_id, garch_forecast, garch_converged): in-sample volatility for train rows, the one-step forecast for test rows. One group for each fold and asset."""
+def rolling_ewma(df: DataFrame, target: str, decay: float = 0.94, *, train_size: int, test_size: int = 1, step_size: int | None = None, purge: int = 0) -> DataFrame:
+    """predict_ewma over rolling folds, with each row moved once however many windows hold it.
+
+    Windows have the same length in timestamps, so one covers the end of a block of that length and the start of the next. In a block, running sums from both
+    ends give what a window needs at its two ends; probes, two for each asset and fold that has a test row, are ordered among the rows and read them off. No
+    difference of sums is taken. Rows without a return are left out; an asset without a row in a window has no forecast there.
+    """
+    train, test, step = _sizes(train_size, test_size, step_size)
+    length, d = train - purge, float(decay)
+    if length < 1 or not 0 < d < 1:
+        raise WalkForwardError("the window must hold a timestamp and the decay lie between 0 and 1")
+    calendar = ranked_timestamps(df)
+    last = calendar.agg(F.floor((F.count(F.lit(1)) - train - test) / step).alias("__last"))  # one row
+    at = F.col("rank") - train
+    placed = df.select("timestamp", "asset_id", F.col("return").cast("double").alias("__r"), F.col(target).alias("actual_volatility")).join(calendar, "timestamp")
+    low, up = F.greatest(F.lit(0), F.ceil((at - test + 1) / step)), F.least(F.floor(at / step), F.col("__last"))
+    tests = placed.crossJoin(F.broadcast(last)).withColumn("__low", low.cast("int")).withColumn("__up", up.cast("int")).filter((at >= 0) & (F.col("__low") <= F.col("__up")))
+    tests = tests.select("timestamp", "asset_id", "actual_volatility", F.explode(F.sequence("__low", "__up")).alias("fold_id"))
+    first = F.col("fold_id").cast("long") * step
+    start, end = (F.struct(F.floor(x / length).alias("block"), x.alias("rank"), F.lit(kind).alias("kind")) for x, kind in ((first, 0), (first + length - 1, 2)))
+    # A window that is a whole block needs its end alone.
+    probes = tests.select("asset_id", "fold_id").distinct().select("asset_id", "fold_id", F.explode(F.when(first % length == 0, F.array(end)).otherwise(F.array(start, end))).alias("p"))
+    probes = probes.select("asset_id", "p.block", "p.rank", "p.kind", "fold_id", F.lit(None).cast("double").alias("x"))
+    rows = placed.filter(F.col("__r").isNotNull() & ~F.isnan("__r")).select("asset_id", F.floor(F.col("rank") / length).alias("block"), "rank", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("fold_id"), (F.col("__r") * F.col("__r")).alias("x"))
+    block = Window.partitionBy("asset_id", "block")
+    up_to, from_here = (block.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0) for order in (("rank", "kind", "x"), (F.desc("rank"), F.desc("kind"), F.desc("x"))))
+    both = rows.unionByName(probes).withColumn("__n", F.count("x").over(up_to))
+    both = both.withColumn("__sum", F.sum(F.col("x") * F.pow(F.lit(d), -F.col("__n"))).over(up_to)).withColumn("__head", F.first("x", ignorenulls=True).over(up_to))
+    both = both.withColumn("__m", F.count("x").over(from_here)).withColumn("__tail", F.sum(F.col("x") * F.pow(F.lit(d), F.col("__m") - 1)).over(from_here)).withColumn("__oldest", F.last("x", ignorenulls=True).over(from_here))
+    ends, is_end = both.filter("fold_id is not null"), F.col("kind") == 2
+    seen = ends.groupBy("asset_id", "fold_id").agg(
+        F.max(F.when(is_end, F.col("__n"))).alias("n_new"), F.max(F.when(is_end, F.col("__sum") * F.pow(F.lit(d), F.col("__n")))).alias("new"), F.max(F.when(is_end, F.col("__head"))).alias("first_new"),
+        F.max(F.when(~is_end, F.col("__m"))).alias("n_old"), F.max(F.when(~is_end, F.col("__tail"))).alias("old"), F.max(F.when(~is_end, F.col("__oldest"))).alias("first_old"))
+    n_old, zero = F.coalesce("n_old", F.lit(0)), F.lit(0.0)
+    total = F.coalesce("new", zero) + F.pow(F.lit(d), F.col("n_new")) * F.coalesce("old", zero)
+    v = F.pow(F.lit(d), F.col("n_new") + n_old) * F.coalesce("first_old", "first_new") + (1 - d) * total
+    found = seen.filter(F.col("n_new") + n_old > 0).select("asset_id", "fold_id", F.sqrt(v).alias("prediction"))
+    return tests.join(found, ["asset_id", "fold_id"]).select("timestamp", "asset_id", "prediction", "actual_volatility", F.col("fold_id").cast("int").alias("fold_id"))
+
+
+def garch_features(df: DataFrame, *, train_size: int, test_size: int = 1, step_size: int | None = None, expanding: bool = False, purge: int = 0, forecasts_only: bool = False) -> DataFrame:
+    """(fold_id, role, timestamp, asset_id, garch_forecast, garch_converged): in-sample volatility for train rows, the one-step forecast for test rows.
+
+    A group is NEIGHBOURS folds in a row of one asset, whose windows share most rows: a row is moved once for each group, not for each fold, and each fit also
+    starts from the one before it. Groups follow from fold numbers, so reruns agree. forecasts_only leaves train rows out.
+    """
+    train, test, step = _sizes(train_size, test_size, step_size)
+    calendar = ranked_timestamps(df)
+    n = calendar.agg(F.count(F.lit(1)).alias("__n"))  # one row
+    last = F.floor((F.col("__n") - train - test) / step)
+    low = F.greatest(F.lit(0), F.ceil((F.col("rank") - train - test + 1) / step))
+    up = last if expanding else F.least(F.floor(F.col("rank") / step), last)
+    groups = calendar.crossJoin(F.broadcast(n)).filter((last >= 0) & (low <= up)).select("timestamp", "rank", last.cast("int").alias("__last"), F.explode(F.sequence(F.floor(low / NEIGHBOURS).cast("int"), F.floor(up / NEIGHBOURS).cast("int"))).alias("__group"))
+    rows = df.select("timestamp", "asset_id", "return").join(groups, "timestamp")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("timestamp")
-        train = (pdf["role"] == "train").to_numpy()
-        out = pdf[["fold_id", "role", "timestamp", "asset_id"]].copy()
-        value = np.full(len(pdf), np.nan)
-        try:
-            got = gjr.fit(pdf["return"].to_numpy()[train])
-            value[train], value[~train] = np.sqrt(got.variance), math.sqrt(got.forecast_variance)
-            out["garch_converged"] = got.converged
-        except ValueError:
-            out["garch_converged"] = False
-        out["garch_forecast"] = value
-        return out[["fold_id", "role", "timestamp", "asset_id", "garch_forecast", "garch_converged"]]
-
-    return spread(rows.select("fold_id", "role", "timestamp", "asset_id", "return"), "fold_id", "asset_id").groupBy("fold_id", "asset_id").applyInPandas(
+        rank, returns, out, start = pdf["rank"].to_numpy(), pdf["return"].to_numpy(dtype=float), [], None
+        first = int(pdf["__group"].iloc[0]) * NEIGHBOURS
+        for fold in range(first, min(first + NEIGHBOURS, int(pdf["__last"].iloc[0]) + 1)):
+            at = rank - fold * step
+            is_train, is_test = (at < train - purge) & (expanding | (at >= 0)), (at >= train) & (at < train + test)
+            kept = is_test if forecasts_only else is_train | is_test
+            if not kept.any():
+                continue
+            value = np.full(len(pdf), np.nan)
+            try:
+                got, start = gjr.fit_from(returns[is_train], start)
+                value[is_train], value[is_test], converged = np.sqrt(got.variance), math.sqrt(got.forecast_variance), got.converged
+            except ValueError:
+                converged = False
+            out.append(pd.DataFrame({"fold_id": np.int32(fold), "role": np.where(is_test[kept], "test", "train"), "timestamp": pdf["timestamp"][kept], "asset_id": pdf["asset_id"][kept],
+                                     "garch_forecast": value[kept], "garch_converged": converged}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("fold_id", "role", "timestamp", "asset_id", "garch_forecast", "garch_converged")})
+
+    return spread(rows, "asset_id", "__group").groupBy("asset_id", "__group").applyInPandas(
         one, "fold_id int, role string, timestamp timestamp, asset_id string, garch_forecast double, garch_converged boolean")
 
 
@@ -224,11 +286,13 @@ def run_model(df: DataFrame, model: str, *, target: str = "target", decay: float
         raise WalkForwardError(f"unknown model {model}")
     if model in ("GJR-GARCH", "Regime-XGBoost") and folds.get("test_size", 1) != 1:
         raise WalkForwardError("a one-step forecast needs test_size 1")
+    if model == "EWMA" and not folds.get("expanding") and folds["train_size"] * -math.log(decay) < LONGEST:
+        return rolling_ewma(df, target, decay, **{k: v for k, v in folds.items() if k != "expanding"}).withColumn("model", F.lit(model))
     rows = assign_folds(df, **folds).withColumn("fold_id", F.col("fold_id").cast("int"))
     if model == "EWMA":
         out = predict_ewma(rows, target, decay)
     elif model == "GJR-GARCH":
-        g = garch_features(rows).filter("role = 'test'")
+        g = garch_features(df, forecasts_only=True, **folds)
         out = rows.filter("role = 'test'").join(g.select("fold_id", "timestamp", "asset_id", "garch_forecast"), ["fold_id", "timestamp", "asset_id"]).select(
             "timestamp", "asset_id", F.col("garch_forecast").alias("prediction"), F.col(target).alias("actual_volatility"), "fold_id")
     elif model == "XGBoost":
@@ -248,7 +312,7 @@ def run_ablation(df: DataFrame, ablation: str, *, target: str = "target", hmm_co
     features = resolve_feature_columns(df, feature_columns)
     rows = assign_folds(df, **folds).withColumn("fold_id", F.col("fold_id").cast("int"))
     regime = [f"regime_probability_{k}" for k in range(hmm_config.n_components)]
-    wide = _with(rows, garch=garch_features(rows) if with_garch else None, regimes=hmm_features(rows, hmm_config) if with_regimes else None)
+    wide = _with(rows, garch=garch_features(df, **folds) if with_garch else None, regimes=hmm_features(rows, hmm_config) if with_regimes else None)
     extra = ["garch_forecast"] * with_garch + regime * with_regimes
     return predict_trees(wide, target, features + extra, boost_config, keep=extra).withColumn("ablation", F.lit(ablation))
 
@@ -257,7 +321,7 @@ def run_ablations(df: DataFrame, *, hmm_config: hmm.Config = hmm.Config(), boost
     """All four, with GARCH and HMM fitted once for each fold and asset, and shared."""
     features = resolve_feature_columns(df, feature_columns)
     rows = assign_folds(df, **folds).withColumn("fold_id", F.col("fold_id").cast("int"))
-    wide = materialize(_with(rows, garch=garch_features(rows), regimes=hmm_features(rows, hmm_config)), "ablation-features")
+    wide = materialize(_with(rows, garch=garch_features(df, **folds), regimes=hmm_features(rows, hmm_config)), "ablation-features")
     regime = [f"regime_probability_{k}" for k in range(hmm_config.n_components)]
     out = None
     for name, (g, h) in ABLATIONS.items():

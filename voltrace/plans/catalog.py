@@ -56,17 +56,17 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
     return hourly_bars(table(spark, sf, "events"))
 
 
-def panel(spark: SparkSession, sf: str) -> DataFrame:
-    """(timestamp, asset_id, return, volatility, naive, older, target) of daily bars."""
+def panel(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
+    """(timestamp, asset_id, return, volatility, naive, older, target) of daily bars, and extra columns of theirs."""
     w = Window.partitionBy("asset_id").orderBy("timestamp")
     r = F.col("close") / F.lag("close").over(w) - 1
     five = w.rowsBetween(-4, 0)
     v = daily_bars(table(spark, sf, "lineitem")).withColumn("return", r).withColumn("volatility", F.when(F.count("return").over(five) == 5, F.stddev_samp("return").over(five)))
-    return v.select("timestamp", "asset_id", "return", "volatility", F.lag("volatility").over(w).alias("naive"), F.lag("volatility", 5).over(w).alias("older"), F.lead("volatility").over(w).alias("target"))
+    return v.select("timestamp", "asset_id", "return", "volatility", F.lag("volatility").over(w).alias("naive"), F.lag("volatility", 5).over(w).alias("older"), F.lead("volatility").over(w).alias("target"), *extra)
 
 
-def usable_panel(spark: SparkSession, sf: str) -> DataFrame:
-    return panel(spark, sf).filter("return is not null and volatility > 0 and naive > 0 and older > 0 and target > 0")
+def usable_panel(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
+    return panel(spark, sf, *extra).filter("return is not null and volatility > 0 and naive > 0 and older > 0 and target > 0")
 
 
 USABLE = f"{DAILY},\nok AS (SELECT timestamp, asset_id, ret AS \"return\", vol AS volatility, naive, older, target FROM panel WHERE ret IS NOT NULL AND vol > 0 AND naive > 0 AND older > 0 AND target > 0)"
@@ -233,9 +233,7 @@ def _(spark, sf):
 
 def _wide_panel(spark, sf):
     """Columns of the panel as the models' features need them."""
-    p = usable_panel(spark, sf)
-    return p.select("timestamp", "asset_id", "return", F.col("volatility").alias("realized_volatility"), "target", "naive", "older",
-                    (F.lit(1) + F.col("volatility")).alias("high"), F.lit(1.0).alias("low"), F.lit(1.0).alias("close"))
+    return usable_panel(spark, sf, "high", "low", "close").withColumnRenamed("volatility", "realized_volatility")
 
 
 #: One-step forecasts of every date; blocks of 60 dates, all of them forecast; and one date in 60, for the queries that fit all models in every fold.

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from voltrace.operators import evaluation, ewma, features, models, portfolio, risk, stress, volatility, walkforward
+from voltrace.operators import asof, evaluation, ewma, features, models, portfolio, quantiles, risk, stress, volatility, walkforward
+from voltrace.operators.kernels import hmm
 from voltrace.plans.catalog import (
-    BACKTEST, COSTS, HOURLY, STRESS, TURNOVER, USABLE, WEIGHTS, backtest_rows, bars, cost_rows, registered, rounded, stress_rows, usable_panel, weights)
+    BACKTEST, COSTS, HOURLY, STRESS, TURNOVER, USABLE, WEIGHTS, _UC, _chi2_1, _ll, backtest_rows, bars, cost_rows, registered, rounded, stress_rows, usable_panel, weights)
 from voltrace.plans import experiments
 from voltrace.runtime import shared_dir, table
 from voltrace.sources import contract, files, registry
@@ -221,10 +223,10 @@ def _(spark, sf):
     return rounded(files.load_csv(spark, files.save_csv(bars(spark, sf), _stored(spark, "bars.csv"))))
 
 
-@registered("csv_raw", f"{HOURLY} SELECT count(*) AS n, round(sum(volume), 6) AS volume FROM bars")
+@registered("csv_raw", f"{HOURLY} SELECT timestamp, asset_id, {_BARS} FROM bars")
 def _(spark, sf):
     raw = files.load_csv_raw(spark, files.save_csv(bars(spark, sf), _stored(spark, "bars.csv")))
-    return rounded(raw.agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume")))
+    return rounded(raw.select(F.col("timestamp").cast("timestamp").alias("timestamp"), "asset_id", *(F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume"))))
 
 
 @registered("parquet_round_trip", f"{HOURLY} SELECT timestamp, asset_id, {_BARS} FROM bars")
@@ -277,6 +279,97 @@ def _(spark, sf):
     return rounded(service.compare_forecasts("hourly"))
 
 
-@registered("kupiec_99", f"{BACKTEST} SELECT asset_id, count(*) AS observation_count, count(*) FILTER (e) AS exception_count FROM bt GROUP BY 1")
+_UC_99 = _UC.replace("ln(0.05)", "ln(0.01)").replace("ln(0.95)", "ln(0.99)")
+
+
+@registered("kupiec_99", f"""{BACKTEST},
+s AS (SELECT asset_id, count(*) AS n, count(*) FILTER (e) AS x FROM bt GROUP BY 1), u AS (SELECT *, {_UC_99} AS lr FROM s)
+SELECT asset_id, n AS observation_count, x AS exception_count, round(x / n, 6) AS exception_rate, 0.99::DOUBLE AS confidence_level, round(0.01, 6)::DOUBLE AS expected_rate, round(n * 0.01, 6)::DOUBLE AS expected_exceptions,
+       round(lr, 6) AS lr_uc, round({_chi2_1('lr')}, 6) AS p_value, {_chi2_1('lr')} < 0.05 AS reject FROM u""")
+def _(spark, sf):
+    return rounded(risk.kupiec_99(backtest_rows(spark, sf), by=("asset_id",)))
+
+
+@registered("christoffersen_99", f"""{BACKTEST},
+m AS (SELECT *, lag(e) OVER (PARTITION BY asset_id ORDER BY timestamp) AS b FROM bt),
+t AS (SELECT asset_id, count(*) AS n, count(*) FILTER (e) AS x, count(*) FILTER (NOT b AND NOT e) AS n00, count(*) FILTER (NOT b AND e) AS n01, count(*) FILTER (b AND NOT e) AS n10, count(*) FILTER (b AND e) AS n11 FROM m GROUP BY 1),
+u AS (SELECT *, n01 / (n00 + n01) AS p01, n11 / (n10 + n11) AS p11, (n01 + n11) / (n00 + n01 + n10 + n11) AS p, {_UC_99} AS lr_uc FROM t),
+w AS (SELECT *, greatest(-2 * ({_ll('(n01 + n11)', 'p')} + {_ll('(n00 + n10)', '(1 - p)')} - ({_ll('n01', 'p01')} + {_ll('n00', '(1 - p01)')} + {_ll('n11', 'p11')} + {_ll('n10', '(1 - p11)')})), 0) AS lr_ind FROM u)
+SELECT asset_id, n00, n01, n10, n11, n AS observation_count, x AS exception_count, round(p01, 6) AS pi01, round(p11, 6) AS pi11, round(lr_ind, 6) AS lr_ind, round(lr_uc, 6) AS lr_uc, round(lr_ind + lr_uc, 6) AS lr_cc,
+       round({_chi2_1('lr_ind')}, 6) AS p_ind, round({_chi2_1('lr_uc')}, 6) AS p_uc, round(exp(-(lr_ind + lr_uc) / 2), 6) AS p_cc, {_chi2_1('lr_ind')} < 0.05 AS reject_ind, exp(-(lr_ind + lr_uc) / 2) < 0.05 AS reject_cc FROM w""")
+def _(spark, sf):
+    return rounded(risk.christoffersen_99(backtest_rows(spark, sf), by=("asset_id",)))
+
+
+# Scans over parts of a group ----------------------------------------------------
+
+
+@registered("weights_with_next_returns", f"""{WEIGHTS},
+r AS (SELECT asset_id, timestamp, "return" FROM ok WHERE dayofyear(timestamp) % 3 <> 0)
+SELECT r.timestamp, w.asset_id, round(w.weight, 6) AS weight, round(r."return", 6) AS "return" FROM w ASOF JOIN r ON w.asset_id = r.asset_id AND w.timestamp < r.timestamp""")
+def _(spark, sf):
+    returns = usable_panel(spark, sf).filter(F.dayofyear("timestamp") % 3 != 0)  # gaps, over which a weight waits for its return
+    return rounded(asof.next_returns(weights(spark, sf), returns, weight="weight"))
+
+
+@registered("last_order_before_shipment", """SELECT l.l_orderkey, l.l_linenumber, l.l_suppkey, o.o_orderdate AS matched_timestamp, o.spent
+FROM lineitem l ASOF LEFT JOIN (SELECT o_orderdate, max(o_totalprice) AS spent FROM orders GROUP BY 1) o ON l.l_shipdate >= o.o_orderdate""")
+def _(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_shipdate").alias("timestamp"))
+    days = table(spark, sf, "orders").groupBy(F.col("o_orderdate").alias("timestamp")).agg(F.max("o_totalprice").alias("spent"))
+    return asof.asof_join(lines, days, by=(), direction="backward", strict=False, how="left").drop("timestamp")
+
+
+_PROBABILITIES = (0.0, 0.001, 0.05, 0.5, 0.95, 0.999, 1.0)
+
+
+@registered("distributed_quantiles", "\nUNION ALL ".join(
+    f"SELECT l_returnflag, {p}::DOUBLE AS p, round(quantile_cont(l_extendedprice, {p}), 6) AS quantile, count(l_extendedprice) AS n FROM lineitem GROUP BY 1" for p in _PROBABILITIES))
+def _(spark, sf):
+    q = quantiles.exact_quantiles(table(spark, sf, "lineitem"), "l_extendedprice", _PROBABILITIES, ("l_returnflag",), bound=1 << 10)
+    pairs = F.arrays_zip(F.array(*map(F.lit, _PROBABILITIES)).alias("p"), F.col("q").alias("quantile"))
+    return rounded(q.select("l_returnflag", F.explode(pairs).alias("z"), "n").select("l_returnflag", "z.p", "z.quantile", "n"))
+
+
+_GARCH = {"mu": 0.001, "omega": 0.01, "alpha": 0.05, "gamma": 0.1, "beta": 0.85}
+
+
+@registered("garch_variance", USABLE.replace("WITH", "WITH RECURSIVE", 1) + f""",
+x AS (SELECT asset_id, timestamp, "return" - {_GARCH['mu']} AS e, row_number() OVER (PARTITION BY asset_id ORDER BY timestamp) AS k FROM ok),
+path AS (
+  SELECT asset_id, 1::BIGINT AS k, var_pop("return") AS v FROM ok GROUP BY 1
+  UNION ALL
+  SELECT p.asset_id, p.k + 1, {_GARCH['omega']} + ({_GARCH['alpha']} + CASE WHEN x.e < 0 THEN {_GARCH['gamma']} ELSE 0 END) * x.e * x.e + {_GARCH['beta']} * p.v FROM path p JOIN x USING (asset_id, k))
+SELECT x.asset_id, x.timestamp, round(p.v, 6) AS conditional_variance, round(sqrt(p.v), 6) AS conditional_volatility FROM x JOIN path p USING (asset_id, k)""")
+def _(spark, sf):
+    rows = usable_panel(spark, sf)
+    given = rows.select("asset_id").distinct().withColumns({k: F.lit(v) for k, v in _GARCH.items()})
+    return rounded(models.garch_variance(rows, given))
+
+
+#: A fixed model of three states over (return, volatility, range): scaled observations are independent normals in each state.
+_STATES = {"start": (0.5, 0.3, 0.2), "transition": ((0.9, 0.07, 0.03), (0.1, 0.8, 0.1), (0.05, 0.15, 0.8)), "means": ((-0.2, -0.6, -0.3), (0.1, 0.2, 0.1), (0.5, 1.0, 0.6)), "deviations": ((0.8, 0.6, 0.9), (1.0, 0.8, 1.0), (1.3, 1.1, 1.2)),
+           "mean": (0.15, 0.5, 2.0), "scale": (0.6, 0.3, 1.0)}
+
+
+def _density_sql(s: int) -> str:
+    x = ('"return"', "volatility", "(high - low) / abs(close)")
+    z = [f"(({x[j]} - {_STATES['mean'][j]}) / {_STATES['scale'][j]} - {_STATES['means'][s][j]}) / {_STATES['deviations'][s][j]}" for j in range(3)]
+    return " - ".join(["0", *(f"0.5 * pow({v}, 2)" for v in z), *(f"ln({_STATES['deviations'][s][j]})" for j in range(3))])
+
+
+@registered("regime_filter", USABLE.replace("WITH", "WITH RECURSIVE", 1) + f""",
+full_ AS (SELECT ok.*, days.high, days.low, days.close FROM ok JOIN days USING (timestamp, asset_id)),
+ld AS (SELECT asset_id, timestamp, row_number() OVER (PARTITION BY asset_id ORDER BY timestamp) AS k, {", ".join(f"{_density_sql(s)} AS d{s}" for s in range(3))} FROM full_),
+den AS (SELECT asset_id, timestamp, k, {", ".join(f"exp(greatest(d{s} - greatest(d0, d1, d2), -300)) AS b{s}" for s in range(3))} FROM ld),
+path AS (
+  SELECT asset_id, k, w0 / (w0 + w1 + w2) AS p0, w1 / (w0 + w1 + w2) AS p1, w2 / (w0 + w1 + w2) AS p2 FROM (SELECT asset_id, k, {", ".join(f"b{s} * {_STATES['start'][s]} AS w{s}" for s in range(3))} FROM den WHERE k = 1)
+  UNION ALL
+  SELECT asset_id, k, w0 / (w0 + w1 + w2), w1 / (w0 + w1 + w2), w2 / (w0 + w1 + w2)
+  FROM (SELECT d.asset_id, d.k, {", ".join(f"d.b{s} * (" + " + ".join(f"p.p{r} * {_STATES['transition'][r][s]}" for r in range(3)) + f") AS w{s}" for s in range(3))} FROM path p JOIN den d ON d.asset_id = p.asset_id AND d.k = p.k + 1))
+SELECT den.asset_id, den.timestamp, {", ".join(f"round(p{s}, 6) AS regime_probability_{s}" for s in range(3))} FROM den JOIN path USING (asset_id, k)""")
 def _(spark, sf):
-    return risk.kupiec_99(backtest_rows(spark, sf), by=("asset_id",)).select("asset_id", "observation_count", "exception_count")
+    rows = usable_panel(spark, sf, "high", "low", "close").withColumn("range", (F.col("high") - F.col("low")) / F.abs("close"))
+    given = {k: np.array(v) for k, v in _STATES.items()}
+    m = hmm.Model(hmm.Config(covariance_type="diag"), given["mean"], given["scale"], given["start"], given["transition"], given["means"], np.array([np.diag(d**2) for d in given["deviations"]]))
+    return rounded(models.filter_regimes(rows, ["return", "volatility", "range"], m))

@@ -8,12 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 
 SCALE, LEAST_OBSERVATIONS = 100.0, 30
-#: Rows of a block, in which the recursion is one product with a matrix of powers.
-BLOCK = 128
-#: A search ends when two steps in a row lower the negative log-likelihood by less.
-LEAST_GAIN = 1e-5
-#: How far a row lies behind another, or BLOCK if it lies before it.
-_APART = np.where(np.tri(BLOCK, dtype=bool), np.arange(BLOCK)[:, None] - np.arange(BLOCK)[None, :], BLOCK)
+#: Where searches start: alpha, gamma, beta. The likelihood of a short window has several maxima, also on the bounds.
+STARTS = ((0.05, 0.05, 0.85), (0.1, 0.1, 0.6), (0.01, 0.9, 0.05), (0.6, 0.02, 0.05), (0.02, 0.02, 0.02), (0.005, 0.005, 0.97))
+#: A search ends when two steps in a row lower the negative log-likelihood by less. Values of a batch of windows that are worked on at once.
+LEAST_GAIN, BATCH_VALUES = 1e-5, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -42,117 +40,145 @@ def _variances(p: list[float], x: list[float], first: float) -> list[float]:
     return out
 
 
-def _unpack(q: list[float], x_var: float) -> list[float]:
-    """Unconstrained to (mu, omega, alpha, gamma, beta): positive variance, persistence alpha + gamma / 2 + beta below 1."""
-    z = [math.exp(min(max(a, -30.0), 30.0)) for a in q[2:5]]
-    unit = 0.9995 / (1 + sum(z))
-    return [q[0], math.exp(min(max(q[1], -40.0), 40.0)) * x_var, z[0] * unit, 2 * z[1] * unit, z[2] * unit]
+def _unpack(q: np.ndarray, x_var: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Unconstrained (.., 5) to mu, omega, alpha, gamma, beta: positive variance, persistence alpha + gamma / 2 + beta below 1."""
+    z = np.exp(np.clip(q[..., 2:5], -30.0, 30.0))
+    unit = 0.9995 / (1 + z.sum(axis=-1))
+    return q[..., 0], np.exp(np.clip(q[..., 1], -40.0, 40.0)) * x_var, z[..., 0] * unit, 2 * z[..., 1] * unit, z[..., 2] * unit
 
 
-def _powers(beta: float, n: int) -> np.ndarray:
-    """Lower triangular, beta^(i - j)."""
-    return np.append(np.power(beta, np.arange(BLOCK)), 0.0)[_APART[:n, :n]]
+def loss(q: np.ndarray, x: np.ndarray, held: np.ndarray, first: np.ndarray, x_var: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Negative log-likelihoods of many windows and their gradients in the unconstrained parameters.
 
-
-def _solved(drive: np.ndarray, beta: float, first: np.ndarray, powers: np.ndarray) -> np.ndarray:
-    """Rows y0 = first, y = drive of the row before + beta * y, a block of rows at a time (one matrix product each)."""
-    out, at, n = np.empty_like(drive), first, len(powers)
-    for start in range(0, len(drive), n):
-        part = drive[start:start + n]
-        k = len(part)
-        ends = powers[:k, :k] @ part + powers[:k, :1] * beta * at
-        out[start], out[start + 1:start + k] = at, ends[:-1]
-        at = ends[-1]
-    return out
-
-
-def loss(q: np.ndarray, x: np.ndarray, first: float, x_var: float) -> tuple[float, np.ndarray]:
-    """Negative log-likelihood and its gradient in the unconstrained parameters."""
+    q has a row for each window, x and held a column: held says which rows of x are the window's. Only the recursions of the variance and of its derivatives by
+    mu, omega, alpha, gamma and beta go row by row, for all windows at once.
+    """
     mu, omega, alpha, gamma, beta = _unpack(q, x_var)
     e = x - mu
     square, fall = e * e, e < 0
-    weight = np.where(fall, alpha + gamma, alpha)
-    powers = _powers(beta, min(len(x), BLOCK))
-    v = _solved((omega + weight * square)[:, None], beta, np.array([first]), powers)[:, 0]
-    # Derivatives of v by mu, omega, alpha, gamma and beta obey the same recursion.
-    d = _solved(np.column_stack([-2 * weight * e, np.ones(len(x)), square, square * fall, v]), beta, np.zeros(5), powers)
+    weight = alpha + gamma * fall
+    v, drive, at = np.empty_like(x), omega + weight * square, first
+    for t in range(len(x)):
+        v[t] = at
+        at = drive[t] + beta * at
+    steps = np.stack([-2 * weight * e, np.ones_like(x), square, square * fall, v], axis=1)
+    d, at = np.empty_like(steps), np.zeros(steps.shape[1:])
+    for t in range(len(x)):
+        d[t] = at
+        at = steps[t] + beta * at
     s = np.maximum(v, 1e-12)
-    total = 0.5 * (len(x) * math.log(2 * math.pi) + float(np.log(s).sum() + (square / s).sum()))
-    g = 0.5 * np.where(v > 1e-12, 1 / s - square / (s * s), 0.0) @ d
-    g[0] -= float((e / s).sum())
-    share = _shares(q)[:3]
-    by_share = 0.9995 * np.array([g[2], 2 * g[3], g[4]])
-    return total, np.array([g[0], g[1] * omega * (abs(q[1]) < 40), *(share * (by_share - share @ by_share))])
-
+    total = 0.5 * (held.sum(axis=0) * math.log(2 * math.pi) + ((np.log(s) + square / s) * held).sum(axis=0))
+    g = 0.5 * np.einsum("tm,tkm->mk", np.where(v > 1e-12, 1 / s - square / (s * s), 0.0) * held, d)
+    g[:, 0] -= (e / s * held).sum(axis=0)
+    # Back through _unpack: shares of alpha, gamma / 2 and beta of 0.9995.
+    share = np.exp(np.clip(q[:, 2:5], -30, 30))
+    share /= 1 + share.sum(axis=1, keepdims=True)
+    by_share = 0.9995 * g[:, 2:5] * (1, 2, 1)
+    inside = share * (by_share - (share * by_share).sum(axis=1, keepdims=True))
+    return total, np.column_stack([g[:, 0], g[:, 1] * omega, inside])
 
-def _shares(q: np.ndarray) -> np.ndarray:
-    """What _unpack gives alpha, gamma / 2, beta and none of them, of 0.9995."""
-    z = np.append(np.exp(np.clip(q[2:5], -30, 30)), 1.0)
-    return z / z.sum()
 
+def minimise(f, start: np.ndarray, *, rounds: int = 120, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """BFGS with backtracking for many problems at once: f(points, which problems) gives values and gradients. (points, values, converged).
 
-def minimise(f, start: np.ndarray, *, rounds: int = 200, tol: float = 1e-6) -> tuple[np.ndarray, float, bool]:
-    """BFGS with backtracking; (point, value, whether the gradient vanished or no step helps any more)."""
+    A round tries one step of each problem that goes on; who accepts it takes a new direction, who doesn't shortens it.
+    """
     x = np.array(start, dtype=float)
-    value, g = f(x)
-    inverse, small = np.eye(len(x)) / max(1.0, float(np.abs(g).max())), 0
+    m, k = x.shape
+    value, g = f(x, np.arange(m))
+    eye = np.eye(k)
+    inverse = eye / np.maximum(1.0, np.abs(g).max(axis=1))[:, None, None]
+    done, small, scale = np.abs(g).max(axis=1) < tol * (1 + np.abs(value)), np.zeros(m, dtype=int), np.ones(m)
+
+    def direction(i: np.ndarray) -> np.ndarray:
+        step = -np.einsum("mij,mj->mi", inverse[i], g[i])
+        up = (step * g[i]).sum(axis=1) >= 0
+        inverse[i[up]] = eye / np.maximum(1.0, np.abs(g[i[up]]).max(axis=1))[:, None, None]
+        step[up] = -g[i[up]] / np.maximum(1.0, np.abs(g[i[up]]).max(axis=1))[:, None]
+        return step * np.minimum(1.0, 3.0 / np.maximum(1e-12, np.abs(step).max(axis=1)))[:, None]
+
+    step = direction(np.arange(m))
     for _ in range(rounds):
-        if np.abs(g).max() < tol * (1 + abs(value)):
-            return x, value, True
-        step = -inverse @ g
-        slope = float(g @ step)
-        if slope >= 0:
-            inverse = np.eye(len(x)) / max(1.0, float(np.abs(g).max()))
-            step = -inverse @ g
-            slope = float(g @ step)
-        step *= min(1.0, 5.0 / max(1e-12, float(np.abs(step).max())))
-        slope, scale = float(g @ step), 1.0
-        while True:
-            new = x + scale * step
-            value_new, g_new = f(new)
-            if value_new <= value + 1e-4 * scale * slope:
-                break
-            scale *= 0.5
-            if scale < 1e-10:
-                return x, value, bool(np.abs(g).max() < 1e-3 * (1 + abs(value)))
-        s, y = new - x, g_new - g
-        gained, x, value, g = value - value_new, new, value_new, g_new
-        sy = float(s @ y)
-        if sy > 1e-12:
-            rho = 1 / sy
-            left = np.eye(len(x)) - rho * np.outer(s, y)
-            inverse = left @ inverse @ left.T + rho * np.outer(s, s)
-        small = small + 1 if gained < LEAST_GAIN else 0
-        if small == 2:
-            return x, value, bool(np.abs(g).max() < 1e-3 * (1 + abs(value)))
-    return x, value, False
-
-
-def _cold(x: np.ndarray) -> list[np.ndarray]:
+        i = np.flatnonzero(~done)
+        if not len(i):
+            break
+        new = x[i] + scale[i, None] * step[i]
+        value_new, g_new = f(new, i)
+        slope = (step[i] * g[i]).sum(axis=1)
+        good = value_new <= value[i] + 1e-4 * scale[i] * slope
+        j = i[~good]  # the minimum of a parabola through what is known, within bounds
+        over = value_new[~good] - value[j] - slope[~good] * scale[j]
+        scale[j] *= np.clip(np.where(over > 0, -slope[~good] * scale[j] / np.where(over > 0, 2 * over, 1.0), 0.5), 0.1, 0.5)
+        done[j[scale[j] < 1e-10]] = True
+        j = i[good]
+        s, y = new[good] - x[j], g_new[good] - g[j]
+        gained, x[j], value[j], g[j], scale[j] = value[j] - value_new[good], new[good], value_new[good], g_new[good], 1.0
+        sy = (s * y).sum(axis=1)
+        ok = sy > 1e-12
+        rho = 1 / np.where(ok, sy, 1.0)
+        left = eye - rho[:, None, None] * s[:, :, None] * y[:, None, :]
+        made = left @ inverse[j] @ left.transpose(0, 2, 1) + rho[:, None, None] * s[:, :, None] * s[:, None, :]
+        inverse[j[ok]] = made[ok]
+        small[j] = np.where(gained < LEAST_GAIN, small[j] + 1, 0)
+        done[j] = (np.abs(g[j]).max(axis=1) < tol * (1 + np.abs(value[j]))) | (small[j] == 2)
+        step[j] = direction(j)
+    return x, value, done & (np.abs(g).max(axis=1) < 1e-3 * (1 + np.abs(value)))
+
+
+def _cold(mean: np.ndarray) -> list[np.ndarray]:
     out = []
-    for a, g, b in ((0.05, 0.05, 0.85), (0.1, 0.1, 0.6)):
+    for a, g, b in STARTS:
         left = 1 - a - g / 2 - b
-        out.append(np.array([float(x.mean()), math.log(left), *(math.log(part / left) for part in (a, g / 2, b))]))
+        out.append(np.column_stack([mean, *(np.full(len(mean), math.log(z)) for z in (left, a / left, g / 2 / left, b / left))]))
     return out
 
 
-def fit_from(returns: np.ndarray, start: np.ndarray | None = None) -> tuple[Fit, np.ndarray]:
-    """A fit, and its unconstrained parameters as a start for a window that overlaps this one.
+def _batch(windows: list[np.ndarray]) -> list[Fit]:
+    n, m = max(map(len, windows)), len(windows)
+    x, held = np.zeros((n, m)), np.zeros((n, m))
+    for k, w in enumerate(windows):
+        x[:len(w), k], held[:len(w), k] = w * SCALE, 1.0
+    first = np.array([np.var(w * SCALE) for w in windows])
+    var = np.maximum(first, 1e-8)
+
+    def search(starts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        own = np.tile(np.arange(m), len(starts))
+        found = minimise(lambda q, i: loss(q, x[:, own[i]], held[:, own[i]], first[own[i]], var[own[i]]), np.concatenate(starts))
+        return [tuple(part[at:at + m] for part in found) for at in range(0, len(own), m)]
+
+    def best(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        pick = np.argmin([f[1] for f in found], axis=0)
+        return tuple(np.array([f[k] for f in found])[pick, np.arange(m)] for k in range(3))
+
+    alone = best(search(_cold(np.array([w.mean() * SCALE for w in windows]))))
+    if m > 1:
+        alone = best([alone, *search([np.roll(alone[0], 1, axis=0), np.roll(alone[0], -1, axis=0)])])
+    out, s = [], SCALE * SCALE
+    for k, w in enumerate(windows):
+        p = [float(a) for a in _unpack(alone[0][k], var[k])]
+        v = np.array(_variances(p, (w * SCALE).tolist(), float(first[k])))
+        out.append(Fit(p[1] / s, p[2], p[3], p[4], p[0] / SCALE, -float(alone[1][k]), bool(alone[2][k]), v[:-1] / s, float(v[-1] / s)))
+    return out
+
+
+def fits(windows: list[np.ndarray]) -> list[Fit | None]:
+    """Fits of windows that overlap their neighbours in the list; None for those with too few returns or any that isn't finite.
 
-    Both cold starts are tried besides the given one, so a fit is no worse for where its start came from.
+    Each is searched from all STARTS, then from what its two neighbours found. Windows are worked on in batches, as many as their values allow.
     """
-    x = np.asarray(returns, dtype=float) * SCALE
-    if len(x) < LEAST_OBSERVATIONS or not np.isfinite(x).all():
-        raise ValueError(f"at least {LEAST_OBSERVATIONS} finite returns are needed")
-    first = float(np.var(x))
-    var = max(first, 1e-8)
-    found = [minimise(lambda q: loss(q, x, first, var), q) for q in [*_cold(x), *([] if start is None else [start])]]
-    best = min(found, key=lambda f: f[1])
-    p = _unpack(best[0], var)
-    v = np.array(_variances(p, x.tolist(), first))
-    s = SCALE * SCALE
-    return Fit(p[1] / s, p[2], p[3], p[4], p[0] / SCALE, -best[1], best[2], v[:-1] / s, float(v[-1] / s)), best[0]
+    arrays = [np.asarray(w, dtype=float) for w in windows]
+    usable = [k for k, w in enumerate(arrays) if len(w) >= LEAST_OBSERVATIONS and np.isfinite(w).all()]
+    out: list[Fit | None] = [None] * len(arrays)
+    size = max(1, BATCH_VALUES // max((len(arrays[k]) for k in usable), default=1))
+    for at in range(0, len(usable), size):
+        part = usable[at:at + size]
+        for k, found in zip(part, _batch([arrays[k] for k in part]), strict=True):
+            out[k] = found
+    return out
 
 
 def fit(returns: np.ndarray) -> Fit:
-    return fit_from(returns)[0]
+    found = fits([returns])[0]
+    if found is None:
+        raise ValueError(f"at least {LEAST_OBSERVATIONS} finite returns are needed")
+    return found

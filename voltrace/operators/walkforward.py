@@ -188,7 +188,7 @@ def garch_features(df: DataFrame, *, train_size: int, test_size: int = 1, step_s
     """(fold_id, role, timestamp, asset_id, garch_forecast, garch_converged): in-sample volatility for train rows, the one-step forecast for test rows.
 
     A group is NEIGHBOURS folds in a row of one asset, whose windows share most rows: a row is moved once for each group, not for each fold, and each fit also
-    starts from the one before it. Groups follow from fold numbers, so reruns agree. forecasts_only leaves train rows out.
+    starts from those beside it. Groups follow from fold numbers, so reruns agree. forecasts_only leaves train rows out.
     """
     train, test, step = _sizes(train_size, test_size, step_size)
     calendar = ranked_timestamps(df)
@@ -201,20 +201,18 @@ def garch_features(df: DataFrame, *, train_size: int, test_size: int = 1, step_s
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("timestamp")
-        rank, returns, out, start = pdf["rank"].to_numpy(), pdf["return"].to_numpy(dtype=float), [], None
+        rank, returns, out, folds = pdf["rank"].to_numpy(), pdf["return"].to_numpy(dtype=float), [], []
         first = int(pdf["__group"].iloc[0]) * NEIGHBOURS
         for fold in range(first, min(first + NEIGHBOURS, int(pdf["__last"].iloc[0]) + 1)):
             at = rank - fold * step
             is_train, is_test = (at < train - purge) & (expanding | (at >= 0)), (at >= train) & (at < train + test)
             kept = is_test if forecasts_only else is_train | is_test
-            if not kept.any():
-                continue
-            value = np.full(len(pdf), np.nan)
-            try:
-                got, start = gjr.fit_from(returns[is_train], start)
-                value[is_train], value[is_test], converged = np.sqrt(got.variance), math.sqrt(got.forecast_variance), got.converged
-            except ValueError:
-                converged = False
+            if kept.any():
+                folds.append((fold, is_train, is_test, kept))
+        for (fold, is_train, is_test, kept), got in zip(folds, gjr.fits([returns[f[1]] for f in folds]), strict=True):
+            value, converged = np.full(len(pdf), np.nan), got is not None and got.converged
+            if got is not None:
+                value[is_train], value[is_test] = np.sqrt(got.variance), math.sqrt(got.forecast_variance)
             out.append(pd.DataFrame({"fold_id": np.int32(fold), "role": np.where(is_test[kept], "test", "train"), "timestamp": pdf["timestamp"][kept], "asset_id": pdf["asset_id"][kept],
                                      "garch_forecast": value[kept], "garch_converged": converged}))
         return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("fold_id", "role", "timestamp", "asset_id", "garch_forecast", "garch_converged")})

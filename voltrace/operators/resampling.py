@@ -14,12 +14,15 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltrace.runtime import numbered
+from voltrace.operators import scan
+from voltrace.runtime import materialize, numbered
 
 LEAST_REPLICATIONS = 100
+#: Rows of a block of prefix sums.
+PREFIX_ROWS = 4096
 
 
 class ResamplingError(ValueError):
@@ -240,3 +243,76 @@ def grouped_model_confidence_set(loss_matrix: DataFrame, models: list[str], by,
 
     kinds = ", ".join(f"{c} {loss_matrix.schema[c].dataType.simpleString()}" for c in by)
     return loss_matrix.select(*by, order, *models).groupBy(*by).applyInPandas(one, f"{kinds}, model string, included boolean, p_value double")
+
+
+def distributed_confidence_set(loss_matrix: DataFrame, models: list[str], by=(), *, order=("timestamp",), alpha: float = 0.1, n_bootstrap: int = 2000, block_length: int | None = None, seed: int = 42) -> DataFrame:
+    """(by..., model, included, p_value): model_confidence_set for groups of any size, as one plan.
+
+    Block r of replication b starts at row md5(seed:b:r) mod (n - block + 1), so SQL can repeat it. A block's sum is the difference of two prefix sums, looked up
+    by position; a replication reads 2 n / block rows, not n, and no task holds a group. Prefix sums go by blocks of positions; products of neighbouring rows, for
+    the long-run variance, come from arrays of at most the root of n. All rounds use the same draws. Rows with a null loss are left out.
+    """
+    if len(set(models)) != len(models) or len(models) < 2 or n_bootstrap < LEAST_REPLICATIONS:
+        raise ResamplingError("two distinct models and 100 replications are needed")
+    m, keys = len(models), list(by)
+    rows = loss_matrix.select(*keys, *order, *(F.col(x).cast("double").alias(f"l{i}") for i, x in enumerate(models))).na.drop(subset=[f"l{i}" for i in range(m)])
+    losses = F.array(*(F.col(f"l{i}") for i in range(m)))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*(F.avg(f"l{i}") for i in range(m))).alias("mean"))
+    block = F.lit(block_length) if block_length else F.greatest(F.lit(1), F.ceil(F.sqrt("n")))
+    sizes = sizes.filter("n > 1").withColumn("block", F.least(block, F.col("n")).cast("long")).withColumn("lags", F.least(F.greatest(F.lit(1), F.floor(F.sqrt("n"))), F.col("n") - 1).cast("long"))
+    sizes = materialize(sizes, "mcs-groups")  # a row for each group
+
+    def grouped(df: DataFrame, small: DataFrame) -> DataFrame:
+        return scan.matched(df, small, keys, "inner") if keys else df.crossJoin(F.broadcast(small))  # without groups, one row
+
+    placed = scan.positions(rows, keys, list(order), "position", "mcs-rows")
+    placed = materialize(grouped(placed.select(*keys, "position", losses.alias("loss")), sizes).withColumn("centred", F.zip_with("loss", "mean", lambda a, b: a - b)), "mcs-placed")
+    # Prefix sums by blocks of positions: within a block by a window, before it by a window over blocks' sums.
+    chunk = F.floor(F.col("position") / PREFIX_ROWS)
+    inside = Window.partitionBy(*keys, "chunk").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumn("chunk", chunk).select(*keys, "chunk", "position", *(F.sum(F.col("centred")[i]).over(inside).alias(f"p{i}") for i in range(m)))
+    ends = placed.withColumn("chunk", chunk).groupBy(*keys, "chunk").agg(*(F.sum(F.col("centred")[i]).alias(f"e{i}") for i in range(m)))
+    ahead = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "chunk", *(F.coalesce(F.sum(f"e{i}").over(ahead), F.lit(0.0)).alias(f"e{i}") for i in range(m)))
+    prefix = scan.matched(summed, ends, [*keys, "chunk"]).select(*keys, (F.col("position") + 1).alias("at"), F.array(*(F.col(f"p{i}") + F.col(f"e{i}") for i in range(m))).alias("prefix"))
+    # Draws: each block asks for the prefix sums at its end and, negated, at its start.
+    count = F.ceil(F.col("n") / F.col("block")).cast("long")
+    draws = sizes.select(*keys, "n", "block", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))).alias("b"), count.alias("count")).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
+    start = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("r").cast("string"))), 1, 12), 16, 10).cast("long") % (F.col("n") - F.col("block") + 1)
+    length = F.least(F.col("block"), F.col("n") - F.col("r") * F.col("block"))
+    asked = draws.withColumn("start", start).select(*keys, "b", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(-1.0).alias("sign")), F.struct((F.col("start") + length).alias("at"), F.lit(1.0).alias("sign")))).alias("q")).select(*keys, "b", "q.at", "q.sign").filter("at > 0")
+    found = scan.matched(asked, prefix, [*keys, "at"], "inner")
+    sums = found.groupBy(*keys, "b").agg(*(F.sum(F.col("sign") * F.col("prefix")[i]).alias(f"d{i}") for i in range(m)))
+    # Products of rows k apart, for all k up to the lags of the group.
+    window = Window.partitionBy(*keys, "chunk").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    span = sizes.agg(F.max("lags")).first()[0] or 1
+    halo = placed.select(*keys, "position", "centred", "lags", F.explode(F.array(F.floor(F.col("position") / span), F.floor(F.col("position") / span) + 1)).alias("chunk"))
+    near = halo.withColumn("own", F.floor(F.col("position") / span) == F.col("chunk")).withColumn("before", F.collect_list("centred").over(window)).filter("own")
+    near = near.select(*keys, "centred", F.posexplode(F.slice(F.reverse("before"), F.lit(1), (F.col("lags") + 1).cast("int"))).alias("k", "other"))
+    crossed = near.groupBy(*keys, "k").agg(*(F.avg(F.col("centred")[i] * F.col("other")[j]).alias(f"g{i}_{j}") for i in range(m) for j in range(m)))
+    weight = F.when(F.col("k") == 0, 1.0).otherwise(2.0 * (1 - F.col("k") / (F.col("lags") + 1)))
+    pairs = [(i, j) for i in range(m) for j in range(i + 1, m)]
+    lrv = grouped(crossed, sizes.select(*keys, "n", "lags")).groupBy(*keys).agg(*(
+        F.sqrt(F.greatest(F.sum(weight * (F.col(f"g{i}_{i}") + F.col(f"g{j}_{j}") - F.col(f"g{i}_{j}") - F.col(f"g{j}_{i}"))), F.lit(float(np.finfo(float).eps))) / F.first("n")).alias(f"se{i}_{j}") for i, j in pairs))
+    state = materialize(grouped(sizes.select(*keys, "n", "mean"), lrv).withColumns({f"in{i}": F.lit(True) for i in range(m)} | {f"out{i}": F.lit(None).cast("double") for i in range(m)} | {"p": F.lit(1.0), "going": F.lit(True)}), "mcs-state")
+    sums = materialize(sums, "mcs-draws")
+
+    def largest(value) -> Column:
+        return F.greatest(*(F.when(F.col(f"in{i}") & F.col(f"in{j}"), value(i, j) / F.col(f"se{i}_{j}")).otherwise(0.0) for i, j in pairs), F.lit(0.0))
+
+    for _ in range(m - 1):
+        state = state.withColumn("stat", largest(lambda i, j: F.abs(F.col("mean")[i] - F.col("mean")[j])))
+        each = grouped(sums, state).withColumn("draw", largest(lambda i, j: F.abs(F.col(f"d{i}") - F.col(f"d{j}")) / F.col("n")))
+        p = each.groupBy(*keys).agg(((1 + F.count_if(F.col("draw") >= F.col("stat"))) / (n_bootstrap + 1)).alias("p_now"))
+        state = grouped(state, p)
+        active = [F.when(F.col(f"in{i}"), F.col("mean")[i]) for i in range(m)]
+        worst = F.array_position(F.array(*(F.coalesce(a, F.lit(float("-inf"))) for a in active)), F.greatest(*active, F.lit(float("-inf")))) - 1
+        goes = F.col("going") & (F.col("p_now") <= alpha)
+        left = F.lit(0)
+        for i in range(m):
+            left += F.col(f"in{i}").cast("int")
+        state = state.withColumn("worst", worst).withColumn("goes", goes & (left > 1)).withColumn("p", F.when(F.col("going") & (left > 1), F.col("p_now")).otherwise(F.col("p")))
+        state = state.withColumns({f"out{i}": F.when(F.col("goes") & (F.col("worst") == i), F.col("p_now")).otherwise(F.col(f"out{i}")) for i in range(m)} | {f"in{i}": F.col(f"in{i}") & ~(F.col("goes") & (F.col("worst") == i)) for i in range(m)})
+        state = materialize(state.withColumn("going", F.col("goes")).drop("stat", "p_now", "worst", "goes"), "mcs-state")
+    each = F.array(*(F.struct(F.lit(x).alias("model"), F.col(f"in{i}").alias("included"), F.coalesce(f"out{i}", "p").alias("p_value")) for i, x in enumerate(models)))
+    return state.select(*keys, F.explode(each).alias("e")).select(*keys, "e.*")

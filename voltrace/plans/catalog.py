@@ -97,7 +97,22 @@ def _(spark, sf):
     return contract.validate_ohlcv(contract.canonical_columns(raw)).filter(F.col("rule").isin(*names))
 
 
-@registered("fingerprint", None)
+def _number_sql(c: str) -> str:
+    """Text of a double without loss, as in the fingerprint's encoding: sign, integer below 2^53 and at least 2^52, power of two."""
+    scaled = f"abs({c}) * pow(2.0, floor(-({{k}}) / 2)) * pow(2.0, -({{k}}) - floor(-({{k}}) / 2))"
+    k = f"(floor(log2(abs({c}))) - 52)"
+    at = scaled.format(k=k)
+    power = f"({k} + CASE WHEN {at} >= 9007199254740992 THEN 1 WHEN {at} < 4503599627370496 THEN -1 ELSE 0 END)"
+    return f"CASE WHEN {c} IS NULL THEN '' WHEN {c} = 0 THEN '0' ELSE CASE WHEN {c} < 0 THEN '-' ELSE '' END || ({scaled.format(k=power)})::BIGINT::VARCHAR || 'p' || {power}::BIGINT::VARCHAR END"
+
+
+@registered("fingerprint", f"""{HOURLY},
+h AS (SELECT md5(strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') || ',' || asset_id || ',' || {" || ',' || ".join(_number_sql(c) for c in ("open", "high", "low", "close", "volume"))}) AS h FROM bars),
+s AS (SELECT {", ".join(f"sum(('0x' || substr(h, {1 + 8 * k}, 8))::BIGINT)::HUGEINT AS s{k}" for k in range(4))}, count(*) AS n FROM h),
+a AS (SELECT n, s0, s1, s2, s3 % 4294967296 AS w3, s3 // 4294967296 AS c FROM s), b AS (SELECT n, s0, s1, w3, (s2 + c) % 4294967296 AS w2, (s2 + c) // 4294967296 AS c FROM a),
+d AS (SELECT n, s0, w3, w2, (s1 + c) % 4294967296 AS w1, (s1 + c) // 4294967296 AS c FROM b), e AS (SELECT n, w3, w2, w1, (s0 + c) % 4294967296 AS w0 FROM d)
+SELECT sha256(printf('%08x%08x%08x%08x', w0::BIGINT, w1::BIGINT, w2::BIGINT, w3::BIGINT) || ':' || n::VARCHAR) AS sha256, n AS row_count, (SELECT count(DISTINCT asset_id) FROM bars) AS asset_count,
+       (SELECT strftime(min(timestamp), '%Y-%m-%dT%H:%M:%S') FROM bars) AS start, (SELECT strftime(max(timestamp), '%Y-%m-%dT%H:%M:%S') FROM bars) AS "end" FROM e""")
 def _(spark, sf):
     return contract.fingerprint_row(bars(spark, sf))
 
@@ -330,7 +345,29 @@ def _(spark, sf):
     return rounded(resampling.grouped_bootstrap(usable_panel(spark, sf), "return", ("asset_id",), n_bootstrap=2000))
 
 
-@registered("model_confidence_set", None)
+def _confidence_set_sql(replications: int) -> str:
+    return f"""{USABLE},
+x AS (SELECT asset_id, row_number() OVER w - 1 AS i, pow(target - naive, 2) AS l0, pow(target - older, 2) AS l1, count(*) OVER (PARTITION BY asset_id) AS n FROM ok WINDOW w AS (PARTITION BY asset_id ORDER BY timestamp)),
+g AS (SELECT asset_id, max(n) AS n, avg(l0) AS m0, avg(l1) AS m1, ceil(sqrt(max(n)))::BIGINT AS block, floor(sqrt(max(n)))::BIGINT AS lags FROM x GROUP BY 1),
+c AS (SELECT asset_id, i, l0 - l1 - (m0 - m1) AS c FROM x JOIN g USING (asset_id)),
+k AS (SELECT asset_id, unnest(range(0, lags + 1)) AS k, lags FROM g),
+gam AS (SELECT k.asset_id, k.k, max(k.lags) AS lags, avg(a.c * b.c) AS gamma FROM k JOIN c a USING (asset_id) JOIN c b ON b.asset_id = a.asset_id AND b.i = a.i - k.k GROUP BY 1, 2),
+se AS (SELECT asset_id, sqrt(greatest(sum(CASE WHEN k = 0 THEN gamma ELSE 2 * (1 - k / (gam.lags + 1)) * gamma END), 2.220446049250313e-16) / max(n)) AS se FROM gam JOIN g USING (asset_id) GROUP BY 1),
+pre AS (SELECT asset_id, i + 1 AS at, sum(c) OVER (PARTITION BY asset_id ORDER BY i) AS s FROM c UNION ALL SELECT asset_id, 0, 0 FROM g),
+r AS (SELECT asset_id, n, block, b, unnest(range(0, ceil(n / block)::BIGINT)) AS r FROM g, range(0, {replications}) t(b)),
+st AS (SELECT asset_id, b, ('0x' || substr(md5('42:' || b::VARCHAR || ':' || r::VARCHAR), 1, 12))::BIGINT % (n - block + 1) AS start, least(block, n - r * block) AS len FROM r),
+d AS (SELECT st.asset_id, b, sum(e.s - f.s) AS s FROM st JOIN pre e ON e.asset_id = st.asset_id AND e.at = st.start + len JOIN pre f ON f.asset_id = st.asset_id AND f.at = st.start GROUP BY 1, 2),
+p AS (SELECT g.asset_id, max(m0) AS m0, max(m1) AS m1, (1 + count(*) FILTER (abs(d.s / n) / se >= abs(m0 - m1) / se)) / ({replications} + 1) AS p FROM d JOIN g USING (asset_id) JOIN se USING (asset_id) GROUP BY 1)
+SELECT asset_id, 'naive' AS model, p > 0.1 OR m0 < m1 AS included, round(p, 6) AS p_value FROM p UNION ALL SELECT asset_id, 'older', p > 0.1 OR m1 <= m0, round(p, 6) FROM p"""
+
+
+@registered("model_confidence_set", _confidence_set_sql(2000))
+def _(spark, sf):
+    wide = evaluation.build_loss_matrix(long_forecasts(spark, sf), ["naive", "older"], observation=["timestamp", "asset_id"], kind="squared")
+    return rounded(resampling.distributed_confidence_set(wide, ["naive", "older"], ("asset_id",), n_bootstrap=2000))
+
+
+@registered("model_confidence_set_by_generator", None)
 def _(spark, sf):
     wide = evaluation.build_loss_matrix(long_forecasts(spark, sf), ["naive", "older"], observation=["timestamp", "asset_id"], kind="squared")
     return rounded(resampling.grouped_model_confidence_set(wide, ["naive", "older"], ("asset_id",), n_bootstrap=2000))

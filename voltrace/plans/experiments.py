@@ -16,7 +16,7 @@ from voltrace.operators import evaluation, risk, walkforward
 from voltrace.operators.kernels import boost, hmm
 from voltrace.operators.portfolio import calculate_performance
 from voltrace.operators.volatility import prepare_research_dataset
-from voltrace.sources.files import load_raw_dataset, save_experiment_artifacts
+from voltrace.sources.files import load_raw_dataset, load_text, save_experiment_artifacts, save_text
 from voltrace.sources.registry import RecordNotFoundError, Registry, RegistryError
 
 #: Names that a configuration may use.
@@ -92,8 +92,7 @@ def list_experiment_names(configuration: ExperimentConfiguration) -> list[str]:
 def load_experiment_config(path: str) -> ExperimentConfiguration:
     import yaml
 
-    with open(path, encoding="utf-8") as f:
-        return parse_experiment_config(yaml.safe_load(f))
+    return parse_experiment_config(yaml.safe_load(load_text(path)))
 
 
 def save_experiment_config(configuration: ExperimentConfiguration, path: str) -> str:
@@ -101,9 +100,7 @@ def save_experiment_config(configuration: ExperimentConfiguration, path: str) ->
 
     validate_experiment_config(configuration)
     plain = [{k: list(v) if isinstance(v, tuple) else v for k, v in asdict(e).items()} for e in configuration.experiments]
-    with open(path, "w", encoding="utf-8") as f:
-        yaml.safe_dump({"experiments": plain}, f, sort_keys=False)
-    return path
+    return save_text(yaml.safe_dump({"experiments": plain}, sort_keys=False), path)
 
 
 # Runs ---------------------------------------------------------------------------
@@ -234,8 +231,12 @@ class Service:
         return self.registry.get_dataset(names[0])
 
     def run_experiment(self, name: str) -> ExperimentRunResult:
-        record = self.registry.get_experiment(name)
-        config = parse_experiment_config({"experiments": [{k: record[k] for k in ExperimentConfig.__dataclass_fields__ if record.get(k) is not None}]})
+        return self.run_experiments([name]).results[0]
+
+    def run_experiments(self, names: list[str]) -> ExperimentRunSummary:
+        """Runs registered experiments in this order; one that fails stops no other."""
+        records = [self.registry.get_experiment(name) for name in names]
+        config = parse_experiment_config({"experiments": [{k: r[k] for k in ExperimentConfig.__dataclass_fields__ if r.get(k) is not None} for r in records]})
 
         def handler(e: ExperimentConfig) -> dict:
             data = self.resolve_dataset(e.parameters)
@@ -243,7 +244,7 @@ class Service:
             predictions = execute_research(prepare_research_dataset(bars, lag_days=int(e.parameters.get("lag_days", 0))), e)
             return save_experiment_artifacts(e.name, {"experiment": asdict(e), "dataset": data["name"]}, predictions, output_directory=self.artifacts)
 
-        return run_experiments(config, handlers={name: handler}).results[0]
+        return run_experiments(config, handlers=dict.fromkeys(names, handler))
 
     def _predictions(self, name: str) -> DataFrame:
         from voltrace.sources.files import load_experiment_results

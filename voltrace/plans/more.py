@@ -265,18 +265,65 @@ def _(spark, sf):
     return made.list_datasets().select("name", "start_date", "metadata")
 
 
-@registered("experiment_forecasts", None)
-def _(spark, sf):
-    """Registers the bars, runs an experiment over them through the service, and reads back its artifacts."""
+_RESEARCH = f"""{HOURLY},
+nxt AS (SELECT asset_id, trading_date, lead(realized_volatility) OVER (PARTITION BY asset_id ORDER BY trading_date) AS target
+        FROM (SELECT l.asset_id, l.timestamp::DATE AS trading_date, max(v.realized_volatility) AS realized_volatility FROM lr l LEFT JOIN rv v ON v.asset_id = l.asset_id AND v.trading_date = l.timestamp::DATE WHERE r IS NOT NULL GROUP BY 1, 2)),
+ok AS (SELECT l.timestamp, l.asset_id, l.r AS "return", n.target FROM lr l JOIN rv v ON v.asset_id = l.asset_id AND v.trading_date = l.timestamp::DATE JOIN nxt n ON n.asset_id = l.asset_id AND n.trading_date = l.timestamp::DATE
+       WHERE l.r IS NOT NULL AND n.target IS NOT NULL)"""
+_EXPERIMENT = f"""{_RESEARCH},
+cal AS (SELECT timestamp, row_number() OVER (ORDER BY timestamp) - 1 AS k FROM (SELECT DISTINCT timestamp FROM ok)),
+folds AS (SELECT f AS fold_id FROM range(0, (SELECT count(*) - 120 FROM cal)) t(f)),
+placed AS (SELECT o.*, fold_id, CASE WHEN k < fold_id + 120 THEN 'train' ELSE 'test' END AS role FROM ok o JOIN cal USING (timestamp) JOIN folds ON k BETWEEN fold_id AND fold_id + 120),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY fold_id, asset_id ORDER BY timestamp) - 1 AS i, count(*) OVER (PARTITION BY fold_id, asset_id) AS n FROM placed WHERE role = 'train'),
+v AS (SELECT fold_id, asset_id, sqrt(max(pow(0.94, n)) * arg_min("return" * "return", i) + 0.06 * sum(pow(0.94, n - 1 - i) * "return" * "return")) AS prediction FROM numbered GROUP BY 1, 2),
+pred AS (SELECT p.timestamp, p.asset_id, v.prediction AS forecast, p.target AS actual, p.fold_id, 'EWMA' AS model FROM placed p JOIN v USING (fold_id, asset_id) WHERE role = 'test')"""
+
+
+def _service(spark, sf) -> experiments.Service:
+    """Registers the bars, runs an experiment over them (120 timestamps of training, every next one forecast) and leaves its artifacts."""
     made = registry.Registry(spark, _stored(spark, "registry"))
     made.initialize()
     service = experiments.Service(spark, made, _stored(spark, "artifacts"))
     service.create_dataset({"name": "bars", "path": files.save_parquet(bars(spark, sf), _stored(spark, "bars.parquet"))})
-    service.create_experiment({"name": "hourly", "models": ["EWMA"], "parameters": {"dataset": "bars", "train_size": 24, "test_size": 1, "step_size": 24}})
-    done = service.run_experiment("hourly")
-    if done.status != "succeeded":
-        raise RuntimeError(done.error)
-    return rounded(service.compare_forecasts("hourly"))
+    service.create_experiment({"name": "hourly", "models": ["EWMA"], "parameters": {"dataset": "bars", "train_size": 120, "test_size": 1, "step_size": 1}})
+    done = service.run_experiments(["hourly"])
+    if not done.all_successful:
+        raise RuntimeError(done.results[0].error)
+    return service
+
+
+@registered("experiment_forecasts", f"""{_EXPERIMENT}
+SELECT model, count(*) AS observations, round(avg(abs(actual - forecast)), 6) AS mae, round(sqrt(avg((actual - forecast) * (actual - forecast))), 6) AS rmse,
+       round(avg(actual / forecast - ln(actual / forecast) - 1) FILTER (actual > 0 AND forecast > 0), 6) AS qlike, count(*) FILTER (actual <= 0 OR forecast <= 0) AS qlike_violations FROM pred GROUP BY 1""")
+def _(spark, sf):
+    return rounded(_service(spark, sf).compare_forecasts("hourly"))
+
+
+@registered("experiment_report", f"{_EXPERIMENT} SELECT model, count(*) AS predictions, count(DISTINCT fold_id) AS folds FROM pred GROUP BY 1")
+def _(spark, sf):
+    return _service(spark, sf).run_report("hourly")["coverage"]
+
+
+@registered("experiment_predictions", f"{_EXPERIMENT} SELECT timestamp, asset_id, round(forecast, 6) AS prediction, round(actual, 6) AS actual_volatility, fold_id::INTEGER AS fold_id, model FROM pred")
+def _(spark, sf):
+    service = _service(spark, sf)
+    return rounded(files.load_experiment_results(spark, "hourly", output_directory=service.artifacts).select("timestamp", "asset_id", "prediction", "actual_volatility", "fold_id", "model"))
+
+
+@registered("registry_records", f"""{HOURLY}, a AS (SELECT DISTINCT asset_id FROM bars)
+SELECT kind, asset_id AS experiment_name, 'EWMA' AS what, 'accepted' AS status FROM a, (VALUES ('forecast'), ('risk'), ('portfolio'), ('report')) t(kind)""")
+def _(spark, sf):
+    made = registry.Registry(spark, _stored(spark, "registry"))
+    made.initialize()
+    service = experiments.Service(spark, made, _stored(spark, "artifacts"))
+    for r in bars(spark, sf).select("asset_id").distinct().collect():  # records of each asset, as a service would make them
+        for create in (service.create_forecast, service.create_risk_analysis, service.create_portfolio_analysis, service.create_report):
+            create(r.asset_id, "EWMA")
+    out = None
+    for kind, rows, what in (("forecast", made.list_forecasts(), "model"), ("risk", made.list_risks(), "model"), ("portfolio", made.list_portfolios(), "strategy"), ("report", made.list_reports(), "report_type")):
+        part = rows.select(F.lit(kind).alias("kind"), "experiment_name", F.col(what).alias("what"), "status")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 _UC_99 = _UC.replace("ln(0.05)", "ln(0.01)").replace("ln(0.95)", "ln(0.99)")

@@ -9,7 +9,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,24 +56,84 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
-#: Tables that the innermost scratch() will delete, for each open one.
-_SCRATCH: list[list[str]] = []
+#: Tables that the innermost scratch() will delete, for each open one of this thread or task.
+_SCRATCH: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
+
+
+def _store(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever store it is."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    at, store = _store(spark, path)
+    store.delete(at, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    at, store = _store(spark, path)
+    store.mkdirs(at)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in a folder of whatever store; none if it isn't there."""
+    at, store = _store(spark, path)
+    return [x.getPath().getName() for x in store.listStatus(at)] if store.exists(at) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str, *, new: bool = False) -> bool:
+    """Write a small UTF-8 file in whatever store; with new, False and nothing written if it is there already.
+
+    Of several writers of a new file one wins: local files are linked into place, which fails if the name is taken; other stores' create refuses a taken name.
+    """
+    at, store = _store(spark, path)
+    if new and store.getScheme() == "file":
+        target = at.toUri().getPath()
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        draft = os.path.join(os.path.dirname(target), f"_{uuid.uuid4().hex}")
+        with open(draft, "w", encoding="utf-8") as f:
+            f.write(text)
+        try:
+            os.link(draft, target)
+        except FileExistsError:
+            return False
+        finally:
+            os.remove(draft)
+        return True
+    try:
+        out = store.create(at, not new)
+    except Py4JJavaError as error:
+        if new and store.exists(at):
+            return False
+        raise error
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small UTF-8 file of whatever store."""
+    at, store = _store(spark, path)
+    source = store.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes the tables that were materialized inside, but those to keep, at the end. What leaves it must not read them."""
-    _SCRATCH.append([])
+    mine: list[str] = []
+    token = _SCRATCH.set((*_SCRATCH.get(), mine))
     try:
         yield
     finally:
-        for path in _SCRATCH.pop():
+        _SCRATCH.reset(token)
+        for path in mine:
             delete(spark, path)
 
 
@@ -85,10 +147,11 @@ def materialize(df: DataFrame, tag: str, *, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/voltrace/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _SCRATCH and not keep:
-        _SCRATCH[-1].append(path)
-    elif len(_SCRATCH) > 1:
-        _SCRATCH[-2].append(path)
+    open_ = _SCRATCH.get()
+    if open_ and not keep:
+        open_[-1].append(path)
+    elif len(open_) > 1:
+        open_[-2].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -156,10 +156,26 @@ def assert_canonical_schema(df: DataFrame) -> None:
 # Fingerprints -------------------------------------------------------------------
 
 
+def _exact_text(x: Column) -> Column:
+    """A double as text, without loss: sign, 53-bit integer and power of two (empty if null; 0, nan, inf and -inf by name)."""
+    size = F.abs(x)
+    power = F.floor(F.log2(F.when(size > 0, size))) - 52
+
+    def scaled(k: Column) -> Column:  # in two steps, as one power of two may be out of range
+        half = F.floor(-k / 2)
+        return size * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), -k - half)
+
+    # A rounded logarithm may be one off.
+    power = F.when(scaled(power) >= 2.0**53, power + 1).when(scaled(power) < 2.0**52, power - 1).otherwise(power)
+    exact = F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), scaled(power).cast("long").cast("string"), F.lit("p"), power.cast("long").cast("string"))
+    text = F.when(F.isnan(x), "nan").when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).when(x == 0, "0").otherwise(exact)
+    return F.coalesce(text, F.lit(""))
+
+
 def _line() -> Column:
-    """A canonical row as text: microsecond timestamp, id, and the bits of the numbers."""
-    stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return F.concat_ws(",", stamp, F.col("asset_id"), *(F.format_string("%.17e", F.col(c)) for c in (*PRICES, "volume")))
+    """A row in its canonical encoding, fields joined by commas: UTC time to the microsecond, id, then the numbers, each without loss."""
+    stamp = F.coalesce(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit(""))
+    return F.concat_ws(",", stamp, F.coalesce("asset_id", F.lit("")), *(_exact_text(F.col(c).cast("double")) for c in (*PRICES, "volume")))
 
 
 @dataclass(frozen=True)
@@ -180,14 +196,19 @@ class DatasetFingerprint:
 def fingerprint_row(df: DataFrame) -> DataFrame:
     """One row (sha256, row_count, asset_count, start, end), whatever the order or partitions of df.
 
-    Each row's SHA-256 is cut into four numbers, which are summed in exact
-    decimals: an aggregate without a sort, so it scales; the sums are hashed again.
+    A multiset hash that others can recompute: the MD5s of the rows' canonical encodings, as 128-bit numbers, are added modulo 2^128, which is an aggregate
+    without a sort. sha256 is that of the sum as 32 hex digits, a colon and the number of rows.
     """
-    h = F.sha2(_line(), 256)
-    parts = [F.sum(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)")).cast("string") for k in range(4)]
-    return df.select("timestamp", "asset_id", h.alias("h")).agg(
-        F.sha2(F.concat_ws(":", *parts, F.count(F.lit(1)).cast("string")), 256).alias("sha256"), F.count(F.lit(1)).alias("row_count"),
-        F.count_distinct("asset_id").alias("asset_count"), F.date_format(F.min("timestamp"), "yyyy-MM-dd'T'HH:mm:ss").alias("start"), F.date_format(F.max("timestamp"), "yyyy-MM-dd'T'HH:mm:ss").alias("end"))
+    word, wide = 1 << 32, "decimal(38,0)"
+    sums = [F.sum(F.conv(F.substring("h", 1 + 8 * k, 8), 16, 10).cast("decimal(20,0)")).cast(wide).alias(f"s{k}") for k in range(4)]
+    text = "yyyy-MM-dd'T'HH:mm:ss"
+    out = df.select("timestamp", "asset_id", F.md5(_line()).alias("h")).agg(
+        *sums, F.count(F.lit(1)).alias("row_count"), F.count_distinct("asset_id").alias("asset_count"), F.date_format(F.min("timestamp"), text).alias("start"), F.date_format(F.max("timestamp"), text).alias("end"))
+    for k in (3, 2, 1, 0):  # carries go from the last word to the first
+        total = F.coalesce(F.col(f"s{k}"), F.lit(0).cast(wide)) + (F.col(f"c{k + 1}") if k < 3 else F.lit(0).cast(wide))
+        out = out.withColumn(f"t{k}", total.cast(wide)).withColumn(f"c{k}", F.expr(f"CAST(t{k} DIV {word} AS {wide})"))
+    digits = F.concat(*(F.lpad(F.lower(F.hex((F.col(f"t{k}") % word).cast("long"))), 8, "0") for k in range(4)))
+    return out.select(F.sha2(F.concat_ws(":", digits, F.col("row_count").cast("string")), 256).alias("sha256"), "row_count", "asset_count", "start", "end")
 
 
 def fingerprint_dataframe(df: DataFrame, *, validate: bool = True) -> DatasetFingerprint:

@@ -9,6 +9,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voltrace.runtime import read_text, write_text
 from voltrace.sources.contract import CanonicalDataset, ContractError, assert_canonical_schema, build_canonical_dataset, canonical_columns, raise_if_invalid, require_columns, to_canonical, validate_ohlcv
 
 
@@ -110,16 +111,33 @@ def _encoded(value):
     raise TypeError(f"no JSON for {type(value)}")
 
 
-def save_json_artifact(data: dict, path: str) -> str:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(data, f, sort_keys=True, indent=2, default=_encoded)
+def save_text(text: str, path: str) -> str:
+    """Into whatever store the path names; without a session, a local file."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        write_text(spark, path, text)
+    else:
+        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(text)
     return path
 
 
-def load_json_artifact(path: str) -> dict:
+def load_text(path: str) -> str:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        return read_text(spark, path)
     with open(path, encoding="utf-8") as f:
-        data = json.load(f)
+        return f.read()
+
+
+def save_json_artifact(data: dict, path: str) -> str:
+    """Into whatever store the path names, like the tables beside it."""
+    return save_text(json.dumps(data, sort_keys=True, indent=2, default=_encoded), path)
+
+
+def load_json_artifact(path: str) -> dict:
+    data = json.loads(load_text(path))
     if not isinstance(data, dict):
         raise ContractError(f"{path} holds no JSON object")
     return data

@@ -1,19 +1,22 @@
-"""A registry of datasets, experiments, forecasts, risk results, portfolio results and reports, in Parquet tables.
+"""A registry of datasets, experiments, forecasts, risk results, portfolio results and reports, in the shared store.
 
-Nested values keep their JSON text. A record is one small file, named by its
-key, so saving is an append and a key that is there already is refused. Checking
-and writing aren't one transaction: two writers of one key at once can both pass.
+Each table is a log of commits: files numbered from 1, a record each, as a line
+of JSON (nested values keep their JSON text). A writer reads the log, checks
+that its key is free, and creates the next number if nobody else has; whoever
+loses that race reads what was committed meanwhile and checks again. So of two
+writers of one key exactly one wins, and a version number is a snapshot.
 """
 
 from __future__ import annotations
 
 import datetime
-import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voltrace.runtime import make_folder, names_in, write_text
+
 #: Table: key columns, and the other columns.
 TABLES = {
     "datasets": (("name",), ("source", "assets", "start_date", "end_date", "frequency", "fingerprint", "path", "metadata")),
@@ -50,16 +53,22 @@ class Registry:
         return ", ".join(f"{c} string" for c in (*keys, *others)) + ", created_at timestamp"
 
     def initialize(self) -> None:
-        """Creates the empty tables that aren't there."""
+        """Creates the folders of tables that aren't there."""
         for table in TABLES:
-            self.spark.createDataFrame([], self._schema(table)).write.mode("append").parquet(f"{self.path}/{table}/init")
+            make_folder(self.spark, f"{self.path}/{table}")
+
+    def version(self, table: str) -> int:
+        """The number of the last commit, 0 if there is none."""
+        return max((int(n[:-5]) for n in names_in(self.spark, f"{self.path}/{table}") if n.endswith(".json") and n[:-5].isdigit()), default=0)
 
-    def frame(self, table: str) -> DataFrame:
-        return self.spark.read.schema(self._schema(table)).option("recursiveFileLookup", "true").parquet(f"{self.path}/{table}")
+    def frame(self, table: str, version: int | None = None) -> DataFrame:
+        """The records, or those up to a version."""
+        rows = self.spark.read.schema(self._schema(table)).json(f"{self.path}/{table}")
+        return rows if version is None else rows.filter(F.col("_metadata.file_name") <= f"{version:020d}.json")
 
-    def _key(self, table: str, key) -> DataFrame:
+    def _key(self, table: str, key, version: int | None = None) -> DataFrame:
         names = TABLES[table][0]
-        df = self.frame(table)
+        df = self.frame(table, version)
         for name, value in zip(names, key, strict=False):
             df = df.filter(F.col(name) == value)
         return df
@@ -70,13 +79,16 @@ class Registry:
         if missing or set(record) - {*keys, *others, "created_at"}:
             raise RegistryError(f"missing {missing} or unknown fields in {sorted(record)}")
         key = [str(record[k]) for k in keys]
-        if not self._key(table, key).isEmpty():
-            raise RecordExistsError(f"{table} has {key}")
         values = {c: record.get(c) for c in others}
-        row = [*key, *(v if v is None or isinstance(v, str) else json.dumps(v, sort_keys=True, default=str) for v in values.values()), record.get("created_at") or datetime.datetime.now()]
-        digest = hashlib.sha256("\0".join(key).encode()).hexdigest()[:24]
-        self.spark.createDataFrame([tuple(row)], self._schema(table)).coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/{table}/{digest}")
-        return record
+        row = dict(zip(keys, key, strict=True)) | {c: v if v is None or isinstance(v, str) else json.dumps(v, sort_keys=True, default=str) for c, v in values.items()}
+        made = record.get("created_at") or datetime.datetime.now(datetime.UTC)
+        row["created_at"] = made.isoformat() if isinstance(made, datetime.datetime) else str(made)
+        while True:
+            seen = self.version(table)
+            if not self._key(table, key, seen).isEmpty():
+                raise RecordExistsError(f"{table} has {key}")
+            if write_text(self.spark, f"{self.path}/{table}/{seen + 1:020d}.json", json.dumps(row) + "\n", new=True):
+                return record
 
     def get(self, table: str, *key: str) -> dict:
         """The record of a whole key, or of a partial one that only one record has."""

@@ -8,9 +8,12 @@ probabilities calibrated. Training examples are templates, cut, thinned and
 set in other words, and for ``unknown`` paragraphs of the corpus itself (a
 bounded sample of documents by a hash of their ids) and random mixtures of
 vocabulary words. A family is confirmed if the paragraph holds enough of the
-word pairs of one of its templates. A family whose notices hold a name (such as
-Affero) outranks the general one that they resemble, and is none without it. A
-paragraph without any feature is ``unknown`` by definition.
+word pairs of one of its templates, and half of the words that only this
+family's templates have (so another licence's name in the same sentence confirms
+nothing). Families of one kind differ by marks (such as Affero, or NC and SA):
+only the one with exactly the marks of the text is possible, and the temperature
+is fitted with impossible families ruled out. A notice after a negation confirms
+nothing. A paragraph without any feature is ``unknown`` by definition.
 
 Notices are often wrapped. In a block (lines with a word, up to a line without
 one, such as a bare comment mark) runs of lines are joined and classified as
@@ -90,17 +93,61 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
     "CC0": (
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. CC0 1.0 Universal",
+    ),
+    "CC-BY-ND": (
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "Licensed under CC BY-ND 4.0.",
+    ),
+    "CC-BY-NC-SA": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        "Licensed under CC BY-NC-SA 4.0.",
+    ),
+    "CC-BY-NC-ND": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+        "Licensed under CC BY-NC-ND 4.0.",
+    ),
+    "Unlicense": (
         "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Licensed under the ISC License.",
+    ),
+    "BSL-1.0": (
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software",
+    ),
+    "ECL-2.0": (
+        "Licensed under the Educational Community License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+        "Licensed under the Educational Community License, Version 2.0.",
+    ),
+    "OpenSSL": (
+        "Licensed under the OpenSSL License (the \"License\"). You may not use this file except in compliance with the License.",
+        "Licensed under the OpenSSL License.",
     ),
     "Proprietary": (
         "All rights reserved.",
         "Copyright. All rights reserved. No part of this work may be reproduced without written permission of the publisher.",
     ),
 }
-#: Words that a notice of a specific family holds, one of them at least, and the general families that give way to it.
-NAMES = {"AGPL": ("affero", "agpl"), "LGPL": ("lesser", "lgpl"), "CC-BY-SA": ("sharealike", "sa"), "CC-BY-NC": ("noncommercial", "nc")}
-GENERAL = {"GPL": ("AGPL", "LGPL"), "CC-BY": ("CC-BY-SA", "CC-BY-NC")}
-#: Templates of fewer words confirm only a paragraph that ends with them; words of the lines before and after that may hold a name.
+#: Identifiers that tags name, by family; each gives a template of its own.
+TAGS = {
+    "MIT": ("MIT",), "Apache-2.0": ("Apache-2.0",), "GPL": ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"), "LGPL": ("LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-or-later"),
+    "AGPL": ("AGPL-3.0-only", "AGPL-3.0-or-later"), "BSD": ("BSD-2-Clause", "BSD-3-Clause"), "MPL-2.0": ("MPL-2.0",), "CC-BY": ("CC-BY-4.0",), "CC-BY-SA": ("CC-BY-SA-4.0",), "CC-BY-NC": ("CC-BY-NC-4.0",),
+    "CC-BY-ND": ("CC-BY-ND-4.0",), "CC-BY-NC-SA": ("CC-BY-NC-SA-4.0",), "CC-BY-NC-ND": ("CC-BY-NC-ND-4.0",), "CC0": ("CC0-1.0",), "Unlicense": ("Unlicense",), "ISC": ("ISC",), "BSL-1.0": ("BSL-1.0",), "ECL-2.0": ("ECL-2.0",), "OpenSSL": ("OpenSSL",),
+}
+TEMPLATES = {f: (*texts, *(f"SPDX-License-Identifier: {t}" for t in TAGS.get(f, ()))) for f, texts in TEMPLATES.items()}
+#: Words, and pairs of them, that are marks; short ones count after a word of BEFORE_SHORT; and the marks of families, by kind.
+MARKS = {"sharealike": "sa", "share alike": "sa", "noncommercial": "nc", "non commercial": "nc", "noderivatives": "nd", "noderivs": "nd", "no derivatives": "nd", "affero": "affero", "agpl": "affero", "lesser": "lesser", "lgpl": "lesser"}
+SHORT_MARKS, BEFORE_SHORT = ("sa", "nc", "nd"), ("by", "cc", "nc", "sa", "nd")
+KINDS = (
+    {"GPL": (), "LGPL": ("lesser",), "AGPL": ("affero",)},
+    {"CC-BY": (), "CC-BY-SA": ("sa",), "CC-BY-NC": ("nc",), "CC-BY-ND": ("nd",), "CC-BY-NC-SA": ("nc", "sa"), "CC-BY-NC-ND": ("nc", "nd")},
+)
+#: Words that negate a notice, unless its template has them, among the NEGATED_WORDS before it and the first ones in it ("t" is what a contraction leaves), and words before a short notice.
+NEGATIONS, NEGATED_WORDS, COPYRIGHT = frozenset(("not", "never", "nor", "t", "cannot")), 5, frozenset(("copyright", "copr", "c"))
+#: Templates of fewer words confirm only a paragraph that ends with them, after a copyright or a word at most; words of the lines before and after that may hold a name.
 SHORT_WORDS, NEAR_WORDS = 4, 3
 #: Words too common to be features alone.
 COMMON = frozenset("a an and any are as at be by can for from if in is it its not of on one or that the their this to was were will with without you may no".split())
@@ -124,6 +171,7 @@ def _vocabulary() -> tuple[dict[str, int], frozenset[str]]:
 VOCABULARY, CUES = _vocabulary()
 FAMILIES = [*TEMPLATES, UNKNOWN]
 _TEMPLATE_GRAMS = {f: [frozenset(g for g in _grams(paragraph_words(t)) if " " in g) for t in texts] for f, texts in TEMPLATES.items()}
+_SIZES = {f: [len(paragraph_words(t)) for t in texts] for f, texts in TEMPLATES.items()}
 _SHORT = {f: [w for w in map(paragraph_words, texts) if len(w) < SHORT_WORDS] for f, texts in TEMPLATES.items()}
 _TEMPLATE_PAIRS = [frozenset(tuple(g.split()) for g in t) for texts in _TEMPLATE_GRAMS.values() for t in texts]
 _ALL_PAIRS = frozenset().union(*_TEMPLATE_PAIRS)
@@ -135,22 +183,52 @@ def features(words: list[str]) -> list[int]:
     return sorted({VOCABULARY[g] for g in _grams(words) if g in VOCABULARY})
 
 
+def _tellings() -> dict[str, list[frozenset[str]]]:
+    """For each template its words, without numbers, that no other family's templates have."""
+    families: dict[str, set[str]] = {}
+    for f, texts in TEMPLATES.items():
+        for w in {w for t in texts for w in paragraph_words(t)} - COMMON:
+            families.setdefault(w, set()).add(f)
+    return {f: [frozenset(w for w in paragraph_words(t) if families.get(w) == {f} and not w.isdigit()) for t in texts] for f, texts in TEMPLATES.items()}
+
+
+_TELLING = _tellings()
+
+
+def _negated(words: list[str], grams: frozenset[str]) -> bool:
+    start = next((i for i, (a, b) in enumerate(pairwise(words)) if f"{a} {b}" in grams), 0)
+    own = {w for g in grams for w in g.split()}
+    return bool(NEGATIONS.intersection(words[max(0, start - NEGATED_WORDS):start + NEGATED_WORDS]) - own)
+
+
 def template_share(words: list[str], family: str) -> float:
-    """The largest share of a template's word pairs that the paragraph holds. A short template counts only at its end."""
-    pairs = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
-    grams = [t for t, text in zip(_TEMPLATE_GRAMS[family], TEMPLATES[family], strict=True) if len(paragraph_words(text)) >= SHORT_WORDS]
-    long = max((len(t & pairs) / len(t) for t in grams), default=0.0)
-    return 1.0 if any(words[-len(t):] == t for t in _SHORT[family]) else long
+    """The largest share of a template's word pairs that the paragraph holds, with half of its telling words and not negated. A short template counts only at its end."""
+    pairs, held = {f"{a} {b}" for a, b in pairwise(words)}, set(words)
+    best = 0.0
+    for grams, telling, size in zip(_TEMPLATE_GRAMS[family], _TELLING[family], _SIZES[family], strict=True):
+        share = len(grams & pairs) / len(grams) if size >= SHORT_WORDS else 0.0
+        if share > best and 2 * len(telling & held) >= len(telling) and not _negated(words, grams):
+            best = share
+    for t in _SHORT[family]:
+        ahead = words[:-len(t)]
+        if words[-len(t):] == t and (len(ahead) < 2 or not COPYRIGHT.isdisjoint(ahead) or any(w.isdigit() and len(w) == 4 for w in ahead)):
+            return 1.0
+    return best
+
+
+def marks(words: list[str]) -> set[str]:
+    out = {MARKS[w] for w in (*words, *map(" ".join, pairwise(words))) if w in MARKS}
+    return out | {b for a, b in pairwise(words) if b in SHORT_MARKS and a in BEFORE_SHORT}
 
 
-def _impossible(held: set[str]) -> list[int]:
-    """Families that words rule out: specific ones without a name of theirs, and general ones beside such a name."""
-    named = {f for f, names in NAMES.items() if not held.isdisjoint(names)}
-    return [k for k, f in enumerate(FAMILIES) if f in NAMES and f not in named or not named.isdisjoint(GENERAL.get(f, ()))]
+def _impossible(held: list[str]) -> list[int]:
+    """Families that words rule out: of each kind all but the one with exactly their marks."""
+    found = marks(held)
+    return [k for k, f in enumerate(FAMILIES) for kind in KINDS if f in kind and found & set().union(*kind.values()) != set(kind[f])]
 
 
-def _examples(background: list[list[str]], rng: np.random.Generator) -> list[tuple[list[int], int]]:
-    """(features, family): varied templates, and for unknown the background and mixtures of vocabulary words."""
+def _examples(background: list[list[str]], rng: np.random.Generator) -> list[tuple[list[int], int, list[int]]]:
+    """(features, family, families ruled out): varied templates, and for unknown the background and mixtures of vocabulary words."""
     out = []
     cues, common = sorted(CUES), sorted(COMMON)
     for label, (family, texts) in enumerate(TEMPLATES.items()):
@@ -162,16 +240,16 @@ def _examples(background: list[list[str]], rng: np.random.Generator) -> list[tup
                     keep = keep[:int(len(keep) * rng.uniform(0.6, 1.0))]
                 ahead = [str(rng.choice(common)) for _ in range(k % 3)]
                 if template_share(ahead + keep, family) >= LEAST_SHARE:
-                    out.append((features(ahead + keep), label))
+                    out.append((features(ahead + keep), label, _impossible(ahead + keep)))
     unknown = len(TEMPLATES)
     for _ in range(1500):
         n = int(rng.integers(1, 6))
         words = [str(rng.choice(cues if rng.random() < 0.5 else common)) for _ in range(n * 2)]
-        out.append((features(words), unknown))
+        out.append((features(words), unknown, _impossible(words)))
     for words in background:
         if max(template_share(words, f) for f in TEMPLATES) < 0.3:
-            out.append((features(words), unknown))
-    return [(x, y) for x, y in out if x]
+            out.append((features(words), unknown, _impossible(words)))
+    return [row for row in out if row[0] and row[1] not in row[2]]
 
 
 @dataclass(frozen=True)
@@ -194,11 +272,12 @@ class Classifier:
         if CUES.isdisjoint(words):
             return None
         p = self.probabilities(features(words))
-        p[_impossible({*words, *near})] = 0
+        p[_impossible([*words, *near])] = 0
+        p /= p.sum()
         k = int(p.argmax())
-        if FAMILIES[k] == UNKNOWN or p[k] < LEAST_PROBABILITY * p.sum():
+        if FAMILIES[k] == UNKNOWN or p[k] < LEAST_PROBABILITY:
             return UNKNOWN, float(p[-1]), 0.0
-        return FAMILIES[k], float(p[k] / p.sum()), template_share(words, FAMILIES[k])
+        return FAMILIES[k], float(p[k]), template_share(words, FAMILIES[k])
 
     def wrapped(self, lines: list[list[str]], known: set[str]) -> list[tuple[int, str, float, float]]:
         """(line, family, probability, share) of families but the known ones that joined lines of a block confirm, each once."""
@@ -228,10 +307,12 @@ def train(background: list[list[str]], *, rounds: int = 300, rate: float = 0.5,
     rng = np.random.default_rng(seed)
     data = _examples(background, rng)
     held = np.arange(len(data)) % 5 == 4
-    rows = np.repeat(np.arange(len(data)), [len(x) for x, _ in data])
-    cols = np.concatenate([np.array(x) for x, _ in data])
-    y = np.zeros((len(data), len(FAMILIES)))
-    y[np.arange(len(data)), [label for _, label in data]] = 1
+    rows = np.repeat(np.arange(len(data)), [len(x) for x, _, _ in data])
+    cols = np.concatenate([np.array(x) for x, _, _ in data])
+    y, ruled_out = np.zeros((len(data), len(FAMILIES))), np.zeros((len(data), len(FAMILIES)), dtype=bool)
+    y[np.arange(len(data)), [label for _, label, _ in data]] = 1
+    for k, (_, _, gone) in enumerate(data):
+        ruled_out[k, gone] = True
     x = np.zeros((len(data), len(VOCABULARY)))
     x[rows, cols] = 1
     w, b = np.zeros((len(VOCABULARY), len(FAMILIES))), np.zeros(len(FAMILIES))
@@ -247,11 +328,11 @@ def train(background: list[list[str]], *, rounds: int = 300, rate: float = 0.5,
         vw = 0.9 * vw - rate * (x[~held].T @ g + ridge * w)
         vb = 0.9 * vb - rate * g.sum(axis=0)
         w, b = w + vw, b + vb
-    z = x[held] @ w + b
+    z = np.where(ruled_out[held], -np.inf, x[held] @ w + b)  # as classify sees them
 
     def loss(t: float) -> float:
         s = z / t - (z / t).max(axis=1, keepdims=True)
-        return float(-(y[held] * (s - np.log(np.exp(s).sum(axis=1, keepdims=True)))).sum())
+        return float(-(np.where(y[held] > 0, s, 0.0).sum(axis=1) - np.log(np.exp(s).sum(axis=1))).sum())
 
     return Classifier(w, b, min((float(t) for t in np.geomspace(0.25, 4, 25)), key=loss))
 

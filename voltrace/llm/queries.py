@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
 from voltrace.llm import alignment, chat, itq, ivfpq, langid, licenses, mixing, packing, sharding, simhash, spelling, tokencount, toxicity
@@ -23,9 +25,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "\\### Assistant: </turn> ok"
-    # Two layouts, each mapped by its fingerprint: rows by turn, and an array of messages.
-    extra = spark.createDataFrame([(-7, [("human", hard), ("gpt", hard)])], "conversation_id long, messages array<struct<role:string,content:string>>")
-    turns = chat.canonical_turns(table(spark, sf_dir, "conversations")).unionByName(chat.canonical_turns(extra))
+    # Two layouts, each mapped by its fingerprint: a table of rows by turn, and JSON records with an array of messages.
+    record = json.dumps({"messages": [{"role": "human", "content": hard}, {"role": "gpt", "content": hard}]})
+    extra = chat.turns_from_json(spark.createDataFrame([(-7, record)], "conv_id long, record string"), "conv_id", "record")
+    turns = chat.canonical_turns(table(spark, sf_dir, "conversations")).unionByName(extra.select("conv_id", "turn", "role", "text"))
     return chat.conversation_digest(chat.format_turns(turns))
 
 

@@ -60,6 +60,14 @@ def digests(rows):
     return out
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\r\x1c\x85\xa0　'sdtre.,1½é中▁<|endoftext|></s>0xAF"), st.characters(exclude_categories=["Cs"])), max_size=40))
+def test_units_of_both_sides_encode_as_the_whole_text(text):
+    got = alignment.encoder(A, B)(text)
+    a, b = brute(text)
+    assert ([], []) == (a, b) if got is None else [x.tolist() for x in got] == [[i for i, _ in side] for side in (a, b)]
+
+
 @pytest.mark.parametrize("head_pairs", [2, 1 << 19])
 def test_digests_against_loops(spark, head_pairs):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, "no id"), (0, "plain words here"), (0, "plain words here")]

@@ -35,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltrace.llm.packing import UnitEncoder
+from voltrace.llm.packing import CACHE_UNITS, UnitEncoder
+from voltrace.llm.units import units
 from voltrace.runtime import materialize
 
 #: Pairs that are broadcast; bytes of text whose matrices are built at once; products expanded at once.
@@ -125,24 +126,29 @@ def align(lengths_a: np.ndarray, lengths_b: np.ndarray) -> Alignment:
 
 
 class Side:
-    """A tokenizer: ids of a space and the text, without special tokens, and the bytes of each id."""
+    """A tokenizer: ids of a space and the text, without special tokens, and the bytes of each id.
+
+    by_units: both kinds encode the units of voltrace.llm.units one by one as they do the text: the byte-level BPE by its pre-tokens, pieces if a space stands
+    only at their start (so no merge joins what comes before a space to it).
+    """
 
     def __init__(self, path: str) -> None:
         if path.endswith(".json"):
             made = UnitEncoder(path)
-            made.special = {}  # their strings are plain text
             size = made.bpe.n_vocab
             self.bytes = [b""] * size
             for i in {*range(size)} - {*made.bpe._special_tokens.values()}:
                 self.bytes[i] = made.bpe.decode_single_token_bytes(i)
-            self.ids: Callable[[str], np.ndarray] = lambda text: np.frombuffer(made(" " + text), dtype="<u4").astype(np.int64)
+            self.ids: Callable[[str], list[int]] = made.bpe.encode_ordinary
+            self.by_units = True
         elif path.endswith(".model"):
             import sentencepiece
 
             pieces = sentencepiece.SentencePieceProcessor(model_file=path)
             names = [pieces.id_to_piece(i) for i in range(pieces.get_piece_size())]
             self.bytes = [bytes([int(p[3:-1], 16)]) if pieces.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
-            self.ids = lambda text: np.array(pieces.encode(text, num_threads=1), dtype=np.int64)  # it adds the space itself
+            self.ids = lambda text: pieces.encode(text[1:], num_threads=1)  # it adds the space itself
+            self.by_units = not any(SPACE in p.lstrip(SPACE) for p in names)
         else:
             raise ValueError(f"no library for {path}")
         self.lengths = np.array([len(x) for x in self.bytes], dtype=np.int64)
@@ -152,13 +158,45 @@ class Side:
         self.digits = np.frombuffer(b"".join(x.ljust(width + 1) for x in names), dtype=np.uint8).reshape(-1, width + 1)
         self.n_digits = np.array([len(x) for x in names])
 
-    def encode(self, text: str, data: bytes) -> np.ndarray | None:
-        """Ids whose bytes, in order, are data; None if they are others."""
+    def encode(self, text: str) -> bytes | None:
+        """Ids, as little-endian 32-bit integers, of a text that starts with a space, if their bytes in order are the text's."""
         ids = self.ids(text)
-        return ids if b"".join([self.bytes[i] for i in ids.tolist()]) == data else None
+        return np.array(ids, dtype="<u4").tobytes() if b"".join([self.bytes[i] for i in ids]) == text.encode() else None
+
+
+class Encoder:
+    """Ids of both sides for a text, unit by unit with a bounded cache, or of the whole text where a side's units depend on each other."""
+
+    def __init__(self, a: Side, b: Side) -> None:
+        self.a, self.b, self.cache = a, b, {}
+
+    def unit(self, text: str) -> tuple[bytes, bytes] | None:
+        ids_a = self.a.encode(text)
+        ids_b = None if ids_a is None else self.b.encode(text)
+        made = None if ids_b is None else (ids_a, ids_b)
+        if len(self.cache) < CACHE_UNITS and len(text) < 64:
+            self.cache[text] = made
+        return made
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+        """None for no text, and for one whose token bytes would be others. A sign that pieces take for a space has other bytes, and its neighbours may merge with it."""
+        if not text or SPACE in text:
+            return None
+        cache, missing, found = self.cache, object(), []
+        # The first unit may start with more than one space; all others start with exactly one.
+        head, *rest = units(text) if text[0] != " " else [text]
+        for u in [" " + head, *rest] if self.a.by_units and self.b.by_units else [" " + text]:
+            pair = cache.get(u, missing)
+            if pair is missing:
+                pair = self.unit(u)
+            if pair is None:
+                return None
+            found.append(pair)
+        return tuple(np.frombuffer(b"".join([p[k] for p in found]), dtype="<u4").astype(np.int64) for k in (0, 1))
 
 
 _SIDES: dict[str, Side] = {}
+_BOTH: dict[tuple[str, str], Encoder] = {}
 
 
 def side(path: str) -> Side:
@@ -167,6 +205,12 @@ def side(path: str) -> Side:
     return _SIDES[path]
 
 
+def encoder(path_a: str, path_b: str) -> Encoder:
+    if (path_a, path_b) not in _BOTH:
+        _BOTH[path_a, path_b] = Encoder(side(path_a), side(path_b))
+    return _BOTH[path_a, path_b]
+
+
 def group_texts(a: Side, b: Side, ids_a: np.ndarray, ids_b: np.ndarray, found: Alignment, groups: np.ndarray) -> list[bytes]:
     """For each document, given the first group of each and the end, its groups as ``a1,a2|b1;a3|b2,b3``."""
     ga, gb, n = found.group_a, found.group_b, len(ids_a) + len(ids_b)
@@ -197,7 +241,7 @@ class _Block:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], column: int, path_a: str, path_b: str) -> Iterator[tuple[pa.RecordBatch, _Block]]:
-    a, b = side(path_a), side(path_b)
+    a, b, encode = side(path_a), side(path_b), encoder(path_a, path_b)
     none = np.zeros(0, dtype=np.int64)
     for batch in batches:
         texts, start = batch.column(column), 0
@@ -205,12 +249,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], column: int, path_a: str, path_b:
             held, stop, found_a, found_b = 0, start, [], []
             while stop < batch.num_rows and held < BLOCK_BYTES:
                 text = texts[stop].as_py()
-                data = b" " + text.encode() if text else b""
-                ids_a = a.encode(text, data) if text else None
-                ids_b = b.encode(text, data) if ids_a is not None else None
-                found_a.append(none if ids_b is None else ids_a)
-                found_b.append(none if ids_b is None else ids_b)
-                held, stop = held + len(data), stop + 1
+                ids_a, ids_b = encode(text) or (none, none)
+                found_a.append(ids_a)
+                found_b.append(ids_b)
+                held, stop = held + len(text or ""), stop + 1
             ids_a, ids_b = np.concatenate(found_a), np.concatenate(found_b)
             n_a, n_b = (np.array([len(x) for x in found]) for found in (found_a, found_b))
             yield batch.slice(start, stop - start), _Block(ids_a, ids_b, n_a, n_b, align(a.lengths[ids_a], b.lengths[ids_b]))

@@ -16,6 +16,27 @@ class Config:
     gamma: float = 0.0
     min_child_weight: float = 1.0
     random_state: int = 42
+    subsample: float = 1.0
+    colsample_bytree: float = 1.0
+    reg_alpha: float = 0.0
+
+
+def drawn(share: float, features: int) -> int:
+    """Features that a tree sees."""
+    return max(1, round(share * features))
+
+
+def _shrunk(gradient, config: Config):
+    """A sum of gradients after the L1 penalty's soft threshold."""
+    return np.sign(gradient) * np.maximum(np.abs(gradient) - config.reg_alpha, 0.0)
+
+
+def score(gradient, rows, config: Config):
+    return _shrunk(gradient, config) ** 2 / (rows + config.reg_lambda)
+
+
+def leaf(gradient: float, rows: int, config: Config) -> float:
+    return float(-config.learning_rate * _shrunk(gradient, config) / (rows + config.reg_lambda)) if rows + config.reg_lambda > 0 else 0.0
 
 
 @dataclass
@@ -45,33 +66,32 @@ class Booster:
         return self.gains / total if total > 0 else self.gains
 
 
-def _grow(x: np.ndarray, g: np.ndarray, config: Config, gains: np.ndarray):
+def _grow(x: np.ndarray, g: np.ndarray, config: Config, gains: np.ndarray, columns: np.ndarray):
     feature, threshold, left, right, value = [-1], [0.0], [0], [0], [0.0]
     todo = [(0, np.arange(len(x)), 0)]
-    lam = config.reg_lambda
     while todo:
         node, rows, depth = todo.pop()
         total, n = g[rows].sum(), len(rows)
-        value[node] = float(-config.learning_rate * total / (n + lam))
+        value[node] = leaf(total, n, config)
         if depth == config.max_depth or n < 2 * config.min_child_weight:
             continue
-        part = x[rows]
+        part = x[np.ix_(rows, columns)]
         order = np.argsort(part, axis=0, kind="stable")
         ordered = np.take_along_axis(part, order, axis=0)
         gl = np.cumsum(g[rows][order], axis=0)[:-1]
         nl = np.arange(1, n)[:, None]
-        gain = gl**2 / (nl + lam) + (total - gl) ** 2 / (n - nl + lam) - total**2 / (n + lam)
+        gain = score(gl, nl, config) + score(total - gl, n - nl, config) - score(total, n, config)
         ok = (ordered[1:] > ordered[:-1]) & (nl >= config.min_child_weight) & (n - nl >= config.min_child_weight)
         gain = np.where(ok, gain, -np.inf)
         at, f = np.unravel_index(int(gain.argmax()), gain.shape)
         if not gain[at, f] > 2 * config.gamma + 1e-12:
             continue
-        gains[f] += gain[at, f]
+        gains[columns[f]] += gain[at, f]
         cut = (ordered[at, f] + ordered[at + 1, f]) / 2
         goes = part[:, f] < cut
         if goes.all() or not goes.any():
             continue
-        feature[node], threshold[node], left[node], right[node] = int(f), float(cut), len(feature), len(feature) + 1
+        feature[node], threshold[node], left[node], right[node] = int(columns[f]), float(cut), len(feature), len(feature) + 1
         for child in (rows[goes], rows[~goes]):
             todo.append((len(feature), child, depth + 1))
             for a, v in ((feature, -1), (threshold, 0.0), (left, 0), (right, 0), (value, 0.0)):
@@ -84,9 +104,12 @@ def fit(x: np.ndarray, y: np.ndarray, config: Config = Config()) -> Booster:
     if x.ndim != 2 or not len(x) or not np.isfinite(x).all() or not np.isfinite(y).all():
         raise ValueError("features and target must be finite and not empty")
     out = Booster(config, float(y.mean()), gains=np.zeros(x.shape[1]))
-    at = np.full(len(y), out.base)
+    at, rng = np.full(len(y), out.base), np.random.default_rng(config.random_state)
     for _ in range(config.n_estimators):
-        tree = _grow(x, at - y, config, out.gains)
+        columns = np.sort(rng.permutation(x.shape[1])[:drawn(config.colsample_bytree, x.shape[1])])
+        part = rng.random(len(y)) < config.subsample
+        rows = slice(None) if config.subsample >= 1 or not part.any() else part
+        tree = _grow(x[rows], (at - y)[rows], config, out.gains, columns)
         out.trees.append(tree)
         one = Booster(config, 0.0, [tree])
         at += one.predict(x)

@@ -7,8 +7,8 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
-from voltrace.operators import asof, evaluation, ewma, features, models, portfolio, quantiles, risk, stress, volatility, walkforward
-from voltrace.operators.kernels import hmm
+from voltrace.operators import asof, evaluation, ewma, features, histogram_trees, models, portfolio, quantiles, risk, stress, volatility, walkforward
+from voltrace.operators.kernels import boost, hmm
 from voltrace.plans.catalog import (
     BACKTEST, COSTS, HOURLY, STRESS, TURNOVER, USABLE, WEIGHTS, _UC, _chi2_1, _ll, backtest_rows, bars, cost_rows, registered, rounded, stress_rows, usable_panel, weights)
 from voltrace.plans import experiments
@@ -420,3 +420,46 @@ def _(spark, sf):
     given = {k: np.array(v) for k, v in _STATES.items()}
     m = hmm.Model(hmm.Config(covariance_type="diag"), given["mean"], given["scale"], given["start"], given["transition"], given["means"], np.array([np.diag(d**2) for d in given["deviations"]]))
     return rounded(models.filter_regimes(rows, ["return", "volatility", "range"], m))
+
+
+_TREE = {"n_estimators": 1, "max_depth": 2, "learning_rate": 0.3, "reg_alpha": 5.0, "reg_lambda": 1.0}
+_TREE_FEATURES, _TREE_BINS = ("naive", "older", "ret0"), 16
+
+
+def _tree_sql() -> str:
+    """One tree of two levels: bins at exact quantiles, gains by (node, feature, bin), the best split of each node, then the leaves' values."""
+    a, lam, rate = _TREE["reg_alpha"], _TREE["reg_lambda"], _TREE["learning_rate"]
+
+    def score(g: str, n: str) -> str:
+        return f"pow(greatest(abs({g}) - {a}, 0), 2) / ({n} + {lam})"
+
+    edges = ", ".join(f"list_sort(list_distinct([{', '.join(f'quantile_cont({f}, {k / _TREE_BINS})' for k in range(1, _TREE_BINS))}])) AS e_{f}" for f in _TREE_FEATURES)
+    bins = ", ".join(f"len(list_filter(e_{f}, lambda e: e <= {f})) AS b{i}" for i, f in enumerate(_TREE_FEATURES))
+    parts = [USABLE, 'src AS (SELECT timestamp, asset_id, naive, older, "return" AS ret0, target AS y FROM ok)', f"eds AS (SELECT {edges}, avg(y) AS base FROM src)",
+             f"r0 AS (SELECT timestamp, asset_id, base, base - y AS g, {bins}, 0 AS node FROM src, eds)"]
+    for level in range(_TREE["max_depth"]):
+        each = " UNION ALL ".join(f"SELECT node, {i} AS f, b{i} AS b, sum(g) AS g, count(*) AS n FROM r{level} GROUP BY 1, 3" for i in range(len(_TREE_FEATURES)))
+        parts += [
+            f"h{level} AS ({each})",
+            f"c{level} AS (SELECT node, f, b + 1 AS cut, sum(g) OVER w AS gl, sum(n) OVER w AS nl, sum(g) OVER (PARTITION BY node, f) AS g, sum(n) OVER (PARTITION BY node, f) AS n FROM h{level} WINDOW w AS (PARTITION BY node, f ORDER BY b))",
+            f"s{level} AS (SELECT node, arg_max(f, (gain, -f, -cut)) AS f, arg_max(cut, (gain, -f, -cut)) AS cut FROM (SELECT *, {score('gl', 'nl')} + {score('(g - gl)', '(n - nl)')} - {score('g', 'n')} AS gain FROM c{level} WHERE nl < n) WHERE gain > 1e-12 GROUP BY 1)",
+            f"r{level + 1} AS (SELECT r.* REPLACE (CASE WHEN s.f IS NULL THEN r.node WHEN (CASE s.f WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END) < s.cut THEN 2 * r.node + 1 ELSE 2 * r.node + 2 END AS node) FROM r{level} r LEFT JOIN s{level} s USING (node))",
+        ]
+    last = _TREE["max_depth"]
+    parts.append(f"v AS (SELECT node, -{rate} * sign(sum(g)) * greatest(abs(sum(g)) - {a}, 0) / (count(*) + {lam}) AS value FROM r{last} GROUP BY 1)")
+    return ",\n".join(parts) + f"\nSELECT timestamp, asset_id, round(greatest(base + value, 0), 6) AS forecast FROM r{last} JOIN v USING (node)"
+
+
+@registered("histogram_tree", _tree_sql())
+def _(spark, sf):
+    rows = usable_panel(spark, sf).withColumn("ret0", F.col("return"))
+    model = histogram_trees.fit(rows, list(_TREE_FEATURES), config=boost.Config(**_TREE), bins=_TREE_BINS)
+    return rounded(model.predict(rows.select("timestamp", "asset_id", *_TREE_FEATURES)).select("timestamp", "asset_id", "forecast"))
+
+
+@registered("histogram_trees", None)
+def _(spark, sf):
+    """Ten trees of depth six with draws of rows and features, over the whole panel."""
+    rows = usable_panel(spark, sf)
+    model = histogram_trees.fit(rows, ["return", "naive", "older"], config=boost.Config(n_estimators=10, subsample=0.8, colsample_bytree=0.7, reg_alpha=0.5))
+    return rounded(model.predict(rows.select("timestamp", "asset_id", "return", "naive", "older", "target")))

@@ -350,8 +350,8 @@ def _confidence_set_sql(replications: int) -> str:
 x AS (SELECT asset_id, row_number() OVER w - 1 AS i, pow(target - naive, 2) AS l0, pow(target - older, 2) AS l1, count(*) OVER (PARTITION BY asset_id) AS n FROM ok WINDOW w AS (PARTITION BY asset_id ORDER BY timestamp)),
 g AS (SELECT asset_id, max(n) AS n, avg(l0) AS m0, avg(l1) AS m1, ceil(sqrt(max(n)))::BIGINT AS block, floor(sqrt(max(n)))::BIGINT AS lags FROM x GROUP BY 1),
 c AS (SELECT asset_id, i, l0 - l1 - (m0 - m1) AS c FROM x JOIN g USING (asset_id)),
-k AS (SELECT asset_id, unnest(range(0, lags + 1)) AS k, lags FROM g),
-gam AS (SELECT k.asset_id, k.k, max(k.lags) AS lags, avg(a.c * b.c) AS gamma FROM k JOIN c a USING (asset_id) JOIN c b ON b.asset_id = a.asset_id AND b.i = a.i - k.k GROUP BY 1, 2),
+k AS MATERIALIZED (SELECT asset_id, k, lags, c, i - k AS i FROM (SELECT asset_id, i, c, lags, unnest(range(0, lags + 1)) AS k FROM c JOIN g USING (asset_id)) WHERE i >= k),
+gam AS (SELECT k.asset_id, k.k, max(k.lags) AS lags, avg(k.c * b.c) AS gamma FROM k JOIN c b ON b.asset_id = k.asset_id AND b.i = k.i GROUP BY 1, 2),
 se AS (SELECT asset_id, sqrt(greatest(sum(CASE WHEN k = 0 THEN gamma ELSE 2 * (1 - k / (gam.lags + 1)) * gamma END), 2.220446049250313e-16) / max(n)) AS se FROM gam JOIN g USING (asset_id) GROUP BY 1),
 pre AS (SELECT asset_id, i + 1 AS at, sum(c) OVER (PARTITION BY asset_id ORDER BY i) AS s FROM c UNION ALL SELECT asset_id, 0, 0 FROM g),
 r AS (SELECT asset_id, n, block, b, unnest(range(0, ceil(n / block)::BIGINT)) AS r FROM g, range(0, {replications}) t(b)),

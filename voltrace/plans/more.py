@@ -7,7 +7,7 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
-from voltrace.operators import asof, evaluation, ewma, features, histogram_trees, models, portfolio, quantiles, risk, stress, volatility, walkforward
+from voltrace.operators import asof, evaluation, ewma, features, histogram_trees, models, portfolio, quantiles, risk, scan, stress, volatility, walkforward
 from voltrace.operators.kernels import boost, hmm
 from voltrace.plans.catalog import (
     BACKTEST, COSTS, HOURLY, STRESS, TURNOVER, USABLE, WEIGHTS, _UC, _chi2_1, _ll, backtest_rows, bars, cost_rows, registered, rounded, stress_rows, usable_panel, weights)
@@ -77,9 +77,7 @@ def _(spark, sf):
 @registered("prediction_checks", f"""{USABLE}, t AS (SELECT *, row_number() OVER (ORDER BY timestamp, asset_id) AS k FROM ok)
 SELECT count(*) FILTER (k % 7 = 0) AS missing, 0::BIGINT AS unexpected, 0::BIGINT AS repeated, count(*) FILTER (k % 7 <> 0 AND "return" < 0)::BIGINT AS invalid FROM t""")
 def _(spark, sf):
-    from pyspark.sql import Window
-
-    rows = usable_panel(spark, sf).withColumn("fold_id", F.lit(0)).withColumn("k", F.row_number().over(Window.orderBy("timestamp", "asset_id")))
+    rows = scan.positions(usable_panel(spark, sf).withColumn("fold_id", F.lit(0)), (), ("timestamp", "asset_id"), "k").withColumn("k", F.col("k") + 1)
     return walkforward.validate_predictions(rows.filter("k % 7 <> 0").withColumn("prediction", F.col("return")), rows)
 
 

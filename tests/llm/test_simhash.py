@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from voltrace.llm import cells, simhash
 
@@ -131,6 +132,34 @@ def test_all_copies_at_the_threshold_are_found(spark):
         assert {r.doc_id: r.component_id for r in simhash.similar_groups(df, cell_rows=cell_rows).collect()} == want
 
 
+def test_long_near_copies_are_cut_by_bytes(spark):
+    """Texts of some 200,000 bytes each, whose chunks hold one or two of them."""
+    rng = random.Random(12)
+    rows = []
+    for _ in range(3):
+        base = [f"w{rng.randrange(50_000)}" for _ in range(30_000)]
+        for _ in range(7):
+            text = list(base)
+            for _ in range(rng.randrange(0, 400)):
+                text[rng.randrange(len(text))] = f"w{rng.randrange(50_000)}"
+            rows.append((len(rows), " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_similar(rows)
+    assert len(set(want.values())) == 3
+    for cell_bytes in (1, 300_000, 32 << 20):
+        assert {r.doc_id: r.component_id for r in simhash.similar_groups(df, cell_bytes=cell_bytes).collect()} == want
+
+
+def test_cells_are_bounded_by_rows_and_by_size(spark):
+    rows = [(k % 2, k, 1000 if k % 2 else 1) for k in range(400)] + [(2, 1000, 10**6)]
+    df = spark.createDataFrame(rows, "key int, item long, bytes long")
+    cut = cells.into_cells(df, "key", "item", 150, size=F.col("bytes"), cell_size=20_000)
+    held = cut.groupBy("key", "cell_i", "cell_j").agg(F.count("item").alias("n"), F.sum("bytes").alias("bytes")).collect()
+    chunks = {k: len({r.cell_i for r in held if r.key == k}) for k in range(3)}
+    assert chunks == {0: 2, 1: 10, 2: 1}
+    assert all(r.n < 2 * 150 and (r.bytes < 4 * 20_000 or r.n == 1) for r in held)
+
+
 def test_texts_that_share_an_id_lose_none(spark):
     base = [" ".join(f"{w}{k}" for k in range(40)) for w in "abcd"]
     rows = [(1, base[0]), (1, base[1]), (2, base[0] + " z"), (1, base[0]), (3, base[2]), (4, base[2] + " z"), (3, base[3]), (5, base[1] + " z"), (None, base[3])]

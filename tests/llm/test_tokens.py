@@ -1,5 +1,5 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -102,3 +102,10 @@ def test_repeated_rows_are_dealt_over_groups(spark):
     again = packing.pieces(df.orderBy("text"), PATH, n_groups=30)
     assert again.count() == 900
     assert packing.pack(df, PATH).count() == 900
+
+
+def test_groups_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(k % 40, "a b" if k % 3 else f"text {k % 7}") for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    dealt = [Counter((r.doc_id, bytes(r.ids), r.group) for r in packing.pieces(d, PATH, n_groups=50).collect()) for d in (df, spark.createDataFrame(rows[::-1], df.schema).coalesce(1))]
+    assert dealt[0] == dealt[1]

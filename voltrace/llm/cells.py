@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltrace.runtime import materialize, scratch
@@ -22,13 +22,15 @@ from voltrace.runtime import materialize, scratch
 CELL_ROWS, PART_ROWS = 4096, 512
 
 
-def into_cells(rows: DataFrame, key: str, item: str, cell_rows: int = CELL_ROWS) -> DataFrame:
+def into_cells(rows: DataFrame, key: str, item: str, cell_rows: int = CELL_ROWS, *, size: Column | None = None, cell_size: int = 1) -> DataFrame:
     """Adds cell_i, cell_j and own (the row's chunk), one row for each cell that the row is in.
 
-    The result is partitioned and sorted by (key, cell_i, cell_j).
+    The result is partitioned and sorted by (key, cell_i, cell_j). With a ``size`` of rows, buckets of more than ``cell_size`` are cut too, so
+    that a chunk holds about that much (a row that is larger by itself is still one row).
     """
-    big = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell_rows)
-    chunks = big.select(key, F.ceil(F.col("n") / cell_rows).cast("int").alias("chunks"))
+    sums = [F.count(F.lit(1)).alias("n"), F.sum(F.lit(0) if size is None else size).alias("size")]
+    parts = F.greatest(F.ceil(F.col("n") / cell_rows), F.least(F.ceil(F.col("size") / cell_size), F.col("n")))
+    chunks = rows.groupBy(key).agg(*sums).select(key, parts.cast("int").alias("chunks")).filter("chunks > 1")
     cut = rows.join(chunks, key, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     cut = cut.withColumn("own", F.pmod(F.xxhash64(item), F.col("chunks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")

@@ -207,9 +207,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, *, id_col: str =
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("vector"))
     distinct = _distinct(rows)
     total = distinct.count()
-    single = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    single = F.col("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
     if not total:
-        return single
+        return rows.select(*single)
     codes = learn(unit(sample(distinct, "vector", "vector", SAMPLE_ROWS, total)), rows=total, threshold=threshold)
     if exact:
         everything = distinct.select(F.lit(0).cast("long").alias("key"), "cid", F.lit(0).cast("long").alias("code"))
@@ -226,6 +226,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, *, id_col: str =
     known = materialize(known, "itq-known")
     least = known.groupBy("component").agg(F.min("first").alias("component_id"))
     classes = known.join(least, "component").select(F.col("vector").alias("class_vector"), "n_links", "component_id")
-    joined = rows.join(classes, F.col("vector") == F.col("class_vector"), "left")
+    # Rows that take no part go around the join: their vectors would be one hot key.
+    part = usable(F.col("vector"))
+    joined = rows.filter(part).join(classes, F.col("vector") == F.col("class_vector"), "left")
     n_links, component = F.coalesce("n_links", F.lit(0)).cast("long"), F.coalesce("component_id", "vec_id")
-    return joined.select("vec_id", n_links.alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    joined = joined.select("vec_id", n_links.alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return joined.unionByName(rows.filter(~part).select(*single))

@@ -176,8 +176,8 @@ SAMPLE_TEXTS, COMMON, MOST_COMMON = 10_000, 3, 100_000
 POSITIONS = 1 << 20
 #: Differing bits of fingerprints within which texts are compared first, and permutations by whose two smallest hashes these meet.
 NEAR_BITS, BANDS = 16, 6
-#: Rows of a cell that are compared together, pairs taken at once, and texts that one cell of the exact comparison holds.
-SMALL_CELL, MET_PAIRS, TEXT_CELL = 48, 1 << 16, 512
+#: Rows of a cell that are compared together, pairs taken at once, and texts and their bytes that a chunk of a cell of the exact comparison holds.
+SMALL_CELL, MET_PAIRS, TEXT_CELL, TEXT_BYTES = 48, 1 << 16, 512, 32 << 20
 
 
 def shingle_set(text: bytes, width: int) -> frozenset:
@@ -341,7 +341,7 @@ def _possible(met: DataFrame, similarity: float, cell_rows: int) -> DataFrame:
     return into_cells(met, "meeting", "cid", cell_rows).mapInArrow(run, "meeting long, cid long").distinct()
 
 
-def _verified(texts: DataFrame, width: int, similarity: float, cell_rows: int) -> DataFrame:
+def _verified(texts: DataFrame, width: int, similarity: float, cell_rows: int, cell_bytes: int = TEXT_BYTES) -> DataFrame:
     """Edges (a, b) that link classes of different labels whose shingle sets are similar, from rows (meeting, cid, n, label, text): forests of cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,6 +360,7 @@ def _verified(texts: DataFrame, width: int, similarity: float, cell_rows: int) -
                     for k in (i, j):
                         if sets[k] is None:
                             sets[k] = np.sort(np.fromiter(shingle_set(cell["text"][k], width), dtype=np.uint64))
+                            cell["text"][k] = None  # its set takes its place
                     a, b = sets[i], sets[j]
                     both = len(np.intersect1d(a, b, assume_unique=True))
                     if both >= similarity * (len(a) + len(b) - both) - 1e-9:
@@ -369,7 +370,7 @@ def _verified(texts: DataFrame, width: int, similarity: float, cell_rows: int) -
             if len(new):
                 yield pa.RecordBatch.from_arrays([pa.array(cell["cid"][label[new]]), pa.array(cell["cid"][new])], names=["a", "b"])
 
-    return into_cells(texts, "meeting", "cid", cell_rows).mapInArrow(run, "a long, b long")
+    return into_cells(texts, "meeting", "cid", cell_rows, size=F.octet_length("text"), cell_size=cell_bytes).mapInArrow(run, "a long, b long")
 
 
 def _near_prints(classes: DataFrame, text_cell: int) -> DataFrame:
@@ -391,7 +392,7 @@ def _near_prints(classes: DataFrame, text_cell: int) -> DataFrame:
     return member.join(sizes, "component").select("component", "cid", F.explode(chunk).alias("chunk")).select(F.xxhash64("component", "chunk").alias("meeting"), "cid")
 
 
-def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, cell_rows: int = TEXT_CELL) -> DataFrame:
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, cell_rows: int = TEXT_CELL, cell_bytes: int = TEXT_BYTES) -> DataFrame:
     """(doc_id, component_id, h1, h2, kept) of every row: components of texts whose sets of width-word shingles have a Jaccard similarity of at least ``similarity``.
 
     All such pairs are found, and no others are linked (shingles are compared as 64-bit hashes). h1 and h2 are hashes of
@@ -422,7 +423,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             # One row of each class brings its text; rows that repeat it drop out by the class.
             texts = maybe_in(keyed, asked, "h1").join(asked, ["h1", "h2"]).filter(F.col("doc_id").eqNullSafe(F.col("__first")))
             texts = materialize(texts.select("meeting", "cid", "n", "label", "text").dropDuplicates(["meeting", "cid"]), f"similar-texts-{tag}")
-            return materialize(_verified(texts, width, similarity, most), f"similar-verified-{tag}")
+            return materialize(_verified(texts, width, similarity, most, cell_bytes), f"similar-verified-{tag}")
 
         known = classes.select("cid", "n", "h1", "h2", "first")
         near = materialize(_near_prints(classes.select("cid", "fp", "bands"), cell_rows), "similar-near")

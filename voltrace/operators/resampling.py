@@ -108,22 +108,31 @@ def grouped_bootstrap(df: DataFrame, column: str, by, *, statistic: Callable = n
     return df.select(*by, order, column).groupBy(*by).applyInPandas(one, f"{kinds}, {fields}")
 
 
-def hashed_bootstrap(df: DataFrame, column: str, order, *, n_bootstrap: int = 2000, confidence_level: float = 0.95, seed: int = 42) -> DataFrame:
-    """One row (estimate, lower, upper, standard_error, observations) for the mean.
+def hashed_bootstrap(df: DataFrame, column: str, order, *, n_bootstrap: int = 2000, confidence_level: float = 0.95, seed: int = 42, statistic: str = "mean", annualization_factor: float = 252.0) -> DataFrame:
+    """One row (estimate, lower, upper, standard_error, observations) for the mean, or the annualised Sharpe ratio (0 where the deviation is none).
 
     Draw k of replication b takes row md5(seed:b:k) mod n. Rows are numbered by parts, not in one task; draws are
     generated where they are joined, n for each replication, and averages are aggregated on the map side.
     """
+    if statistic not in ("mean", "sharpe"):
+        raise ResamplingError(f"unknown statistic {statistic}")
+    deviation = F.stddev_samp("x")
+    value = F.avg("x") if statistic == "mean" else F.when(deviation > 0, F.avg("x") / deviation * math.sqrt(annualization_factor)).otherwise(0.0)
     rows = df.filter(F.col(column).isNotNull()).select(*order, F.col(column).cast("double").alias("x"))
     placed = numbered(rows, *order, "x", tag="bootstrap-rows").select("x", "position")
     n = rows.count()
     _checked(n, confidence_level, max(n_bootstrap, LEAST_REPLICATIONS))
     grid = df.sparkSession.range(n_bootstrap * n).select(F.floor(F.col("id") / n).alias("b"), (F.col("id") % n).alias("k"))
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("k").cast("string"))), 1, 12), 16, 10).cast("long") % n
-    means = grid.select("b", pick.alias("position")).join(placed, "position").groupBy("b").agg(F.avg("x").alias("m"))
+    means = grid.select("b", pick.alias("position")).join(placed, "position").groupBy("b").agg(value.alias("m"))
     low, up = (1 - confidence_level) / 2, (1 + confidence_level) / 2
     stats = means.agg(F.percentile("m", F.lit(low)).alias("lower"), F.percentile("m", F.lit(up)).alias("upper"), F.stddev_samp("m").alias("standard_error"))
-    return rows.agg(F.avg("x").alias("estimate"), F.count(F.lit(1)).alias("observations")).crossJoin(stats)  # one row each
+    return rows.agg(value.alias("estimate"), F.count(F.lit(1)).alias("observations")).crossJoin(stats)  # one row each
+
+
+def hashed_bootstrap_difference(df: DataFrame, column_a: str, column_b: str, order, **options) -> DataFrame:
+    """hashed_bootstrap of the paired difference a - b; rows where either is null are left out."""
+    return hashed_bootstrap(df.withColumn("__difference", F.col(column_a) - F.col(column_b)), "__difference", order, **options)
 
 
 # Model confidence sets ----------------------------------------------------------

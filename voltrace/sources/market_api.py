@@ -160,6 +160,30 @@ def values_to_dataframe(spark, values: list[dict], symbol: str) -> DataFrame:
     return normalize(raw.select(fields).select(F.col("v.datetime").alias("timestamp"), F.lit(normalize_symbol(symbol)).alias("asset_id"), "v.open", "v.high", "v.low", "v.close", "v.volume"))
 
 
+def save_responses(bars: DataFrame, path: str, *, interval: str = "1h") -> str:
+    """Writes bars as the service's responses, a line of JSON for each asset and day (a day of bars of a minute or more is less than a page)."""
+    day = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("datetime")
+    value = F.struct(day, *(F.col(c).cast("string").alias(c) for c in ("open", "high", "low", "close", "volume")))
+    pages = bars.groupBy("asset_id", F.to_date("timestamp").alias("day")).agg(F.sort_array(F.collect_list(value)).alias("values"))
+    meta = F.struct(F.col("asset_id").alias("symbol"), F.lit(normalize_interval(interval)).alias("interval"))
+    pages.select(F.to_json(F.struct(meta.alias("meta"), "values", F.lit("ok").alias("status"))).alias("value")).write.text(path)
+    return path
+
+
+def load_responses(spark, path: str) -> DataFrame:
+    """Canonical bars of recorded responses, a line of JSON each, from any store; parsed by Spark.
+
+    A response of status 404 has no values. Other errors, and lines that are no response, fail the job when it reads them.
+    """
+    shape = "meta struct<symbol string>, values array<struct<datetime string, open string, high string, low string, close string, volume string>>, status string, code int, message string"
+    r = spark.read.text(path).select("value", F.from_json("value", shape).alias("r"))
+    bad = (F.coalesce("r.status", F.lit("")) != "ok") & (F.coalesce("r.code", F.lit(0)) != 404)
+    refused = F.raise_error(F.concat(F.lit("no values in: "), F.substring("value", 1, 200))).cast("array<struct<datetime string, open string, high string, low string, close string, volume string>>")
+    v = r.select(F.upper(F.trim("r.meta.symbol")).alias("asset_id"), F.explode(F.when(bad, refused).otherwise(F.col("r.values"))).alias("v"))
+    price = (F.expr(f"try_cast(v.{c} AS double)").alias(c) for c in ("open", "high", "low", "close", "volume"))
+    return normalize(v.select(F.expr("try_cast(v.datetime AS timestamp)").alias("timestamp"), "asset_id", *price))
+
+
 def load_market_series(spark, symbols: str, interval: str, start: str, end: str, *, base_url: str, api_key: str = "", partitions: int = 1) -> DataFrame:
     spark.dataSource.register(MarketSeries)
     return normalize(spark.read.format("market_series").options(symbols=symbols, interval=interval, start=start, end=end, base_url=base_url, api_key=api_key, partitions=str(partitions)).load())

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -122,14 +123,14 @@ def pieces(docs: DataFrame, path: str, *, length: int = 2048, end_id: int = 1, n
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        last, copy = None, 0  # rows of one draw follow each other
+        met: Counter[int] = Counter()  # a number for each row of the task, so bounded by the size of its input
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 index, start, ids, tokens, group = [], [], [], [], []
                 for i, (text, draw) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
                     whole = encode(text) + end
-                    last, copy = draw, copy + 1 if draw == last else 0
+                    copy, met[draw] = met[draw], met[draw] + 1
                     for k, s in enumerate(range(0, len(whole), step)):
                         index.append(i)
                         start.append(s // 4)
@@ -142,7 +143,7 @@ def pieces(docs: DataFrame, path: str, *, length: int = 2048, end_id: int = 1, n
                     names=["doc_id", "start", "ids", "doc_tokens", "group"])
 
     schema = T.StructType([*_pieces_schema(rows.schema["doc_id"].dataType), T.StructField("group", T.LongType())])
-    return rows.sortWithinPartitions("draw").mapInArrow(cut, schema)
+    return rows.mapInArrow(cut, schema)
 
 
 def pack(docs: DataFrame, path: str, *, length: int = 2048, end_id: int = 1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

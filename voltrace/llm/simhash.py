@@ -342,7 +342,7 @@ def _possible(met: DataFrame, similarity: float, cell_rows: int) -> DataFrame:
 
 
 def _verified(texts: DataFrame, width: int, similarity: float, cell_rows: int, cell_bytes: int = TEXT_BYTES) -> DataFrame:
-    """Edges (a, b) that link classes of different labels whose shingle sets are similar, from rows (meeting, cid, n, label, text): forests of cells."""
+    """Edges (a, b) that link classes of different labels whose shingle sets are similar, from rows (meeting, cid, n, label, bytes, text): forests of cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in iter_cells(batches, "meeting"):
@@ -370,7 +370,7 @@ def _verified(texts: DataFrame, width: int, similarity: float, cell_rows: int, c
             if len(new):
                 yield pa.RecordBatch.from_arrays([pa.array(cell["cid"][label[new]]), pa.array(cell["cid"][new])], names=["a", "b"])
 
-    return into_cells(texts, "meeting", "cid", cell_rows, size=F.octet_length("text"), cell_size=cell_bytes).mapInArrow(run, "a long, b long")
+    return into_cells(texts, "meeting", "cid", cell_rows, size=F.col("bytes"), cell_size=cell_bytes).mapInArrow(run, "a long, b long")
 
 
 def _near_prints(classes: DataFrame, text_cell: int) -> DataFrame:
@@ -422,7 +422,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             asked = materialize(met.join(labelled.withColumnRenamed("first", "__first"), "cid"), f"similar-asked-{tag}")
             # One row of each class brings its text; rows that repeat it drop out by the class.
             texts = maybe_in(keyed, asked, "h1").join(asked, ["h1", "h2"]).filter(F.col("doc_id").eqNullSafe(F.col("__first")))
-            texts = materialize(texts.select("meeting", "cid", "n", "label", "text").dropDuplicates(["meeting", "cid"]), f"similar-texts-{tag}")
+            texts = materialize(texts.select("meeting", "cid", "n", "label", F.octet_length("text").cast("long").alias("bytes"), "text").dropDuplicates(["meeting", "cid"]), f"similar-texts-{tag}")
             return materialize(_verified(texts, width, similarity, most, cell_bytes), f"similar-verified-{tag}")
 
         known = classes.select("cid", "n", "h1", "h2", "first")

@@ -34,6 +34,21 @@ def test_encoder_gives_the_librarys_ids(text):
     assert np.frombuffer(packing.encoder(PATH)(text or ""), "<u4").tolist() == want_ids(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\r\x1c\x85\xa0　'sdtre.,1½é中<|endoftext|>"), st.characters(exclude_categories=["Cs"])), max_size=40))
+def test_encoder_on_any_text(text):
+    assert np.frombuffer(packing.encoder(PATH)(text), "<u4").tolist() == want_ids(text)
+
+
+@pytest.mark.parametrize("text", ["a" + " " * 1_200_000 + "b <|endoftext|>", "\n" * 1_200_000, "x" + "\t" * 100_000 + " y", " " * 99_999 + "z", "z" * 1_200_000])
+def test_encoder_on_very_long_runs(text):
+    encode = packing.encoder(PATH)
+    assert np.frombuffer(encode(text), "<u4").tolist() == want_ids(text)
+    plain = Tokenizer.from_file(PATH)
+    plain.encode_special_tokens = True
+    assert encode.ids(text, special=False).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("head_rows", [3, 1 << 18])
 def test_counts(spark, head_rows):
     rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(None, "no id", "y"), (3, "  ", "z"), (4, "again", None), (77, "a b", "u"), (77, "a b", "u")]

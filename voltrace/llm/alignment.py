@@ -35,12 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltrace.llm.packing import CACHE_UNITS, UnitEncoder
+from voltrace.llm.packing import LONG_SPACE, TextEncoder
 from voltrace.llm.units import units
 from voltrace.runtime import materialize
 
 #: Pairs that are broadcast; bytes of text whose matrices are built at once; products expanded at once.
 HEAD_PAIRS, BLOCK_BYTES, BLOCK_PRODUCTS = 1 << 19, 1 << 17, 1 << 18
+CACHE_UNITS = 400_000  # units whose ids a worker keeps
 SPACE = "▁"  # how pieces write a space
 
 
@@ -134,12 +135,12 @@ class Side:
 
     def __init__(self, path: str) -> None:
         if path.endswith(".json"):
-            made = UnitEncoder(path)
+            made = TextEncoder(path)
             size = made.bpe.n_vocab
             self.bytes = [b""] * size
             for i in {*range(size)} - {*made.bpe._special_tokens.values()}:
                 self.bytes[i] = made.bpe.decode_single_token_bytes(i)
-            self.ids: Callable[[str], list[int]] = made.bpe.encode_ordinary
+            self.ids: Callable[[str], list[int]] = lambda text: made.bpe.encode_ordinary(text) if len(text) < LONG_SPACE else made.ids(text, special=False).tolist()
             self.by_units = True
         elif path.endswith(".model"):
             import sentencepiece

@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,24 +26,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltrace.llm.units import units
+#: Bytes of text for each group, on average; and partitions of the shuffle by group.
+GROUP_BYTES, MOST_TASKS = 16 << 20, 1 << 16
+#: From a million signs on, a run of white space is more than the rank-based library's pattern can match; runs of this length go another way.
+LONG_SPACE = 100_000
+_LONG = re.compile(rf"(?<!\s)\s{{{LONG_SPACE}}}")
+_ENCODERS: dict[str, TextEncoder] = {}
 
-#: Bytes of text for each group, on average; units whose ids a worker keeps; and partitions of the shuffle by group.
-GROUP_BYTES, CACHE_UNITS, MOST_TASKS = 16 << 20, 400_000, 1 << 16
-_ENCODERS: dict[str, Callable[[str], np.ndarray]] = {}
 
-
-class UnitEncoder:
-    """Ids of texts, as little-endian unsigned 32-bit integers, with a bounded cache of units.
+class TextEncoder:
+    """Ids of whole texts, as little-endian unsigned 32-bit integers. It keeps nothing of the texts.
 
     The byte-level BPE of a tokenizers .json file is run by tiktoken with the
     file's own vocabulary as ranks, which is the same merge order where each
     merge makes the token that follows the one before; that is checked on loading.
+    Texts with a very long run of white space are encoded by tokenizers itself.
     """
 
     def __init__(self, path: str) -> None:
         import tiktoken
 
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -56,28 +60,26 @@ class UnitEncoder:
         ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if token not in self.special}
         from public_tokenizers import PATTERN
 
-        self.bpe = tiktoken.Encoding("units", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
-        self.cache: dict[str, bytes] = {}
+        self.bpe = tiktoken.Encoding("texts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
+
+    def ids(self, text: str, *, special: bool = True) -> np.ndarray:
+        """Strings of special tokens inside the text are these tokens, or without ``special`` plain text."""
+        if len(text) >= LONG_SPACE and _LONG.search(text):
+            from tokenizers import Tokenizer
 
-    def unit(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            ids = self.bpe.encode(text, allowed_special="all")
-        else:
-            ids = self.bpe.encode_ordinary(text)
-        made = np.array(ids, dtype="<u4").tobytes()
-        if len(self.cache) < CACHE_UNITS and len(text) < 64:
-            self.cache[text] = made
-        return made
+            library = Tokenizer.from_file(self.path)  # such texts are rare, so it isn't kept
+            library.encode_special_tokens = not special
+            return np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return self.bpe.encode_to_numpy(text, allowed_special=set(self.special) if special else set(), disallowed_special=()).astype("<u4", copy=False)
 
     def __call__(self, text: str) -> bytes:
-        get, make = self.cache.get, self.unit
-        return b"".join([get(u) or make(u) for u in units(text)])
+        return self.ids(text).tobytes()
 
 
-def encoder(path: str) -> UnitEncoder:
+def encoder(path: str) -> TextEncoder:
     if path not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[path] = UnitEncoder(path)
+        _ENCODERS[path] = TextEncoder(path)
     return _ENCODERS[path]
 
 

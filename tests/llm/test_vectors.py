@@ -146,3 +146,49 @@ def test_search_few_rows(spark):
     got = [(r.query_id, r.rank, r.vec_id) for r in ivfpq.search(df, lambda v: v % 50 == 0).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 50), (0, 3, 2), (50, 1, 1), (50, 2, 0), (50, 3, 2)]
     assert ivfpq.search(df.limit(0), lambda v: v % 50 == 0).count() == 0
+
+
+def of_one_width(rng):
+    return rng.normal(size=(1600, 61))
+
+
+def of_two_scales(rng):
+    return np.concatenate([rng.normal(size=(1000, 64)), family(rng, 1500, noise=1e-3)])[rng.permutation(2500)]
+
+
+def of_strange_queries(rng):
+    x = rng.normal(size=(10, 64))[rng.integers(10, size=2000)] + 0.05 * rng.normal(size=(2000, 64))
+    x[::50] = rng.normal(size=(40, 64))
+    return x
+
+
+@pytest.mark.parametrize("table", [of_one_width, of_two_scales, of_strange_queries])
+def test_search_finds_the_nearest_of_any_rows(spark, table):
+    """Codes of a width without divisors, of rows far nearer than the sample's, and queries unlike the sample lose no neighbour."""
+    from voltrace.llm import ivfpq
+
+    x = table(np.random.default_rng(21))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in ivfpq.search(df, lambda v: v % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = exact_neighbours(list(range(len(x))), x, range(0, len(x), 50))
+    assert got == {q: [i for _, i in best] for q, best in want.items()}
+
+
+def test_search_beyond_rows_that_repeat_an_id(spark):
+    """A query's own rows, or one neighbour's, are nearer than anything else but don't use up its places."""
+    from voltrace.llm import ivfpq
+
+    rng = np.random.default_rng(22)
+    near = family(rng, 72, noise=1e-2)
+    own, few = near[:60], near[60:] + 1e-2 * rng.normal(size=(12, 64))
+    rows = [(50, v) for v in own[:30]] + [(7, v) for v in own[30:]] + [(101 + i, v) for i, v in enumerate(few)]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows], "vec_id long, embedding array<double>").repartition(4)
+    got = [(r.rank, r.vec_id) for r in ivfpq.search(df, lambda v: v == 50).orderBy("rank").collect()]
+    q = np.array(min(v.tolist() for v in own[:30]))
+    cosine = {}
+    for i, v in rows:
+        cosine[i] = max(cosine.get(i, -2), v @ q / np.linalg.norm(v) / np.linalg.norm(q))
+    want = sorted((-c, i) for i, c in cosine.items() if i != 50)[:5]
+    assert got == [(n + 1, i) for n, (_, i) in enumerate(want)] and got[0] == (1, 7)
